@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusgate.functions.text import strip
+from corpusgate.functions.text import lookup, strip
 
 # NaN and the infinities are accepted, single quotes and comments are not; one
 # string may be as long as the line.
@@ -57,9 +57,19 @@ def parse_json(lines: DataFrame, column: str = "value", into: str = "json") -> D
         & (F.try_variant_get(F.col(wrapped), "$[1]", "string") == END_MARK),
         F.try_variant_get(F.col(wrapped), "$[0]", "variant"),
     )
-    return marked.withColumn(
-        into, F.when(F.col(column).contains(END_MARK), exact).otherwise(usual)
-    ).drop(wrapped)
+    value = F.when(F.col(column).contains(END_MARK), exact).otherwise(usual)
+    return marked.withColumn(into, value).drop(wrapped)
+
+
+def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed once per row.
+
+    Catalyst copies an expression into every filter it pushes below the
+    projection that defines it, which would parse a line again for each use. It
+    does not push a filter below a generator, so the value is generated as the
+    only element of an array.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def member(col: Column, key: str, kind: str = "variant") -> Column:
@@ -77,36 +87,26 @@ def elements(col: Column) -> Column:
     return F.try_variant_get(col, "$", "array<variant>")
 
 
-def is_string(col: Column) -> Column:
-    return F.schema_of_variant(col) == "STRING"
-
-
-def is_object(col: Column) -> Column:
-    return F.schema_of_variant(col).startswith("OBJECT<")
-
+def kind(col: Column) -> Column:
+    """Type of a parsed value: OBJECT, ARRAY, STRING, BIGINT, BOOLEAN, VOID, …"""
+    return F.regexp_extract(F.schema_of_variant(col), "^[A-Z]+", 0)
 
-def is_integer(col: Column) -> Column:
-    return F.schema_of_variant(col) == "BIGINT"
 
-
-def is_number(col: Column) -> Column:
-    kind = F.schema_of_variant(col)
-    return (kind == "BIGINT") | (kind == "DOUBLE") | kind.startswith("DECIMAL")
+def is_string(col: Column) -> Column:
+    return F.schema_of_variant(col) == "STRING"
 
 
-def is_boolean(col: Column) -> Column:
-    return F.schema_of_variant(col) == "BOOLEAN"
+# JSON kinds under the names that appear in messages; every other
+# kind is a number with a fraction.
+TYPE_NAMES = {
+    "OBJECT": "dict",
+    "ARRAY": "list",
+    "STRING": "str",
+    "BIGINT": "int",
+    "BOOLEAN": "bool",
+    "VOID": "NoneType",
+}
 
 
-def type_name(col: Column) -> Column:
-    """Name of the JSON type as it appears in messages."""
-    kind = F.schema_of_variant(col)
-    return (
-        F.when(kind.startswith("OBJECT<"), "dict")
-        .when(kind.startswith("ARRAY<"), "list")
-        .when(kind == "STRING", "str")
-        .when(kind == "BIGINT", "int")
-        .when(kind == "BOOLEAN", "bool")
-        .when(kind == "VOID", "NoneType")
-        .otherwise("float")
-    )
+def type_name(kind_name: Column) -> Column:
+    return F.when(kind_name.isNotNull(), F.coalesce(lookup(kind_name, TYPE_NAMES), F.lit("float")))

@@ -48,21 +48,20 @@ def contains_any(col: Column, needles: list[str]) -> Column:
 
 
 def quoted(col: Column) -> Column:
-    """A string in single quotes, the way Python shows it in messages."""
+    """A string in quotes, the way Python shows it in messages."""
     body = F.replace(col, F.lit("\\"), F.lit("\\\\"))
     for raw, shown in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         body = F.replace(body, F.lit(raw), F.lit(shown))
-    plain = F.concat(F.lit("'"), body, F.lit("'"))
-    escaped = F.concat(F.lit("'"), F.replace(body, F.lit("'"), F.lit("\\'")), F.lit("'"))
-    double = F.concat(F.lit('"'), body, F.lit('"'))
-    return (
-        F.when(~col.contains("'"), plain).when(~col.contains('"'), double).otherwise(escaped)
-    )
+    double = col.contains("'") & ~col.contains('"')
+    escaped = F.when(double, body).otherwise(F.replace(body, F.lit("'"), F.lit("\\'")))
+    mark = F.when(double, '"').otherwise("'")
+    return F.concat(mark, escaped, mark)
 
 
-def quoted_list(col: Column) -> Column:
-    """An array of strings as ``['a', 'b']``."""
-    return F.concat(F.lit("["), F.array_join(F.transform(col, quoted), ", "), F.lit("]"))
+def lookup(col: Column, table: dict[str, str]) -> Column:
+    """Value of a fixed table; NULL for anything not in it."""
+    pairs = [F.lit(text) for pair in table.items() for text in pair]
+    return F.try_element_at(F.create_map(*pairs), col)
 
 
 def utc_stamp(timestamp: str | Column | None = None) -> Column:

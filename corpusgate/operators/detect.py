@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusgate.errors import USER_ERROR, CorpusError
 from corpusgate.functions import json as J
 from corpusgate.functions.messages import TASK_KEYS
+from corpusgate.functions.text import is_blank
 from corpusgate.session import prepare
 from corpusgate.sources.lines import drop_blank, raw_lines
 
@@ -28,10 +29,15 @@ def detected(json: Column) -> Column:
 def with_detected_schema(lines: DataFrame) -> DataFrame:
     """Add ``detected`` to the non-blank lines; one projection."""
     prepare(lines.sparkSession)
-    parsed = J.parse_json(drop_blank(lines))
-    return parsed.withColumn("detected", detected(F.col("json"))).withColumn(
-        "is_json", F.col("json").isNotNull()
-    ).drop("json")
+    outcome = F.struct(
+        detected(F.col("json")).alias("detected"),
+        F.col("json").isNotNull().alias("is_json"),
+        is_blank(F.col("value")).alias("blank"),
+    )
+    settled = J.settled(J.parse_json(lines), "_outcome", outcome)
+    return settled.filter("NOT _outcome.blank").select(
+        *lines.columns, "_outcome.detected", "_outcome.is_json"
+    )
 
 
 def schema_profile(lines: DataFrame, by: list[str] | None = None) -> DataFrame:

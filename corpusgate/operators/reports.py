@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusgate.functions.text import is_blank
-from corpusgate.operators.rules import require_schema, validate
+from corpusgate.operators.rules import BLANK, require_schema, validate
 from corpusgate.sources.lines import file_list, raw_lines
 
 
@@ -23,24 +22,17 @@ def file_report(spark: SparkSession, path: str | list[str], schema: str) -> Data
     """
     require_schema(schema)
     raw = raw_lines(spark, path)
-    # A blank line is judged as an empty object under its own label, so that
-    # blank and other lines pass through one scan. Grouping by the outcome keeps
-    # every aggregate buffer a number (hash aggregation, no sort).
-    blank = is_blank(F.col("value"))
-    judged = validate(
-        raw.withColumn("blank", blank).withColumn(
-            "value", F.when(blank, "{}").otherwise(F.col("value"))
-        ),
-        schema,
-    )
-    outcome = F.when(F.col("blank"), "blank").otherwise(F.coalesce("rule", F.lit("valid")))
+    # Grouping by the outcome keeps every aggregate buffer a number (hash
+    # aggregation, no sort).
+    judged = validate(raw, schema, keep_blank=True)
+    outcome = F.coalesce("rule", F.lit("valid"))
     outcomes = judged.groupBy("file", "block", outcome.alias("outcome")).agg(
         F.count("*").alias("n"), F.min("seq").alias("seq")
     )
-    bad = ~F.col("outcome").isin("blank", "valid")
+    bad = ~F.col("outcome").isin(BLANK, "valid")
     splits = outcomes.groupBy("file", "block").agg(
         F.sum("n").alias("lines"),
-        F.sum(F.when(F.col("outcome") == "blank", F.col("n")).otherwise(0)).alias("blanks"),
+        F.sum(F.when(F.col("outcome") == BLANK, F.col("n")).otherwise(0)).alias("blanks"),
         F.sum(F.when(bad, F.col("n")).otherwise(0)).alias("invalid"),
         F.min("seq").alias("first_seq"),
         F.min(F.when(bad, F.struct("seq", F.col("outcome").alias("rule")))).alias("first_bad"),

@@ -7,8 +7,6 @@ branches is that order.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,73 +20,81 @@ from corpusgate.functions.messages import (
     SCHEMAS,
     TASK_KEYS,
 )
-from corpusgate.functions.text import quoted, quoted_list
+from corpusgate.functions.text import is_blank, lookup, quoted
 from corpusgate.session import prepare
-from corpusgate.sources.lines import drop_blank
+
+# Outcome of a blank line; never a violation.
+BLANK = "blank"
 
 CHAT_RECORD = "array<struct<role:string,content:string>>"
 
 
-def _fault(rule: str, got: Column | None = None, at: Column | None = None, key: str = "") -> Column:
-    """One violation as a struct; ``rule`` carries the key for per-key rules."""
+def _fault(
+    rule: str, at: Column | None = None, kind: Column | None = None, words: Column | None = None
+) -> Column:
+    """A violation: its rule, the message index, the offending type or words."""
     return F.struct(
-        F.lit(f"{rule}:{key}" if key else rule).alias("rule"),
+        F.lit(rule).alias("rule"),
         (F.lit(None).cast("int") if at is None else at).alias("at"),
-        (F.lit(None).cast("string") if got is None else got).alias("got"),
+        (F.lit(None).cast("string") if kind is None else kind).alias("kind"),
+        (F.lit(None).cast("array<string>") if words is None else words).alias("words"),
     )
 
 
-def _extra_keys(top: Column, allowed: list[str]) -> Column:
-    return F.array_sort(F.array_except(F.map_keys(top), F.array(*[F.lit(k) for k in allowed])))
+def _top_faults(allowed: list[str]) -> Column:
+    known = F.array(*[F.lit(k) for k in allowed])
+    extra = F.array_sort(F.array_except(F.map_keys("_top"), known))
+    return (
+        F.when(is_blank(F.col("value")), _fault(BLANK))
+        .when(F.col("json").isNull(), _fault("invalid_json"))
+        .when(F.col("_top").isNull(), _fault("not_object", kind=J.kind(F.col("json"))))
+        .when(F.size(extra) > 0, _fault("unexpected_keys", words=extra))
+    )
 
 
 def _message_fault(message: Column, index: Column) -> Column:
-    role = J.member(message, "role")
-    content = J.member(message, "content")
+    role, content = message["role"], message["content"]
     name = role.cast("string")
     absent = (
-        F.when(~J.is_object(message), _fault("message_not_object", J.type_name(message), index))
-        .when(role.isNull(), _fault("role_missing", at=index))
-        .otherwise(_fault("content_missing", at=index))
+        F.when(
+            J.kind(message["self"]) != "OBJECT",
+            _fault("message_not_object", index, J.kind(message["self"])),
+        )
+        .when(role.isNull(), _fault("role_missing", index))
+        .otherwise(_fault("content_missing", index))
     )
     return (
         F.when(role.isNull() | content.isNull(), absent)
-        .when(~J.is_string(role), _fault("role_not_string", J.type_name(role), index))
-        .when(~name.isin(ROLES), _fault("role_invalid", quoted(name), index))
-        .when(~J.is_string(content), _fault("content_not_string", J.type_name(content), index))
-    )
-
-
-def _top_faults(allowed: list[str]) -> Column:
-    extra = _extra_keys(F.col("_top"), allowed)
-    return (
-        F.when(F.col("json").isNull(), _fault("invalid_json"))
-        .when(F.col("_top").isNull(), _fault("not_object", J.type_name(F.col("json"))))
-        .when(F.size(extra) > 0, _fault("unexpected_keys", quoted_list(extra)))
+        .when(~J.is_string(role), _fault("role_not_string", index, J.kind(role)))
+        .when(~name.isin(ROLES), _fault("role_invalid", index, words=F.array(name)))
+        .when(~J.is_string(content), _fault("content_not_string", index, J.kind(content)))
     )
 
 
 def _chat(parsed: DataFrame) -> DataFrame:
+    opened = F.transform(
+        J.elements(F.col("_messages")),
+        lambda m: F.struct(
+            m.alias("self"),
+            J.member(m, "role").alias("role"),
+            J.member(m, "content").alias("content"),
+        ),
+    )
     staged = (
         parsed.withColumn("_top", J.fields(F.col("json")))
         .withColumn("_messages", F.try_element_at("_top", F.lit("messages")))
-        .withColumn("_list", J.elements(F.col("_messages")))
-        .withColumn(
-            "_bad",
-            F.get(
-                F.filter(F.transform("_list", _message_fault), lambda f: f.isNotNull()), F.lit(0)
-            ),
-        )
+        .withColumn("_list", opened)
     )
+    faults = F.filter(F.transform("_list", _message_fault), lambda f: f.isNotNull())
     fault = (
         _top_faults(CHAT_KEYS)
         .when(F.col("_messages").isNull(), _fault("missing_messages"))
-        .when(F.col("_list").isNull(), _fault("messages_not_list", J.type_name(F.col("_messages"))))
+        .when(F.col("_list").isNull(), _fault("messages_not_list", kind=J.kind(F.col("_messages"))))
         .when(F.size("_list") == 0, _fault("messages_empty"))
-        .otherwise(F.col("_bad"))
+        .otherwise(F.get(faults, F.lit(0)))
     )
     messages = F.try_variant_get("_messages", "$", CHAT_RECORD).alias("messages")
-    return _close(staged.withColumn("_fault", fault), "chat", F.struct(messages))
+    return _close(J.settled(staged, "_fault", fault), "chat", F.struct(messages))
 
 
 def _task(parsed: DataFrame) -> DataFrame:
@@ -96,47 +102,37 @@ def _task(parsed: DataFrame) -> DataFrame:
     fault = _top_faults(TASK_KEYS)
     for key in TASK_KEYS:
         value = F.try_element_at("_top", F.lit(key))
-        fault = fault.when(value.isNull(), _fault("missing_key", key=key)).when(
-            ~J.is_string(value), _fault("key_not_string", J.type_name(value), key=key)
+        fault = fault.when(value.isNull(), _fault(f"missing_key:{key}")).when(
+            ~J.is_string(value), _fault(f"key_not_string:{key}", kind=J.kind(value))
         )
     record = F.struct(
         *[F.try_element_at("_top", F.lit(key)).cast("string").alias(key) for key in TASK_KEYS]
     )
-    return _close(staged.withColumn("_fault", fault), "task", record)
-
-
-def _fill(template: str, schema: str, rule: str) -> Column:
-    """A message template with its placeholders replaced by columns."""
-    text = template.replace("{schema}", schema).replace("{key}", rule.partition(":")[2])
-    slots = {"{at}": F.col("_fault.at").cast("string"), "{got}": F.col("_fault.got")}
-    pieces = re.split(r"(\{at\}|\{got\})", text)
-    return F.concat(*[slots.get(piece, F.lit(piece)) for piece in pieces])
-
-
-def _rules(schema: str) -> list[str]:
-    shared = ["invalid_json", "not_object", "unexpected_keys"]
-    if schema == "chat":
-        return [r for r in MESSAGES if r not in ("missing_key", "key_not_string")]
-    return shared + [f"{r}:{k}" for k in TASK_KEYS for r in ("missing_key", "key_not_string")]
-
-
-def _close(staged: DataFrame, schema: str, record: Column) -> DataFrame:
-    rule = F.col("_fault.rule")
-    message, hint = None, None
-    for name in _rules(schema):
-        base = name.split(":", 1)[0]
-        text = _fill(MESSAGES[base], schema, name)
-        message = F.when(rule == name, text) if message is None else message.when(rule == name, text)
-        fixed = F.lit(HINTS[base])
-        hint = F.when(rule == name, fixed) if hint is None else hint.when(rule == name, fixed)
-    if "line_no" in staged.columns:
+    return _close(J.settled(staged, "_fault", fault), "task", record)
+
+
+def _close(judged: DataFrame, schema: str, record: Column) -> DataFrame:
+    """Turn the violation into rule, message and hint columns."""
+    rule, none = F.col("_fault.rule"), F.lit("")
+    base, key = F.split_part(rule, F.lit(":"), F.lit(1)), F.split_part(rule, F.lit(":"), F.lit(2))
+    words = F.array_join(F.transform("_fault.words", quoted), ", ")
+    got = F.coalesce(
+        J.type_name(F.col("_fault.kind")),
+        F.when(rule == "unexpected_keys", F.concat(F.lit("["), words, F.lit("]"))).otherwise(words),
+        none,
+    )
+    message = lookup(base, {r: m.replace("{schema}", schema) for r, m in MESSAGES.items()})
+    message = F.replace(message, F.lit("{key}"), key)
+    message = F.replace(message, F.lit("{at}"), F.coalesce(F.col("_fault.at").cast("string"), none))
+    message = F.replace(message, F.lit("{got}"), got)
+    if "line_no" in judged.columns:
         message = F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(": "), message)
-    kept = [c for c in staged.columns if not c.startswith("_") and c != "json"]
-    return staged.select(
+    kept = [c for c in judged.columns if not c.startswith("_") and c != "json"]
+    return judged.select(
         *kept,
         rule.alias("rule"),
         message.alias("message"),
-        hint.alias("remediation"),
+        lookup(base, HINTS).alias("remediation"),
         F.when(rule.isNull(), record).alias("record"),
     )
 
@@ -151,17 +147,23 @@ def require_schema(schema: str) -> str:
     return schema
 
 
-def validate(lines: DataFrame, schema: str, column: str = "value") -> DataFrame:
+def validate(
+    lines: DataFrame, schema: str, column: str = "value", keep_blank: bool = False
+) -> DataFrame:
     """Judge every non-blank line: adds ``rule``, ``message``, ``remediation``
     (NULL when valid) and ``record`` (NULL when not).
 
-    Blank lines are dropped, the others keep their line numbers.
+    Blank lines are dropped, the others keep their line numbers. ``keep_blank``
+    keeps them under the rule ``blank``.
     """
     require_schema(schema)
     prepare(lines.sparkSession)
     source = lines if column == "value" else lines.withColumnRenamed(column, "value")
-    parsed = J.parse_json(drop_blank(source))
-    return _chat(parsed) if schema == "chat" else _task(parsed)
+    parsed = J.parse_json(source)
+    judged = _chat(parsed) if schema == "chat" else _task(parsed)
+    if keep_blank:
+        return judged
+    return judged.filter(F.col("rule").isNull() | (F.col("rule") != BLANK))
 
 
 def valid_records(validated: DataFrame) -> DataFrame:

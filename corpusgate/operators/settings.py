@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusgate.functions import json as J
+from corpusgate.functions.text import lookup
 from corpusgate.session import prepare
 
 # Required run keys, accepted methods and the default method.
@@ -35,46 +36,39 @@ _SQL_TYPE = {"int": "bigint", "float": "double", "bool": "boolean"}
 _NOUN = {"int": "an integer", "float": "a number", "bool": "a boolean"}
 
 
-def _right_type(kind: str, value: Column) -> Column:
-    test = {"int": J.is_integer, "float": J.is_number, "bool": J.is_boolean}[kind]
-    return test(value)
+def _bounds(low, high) -> str:
+    return f"[{low}, {high}]" if high is not None else f">= {low}"
 
 
-def _bounds(kind: str, low, high) -> str:
-    return f"[{low}, {high}]" if high is not None else f">= {low}"
+def _is_kind(wanted: str, kind: Column) -> Column:
+    if wanted == "int":
+        return kind == "BIGINT"
+    if wanted == "bool":
+        return kind == "BOOLEAN"
+    return kind.isin("BIGINT", "DECIMAL", "DOUBLE")
 
 
-def _faults(name: str, kind: str, low, high) -> list[tuple[Column, Column, Column]]:
-    """(condition, rule, message) for one hyperparameter; absent ones pass."""
-    value = F.try_element_at("_hp", F.lit(name))
-    wrong = value.isNotNull() & ~_right_type(kind, value)
-    out = [
-        (
-            wrong,
-            F.lit(f"{name}:type"),
-            F.concat(F.lit(f"{name} must be {_NOUN[kind]}, got "), J.type_name(value)),
-        )
-    ]
-    if low is not None:
-        number = F.try_variant_get(value, "$", _SQL_TYPE[kind])
-        outside = number < low if high is None else (number < low) | (number > high)
-        # A comparison with NaN is false here: only real numbers are out of range.
-        if kind == "float":
-            outside = outside & ~F.isnan(number)
-        where = "be" if kind == "int" else "be in"
-        out.append(
-            (
-                outside,
-                F.lit(f"{name}:range"),
-                F.concat(
-                    F.lit(f"{name} must {where} {_bounds(kind, low, high)}, got "),
-                    number.cast("string"),
-                ),
-            )
-        )
+def _templates() -> dict[str, str]:
+    """Message per rule; {got} is the offending type or value."""
+    out = {"invalid_json": "settings are not valid JSON"}
+    out |= {f"{key}:required": f"missing required key '{key}'" for key in RUN_KEYS}
+    out["method:one_of"] = "invalid method {got}"
+    for name, kind, _, low, high in HYPERPARAMETERS:
+        out[f"{name}:type"] = f"{name} must be {_NOUN[kind]}, got {{got}}"
+        where = "must be" if kind == "int" else "must be in"
+        out[f"{name}:range"] = f"{name} {where} {_bounds(low, high)}, got {{got}}"
     return out
 
 
+def _fault(rule: str, kind: Column | None = None, shown: Column | None = None) -> Column:
+    nothing = F.lit(None).cast("string")
+    return F.struct(
+        F.lit(rule).alias("rule"),
+        (nothing if kind is None else kind).alias("kind"),
+        (nothing if shown is None else shown).alias("shown"),
+    )
+
+
 def check_settings(df: DataFrame, column: str = "settings") -> DataFrame:
     """Add ``rule``, ``message`` (NULL when valid) and ``resolved``.
 
@@ -89,26 +83,25 @@ def check_settings(df: DataFrame, column: str = "settings") -> DataFrame:
         .withColumn("_hp", J.fields(J.member(F.col("json"), "hyperparameters")))
     )
     method = F.try_element_at("_run", F.lit("method"))
-    faults = [
-        (F.col("json").isNull(), F.lit("invalid_json"), F.lit("settings are not valid JSON")),
-    ]
+    fault = F.when(F.col("json").isNull(), _fault("invalid_json"))
     for key in RUN_KEYS:
-        absent = F.try_element_at("_run", F.lit(key)).isNull()
-        faults.append((absent, F.lit(f"{key}:required"), F.lit(f"missing required key '{key}'")))
+        absent = F.coalesce(~F.map_contains_key("_run", key), F.lit(True))
+        fault = fault.when(absent, _fault(f"{key}:required"))
     allowed = J.is_string(method) & method.cast("string").isin(METHODS)
-    faults.append(
-        (
-            method.isNotNull() & ~allowed,
-            F.lit("method:one_of"),
-            F.concat(F.lit("invalid method "), F.to_json(method)),
-        )
+    fault = fault.when(
+        method.isNotNull() & ~allowed, _fault("method:one_of", shown=F.to_json(method))
     )
-    for name, kind, _, low, high in HYPERPARAMETERS:
-        faults += _faults(name, kind, low, high)
-    fault = None
-    for condition, rule, message in faults:
-        entry = F.struct(rule.alias("rule"), message.alias("message"))
-        fault = F.when(condition, entry) if fault is None else fault.when(condition, entry)
+    for name, wanted, _, low, high in HYPERPARAMETERS:
+        value = F.try_element_at("_hp", F.lit(name))
+        fault = fault.when(
+            value.isNotNull() & ~_is_kind(wanted, J.kind(value)), _fault(f"{name}:type", J.kind(value))
+        )
+        if low is not None:
+            number = F.try_variant_get(value, "$", _SQL_TYPE[wanted])
+            # NaN compares as greater than every number in Spark, as false in
+            # the checks meant here.
+            top = (number > high) & ~F.isnan(number) if high is not None else F.lit(False)
+            fault = fault.when((number < low) | top, _fault(f"{name}:range", shown=number.cast("string")))
 
     def text(key: str) -> Column:
         return F.try_variant_get(F.try_element_at("_run", F.lit(key)), "$", "string")
@@ -118,11 +111,12 @@ def check_settings(df: DataFrame, column: str = "settings") -> DataFrame:
     for name, kind, default, _, _ in HYPERPARAMETERS:
         value = F.try_variant_get(F.try_element_at("_hp", F.lit(name)), "$", _SQL_TYPE[kind])
         resolved.append(F.coalesce(value, F.lit(default).cast(_SQL_TYPE[kind])).alias(name))
-    judged = parsed.withColumn("_fault", fault)
-    kept = [c for c in df.columns]
+    judged = J.settled(parsed, "_fault", fault)
+    got = F.coalesce(J.type_name(F.col("_fault.kind")), "_fault.shown", F.lit(""))
+    message = F.replace(lookup(F.col("_fault.rule"), _templates()), F.lit("{got}"), got)
     return judged.select(
-        *kept,
+        *df.columns,
         F.col("_fault.rule").alias("rule"),
-        F.col("_fault.message").alias("message"),
+        message.alias("message"),
         F.when(F.col("_fault").isNull(), F.struct(*resolved)).alias("resolved"),
     )
