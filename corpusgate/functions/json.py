@@ -1,11 +1,15 @@
-"""Strict JSON parsing into VARIANT, and type tests on the parsed values."""
+"""Strict JSON parsing into VARIANT, and type tests on the parsed values.
+
+The tests are SQL text: a rule set is parsed in one call instead of being built
+node by node from Python.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusgate.functions.text import lookup, strip
+from corpusgate.functions.text import sql_lookup, sql_strip, sql_text
 
 # NaN and the infinities are accepted, single quotes and comments are not; one
 # string may be as long as the line.
@@ -23,8 +27,9 @@ MAX_LINE_BYTES = 120 * 1024 * 1024
 END_MARK = "~~end"
 
 
-def _variant(text: Column) -> Column:
-    return F.from_json(text, "variant", PARSE_OPTIONS)
+def _variant(text: str) -> str:
+    options = ", ".join(f"{sql_text(k)}, {sql_text(v)}" for k, v in PARSE_OPTIONS.items())
+    return f"from_json({text}, 'variant', map({options}))"
 
 
 def parse_json(lines: DataFrame, column: str = "value", into: str = "json") -> DataFrame:
@@ -37,28 +42,30 @@ def parse_json(lines: DataFrame, column: str = "value", into: str = "json") -> D
     ``[line]`` it must have one element and as ``{"r":line}`` it must parse,
     and no trailing text can satisfy both.
     """
-    text = strip(F.col(column))
+    # Stripping walks the whole line; one in braces has nothing to strip.
+    braced = f"startswith(`{column}`, '{{') AND endswith(`{column}`, '}}')"
+    text = f"if({braced}, `{column}`, {sql_strip(f'`{column}`')})"
     wrapped = f"_{into}_wrapped"
+    tail = sql_text(f',"{END_MARK}"]')
+    too_long = sql_text(f"a line exceeds {MAX_LINE_BYTES} bytes")
+    whole = _variant(f"concat('[', {text}, {tail})")
     marked = lines.withColumn(
         wrapped,
-        F.when(
-            F.octet_length(F.col(column)) > MAX_LINE_BYTES,
-            F.raise_error(F.lit(f"a line exceeds {MAX_LINE_BYTES} bytes")).cast("variant"),
-        ).otherwise(_variant(F.concat(F.lit("["), text, F.lit(f',"{END_MARK}"]')))),
-    )
-    alone = _variant(F.concat(F.lit("["), text, F.lit("]")))
-    member = _variant(F.concat(F.lit('{"r":'), text, F.lit("}")))
-    exact = F.when(
-        member.isNotNull() & F.try_variant_get(alone, "$[1]", "variant").isNull(),
-        F.try_variant_get(alone, "$[0]", "variant"),
-    )
-    usual = F.when(
-        F.try_variant_get(F.col(wrapped), "$[2]", "variant").isNull()
-        & (F.try_variant_get(F.col(wrapped), "$[1]", "string") == END_MARK),
-        F.try_variant_get(F.col(wrapped), "$[0]", "variant"),
+        F.expr(
+            f"CASE WHEN octet_length(`{column}`) > {MAX_LINE_BYTES} "
+            f"THEN CAST(raise_error({too_long}) AS VARIANT) ELSE {whole} END"
+        ),
     )
-    value = F.when(F.col(column).contains(END_MARK), exact).otherwise(usual)
-    return marked.withColumn(into, value).drop(wrapped)
+    alone = _variant(f"concat('[', {text}, ']')")
+    member = _variant(f"""concat('{{"r":', {text}, '}}')""")
+    value = f"""
+        CASE WHEN NOT contains(`{column}`, '{END_MARK}') THEN
+            CASE WHEN try_variant_get({wrapped}, '$[1]', 'string') = '{END_MARK}'
+                      AND try_variant_get({wrapped}, '$[2]', 'variant') IS NULL
+                 THEN try_variant_get({wrapped}, '$[0]', 'variant') END
+        WHEN {member} IS NOT NULL AND try_variant_get({alone}, '$[1]', 'variant') IS NULL
+            THEN try_variant_get({alone}, '$[0]', 'variant') END"""
+    return marked.withColumn(into, F.expr(value)).drop(wrapped)
 
 
 def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -72,28 +79,28 @@ def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def member(col: Column, key: str, kind: str = "variant") -> Column:
+def member(col: str, key: str) -> str:
     """A member of an object; NULL only when absent (JSON null is a value)."""
-    return F.try_variant_get(col, f"$.{key}", kind)
+    return f"try_variant_get({col}, '$.{key}', 'variant')"
 
 
-def fields(col: Column) -> Column:
+def fields(col: str) -> str:
     """Top-level object as a map, NULL for anything that is not an object."""
-    return F.try_variant_get(col, "$", "map<string,variant>")
+    return f"try_variant_get({col}, '$', 'map<string,variant>')"
 
 
-def elements(col: Column) -> Column:
+def elements(col: str) -> str:
     """Array elements, NULL for anything that is not an array."""
-    return F.try_variant_get(col, "$", "array<variant>")
+    return f"try_variant_get({col}, '$', 'array<variant>')"
 
 
-def kind(col: Column) -> Column:
+def kind(col: str) -> str:
     """Type of a parsed value: OBJECT, ARRAY, STRING, BIGINT, BOOLEAN, VOID, …"""
-    return F.regexp_extract(F.schema_of_variant(col), "^[A-Z]+", 0)
+    return f"regexp_extract(schema_of_variant({col}), '^[A-Z]+', 0)"
 
 
-def is_string(col: Column) -> Column:
-    return F.schema_of_variant(col) == "STRING"
+def is_string(col: str) -> str:
+    return f"schema_of_variant({col}) = 'STRING'"
 
 
 # JSON kinds under the names that appear in messages; every other
@@ -108,5 +115,6 @@ TYPE_NAMES = {
 }
 
 
-def type_name(kind_name: Column) -> Column:
-    return F.when(kind_name.isNotNull(), F.coalesce(lookup(kind_name, TYPE_NAMES), F.lit("float")))
+def type_name(kind_name: str) -> str:
+    named = sql_lookup(kind_name, TYPE_NAMES)
+    return f"if({kind_name} IS NULL, NULL, coalesce({named}, 'float'))"

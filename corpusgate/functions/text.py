@@ -26,11 +26,12 @@ def strip_ascii(col: Column) -> Column:
 
 
 def is_blank(col: Column) -> Column:
-    return strip(col) == ""
+    """Whether only whitespace is left; stops at the first other character."""
+    return F.ltrim(col, F.lit(UNICODE_WHITESPACE)) == ""
 
 
 def is_blank_ascii(col: Column) -> Column:
-    return strip_ascii(col) == ""
+    return F.ltrim(col, F.lit(ASCII_WHITESPACE)) == ""
 
 
 def label(col: Column) -> Column:
@@ -47,21 +48,34 @@ def contains_any(col: Column, needles: list[str]) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
-def quoted(col: Column) -> Column:
+def sql_text(text: str) -> str:
+    """A string as a SQL literal."""
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def sql_strip(expr: str) -> str:
+    return f"btrim({expr}, {sql_text(UNICODE_WHITESPACE)})"
+
+
+def sql_is_blank(expr: str) -> str:
+    return f"ltrim({sql_text(UNICODE_WHITESPACE)}, {expr}) = ''"
+
+
+def sql_quoted(expr: str) -> str:
     """A string in quotes, the way Python shows it in messages."""
-    body = F.replace(col, F.lit("\\"), F.lit("\\\\"))
+    body = f"replace({expr}, {sql_text(chr(92))}, {sql_text(chr(92) * 2)})"
     for raw, shown in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
-        body = F.replace(body, F.lit(raw), F.lit(shown))
-    double = col.contains("'") & ~col.contains('"')
-    escaped = F.when(double, body).otherwise(F.replace(body, F.lit("'"), F.lit("\\'")))
-    mark = F.when(double, '"').otherwise("'")
-    return F.concat(mark, escaped, mark)
+        body = f"replace({body}, {sql_text(raw)}, {sql_text(shown)})"
+    single = f"""concat("'", replace({body}, "'", {sql_text(chr(92) + "'")}), "'")"""
+    double = f"""concat('"', {body}, '"')"""
+    return f"""if(contains({expr}, "'") AND NOT contains({expr}, '"'), {double}, {single})"""
 
 
-def lookup(col: Column, table: dict[str, str]) -> Column:
+def sql_lookup(expr: str, table: dict[str, str]) -> str:
     """Value of a fixed table; NULL for anything not in it."""
-    pairs = [F.lit(text) for pair in table.items() for text in pair]
-    return F.try_element_at(F.create_map(*pairs), col)
+    pairs = ", ".join(f"{sql_text(k)}, {sql_text(v)}" for k, v in table.items())
+    return f"try_element_at(map({pairs}), {expr})"
 
 
 def utc_stamp(timestamp: str | Column | None = None) -> Column:

@@ -2,39 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgate.errors import USER_ERROR, CorpusError
 from corpusgate.functions import json as J
 from corpusgate.functions.messages import TASK_KEYS
-from corpusgate.functions.text import is_blank
+from corpusgate.functions.text import sql_is_blank
 from corpusgate.session import prepare
-from corpusgate.sources.lines import drop_blank, raw_lines
+from corpusgate.sources.lines import drop_blank, file_names, raw_lines
 
 
-def detected(json: Column) -> Column:
+def _detected(json: str) -> str:
     """``chat``, ``task`` or NULL for a parsed record.
 
     Any object with ``messages`` is chat, extra keys or not. An object whose
     keys all belong to the task schema and include ``task`` is task.
     """
-    keys = F.map_keys(J.fields(json))
-    known = F.array(*[F.lit(k) for k in TASK_KEYS])
-    return F.when(F.array_contains(keys, "messages"), "chat").when(
-        F.array_contains(keys, "task") & (F.size(F.array_except(keys, known)) == 0), "task"
+    keys = f"map_keys({J.fields(json)})"
+    known = ", ".join(f"'{k}'" for k in TASK_KEYS)
+    return (
+        f"CASE WHEN array_contains({keys}, 'messages') THEN 'chat' "
+        f"WHEN array_contains({keys}, 'task') AND size(array_except({keys}, array({known}))) = 0 "
+        f"THEN 'task' END"
     )
 
 
 def with_detected_schema(lines: DataFrame) -> DataFrame:
     """Add ``detected`` to the non-blank lines; one projection."""
     prepare(lines.sparkSession)
-    outcome = F.struct(
-        detected(F.col("json")).alias("detected"),
-        F.col("json").isNotNull().alias("is_json"),
-        is_blank(F.col("value")).alias("blank"),
+    outcome = (
+        f"named_struct('detected', {_detected('json')}, 'is_json', json IS NOT NULL, "
+        f"'blank', {sql_is_blank('value')})"
     )
-    settled = J.settled(J.parse_json(lines), "_outcome", outcome)
+    settled = J.settled(J.parse_json(lines), "_outcome", F.expr(outcome))
     return settled.filter("NOT _outcome.blank").select(
         *lines.columns, "_outcome.detected", "_outcome.is_json"
     )
@@ -56,13 +57,13 @@ def detect_corpus_schema(
     gives the default; without, it raises.
     """
     try:
-        files = sorted(raw_lines(spark, path).inputFiles())
+        files = file_names(raw_lines(spark, path))
     except CorpusError:
         if default is not None:
             return default
         raise
     for file in files:
-        first = drop_blank(raw_lines(spark, file)).orderBy("block", "seq").limit(1)
+        first = drop_blank(raw_lines(spark, path, only_file=file)).orderBy("block", "seq").limit(1)
         row = with_detected_schema(first).first()
         if row is None:
             continue

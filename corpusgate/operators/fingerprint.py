@@ -24,8 +24,12 @@ def _hash_in_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         digests = []
         for path in batch["path"]:
-            uri = path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
-            system, inner = fs.FileSystem.from_uri(uri)
+            local = path.startswith("file:/")
+            system, inner = (
+                (fs.LocalFileSystem(), path.removeprefix("file:"))
+                if local
+                else fs.FileSystem.from_uri(path)
+            )
             digest = hashlib.sha256()
             with system.open_input_stream(inner) as stream:
                 while piece := stream.read(_PIECE):
@@ -62,22 +66,26 @@ def file_digests(
         files.join(small.union(large), "file", "left")
         .join(counts, "file", "left")
         .select(
-            "file", "bytes", "sha256", F.coalesce("line_count", F.lit(0).cast("bigint")).alias("line_count")
+            "file",
+            "bytes",
+            F.coalesce("sha256", sha256_hex(F.lit("").cast("binary"))).alias("sha256"),
+            F.coalesce("line_count", F.lit(0).cast("bigint")).alias("line_count"),
         )
     )
 
 
-def corpus_digest(digests: DataFrame) -> DataFrame:
+def corpus_digest(digests: DataFrame, with_names: bool = True) -> DataFrame:
     """One row for a whole directory: ``(files, line_count, digest)``.
 
-    The digest sums the hashes of ``(file name, sha256)``; it depends on every
-    file and on no order.
+    The digest sums a hash per file, of its name and contents or of its contents
+    alone; it depends on every file and on no order.
     """
     name = F.element_at(F.split("file", "/"), -1)
+    parts = [name, F.col("sha256")] if with_names else [F.col("sha256")]
     return digests.agg(
         F.count("*").alias("files"),
         F.coalesce(F.sum("line_count"), F.lit(0)).alias("line_count"),
-        hash_sum(row_hash([name, F.col("sha256")])).alias("digest"),
+        hash_sum(row_hash(parts)).alias("digest"),
     )
 
 

@@ -7,7 +7,7 @@ branches is that order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusgate.errors import USER_ERROR, CorpusError
@@ -20,7 +20,7 @@ from corpusgate.functions.messages import (
     SCHEMAS,
     TASK_KEYS,
 )
-from corpusgate.functions.text import is_blank, lookup, quoted
+from corpusgate.functions.text import sql_is_blank, sql_lookup, sql_quoted, sql_text
 from corpusgate.session import prepare
 
 # Outcome of a blank line; never a violation.
@@ -30,110 +30,111 @@ CHAT_RECORD = "array<struct<role:string,content:string>>"
 
 
 def _fault(
-    rule: str, at: Column | None = None, kind: Column | None = None, words: Column | None = None
-) -> Column:
+    rule: str,
+    at: str = "CAST(NULL AS INT)",
+    kind: str = "CAST(NULL AS STRING)",
+    words: str = "CAST(NULL AS ARRAY<STRING>)",
+) -> str:
     """A violation: its rule, the message index, the offending type or words."""
-    return F.struct(
-        F.lit(rule).alias("rule"),
-        (F.lit(None).cast("int") if at is None else at).alias("at"),
-        (F.lit(None).cast("string") if kind is None else kind).alias("kind"),
-        (F.lit(None).cast("array<string>") if words is None else words).alias("words"),
-    )
+    return f"named_struct('rule', '{rule}', 'at', {at}, 'kind', {kind}, 'words', {words})"
 
 
-def _top_faults(allowed: list[str]) -> Column:
-    known = F.array(*[F.lit(k) for k in allowed])
-    extra = F.array_sort(F.array_except(F.map_keys("_top"), known))
-    return (
-        F.when(is_blank(F.col("value")), _fault(BLANK))
-        .when(F.col("json").isNull(), _fault("invalid_json"))
-        .when(F.col("_top").isNull(), _fault("not_object", kind=J.kind(F.col("json"))))
-        .when(F.size(extra) > 0, _fault("unexpected_keys", words=extra))
-    )
+def _case(branches: list[tuple[str, str]], otherwise: str = "NULL") -> str:
+    """First matching branch; this order is the order of the rules."""
+    whens = " ".join(f"WHEN {test} THEN {value}" for test, value in branches)
+    return f"CASE {whens} ELSE {otherwise} END"
 
 
-def _message_fault(message: Column, index: Column) -> Column:
-    role, content = message["role"], message["content"]
-    name = role.cast("string")
-    absent = (
-        F.when(
-            J.kind(message["self"]) != "OBJECT",
-            _fault("message_not_object", index, J.kind(message["self"])),
-        )
-        .when(role.isNull(), _fault("role_missing", index))
-        .otherwise(_fault("content_missing", index))
+def _top_faults(allowed: list[str]) -> list[tuple[str, str]]:
+    known = ", ".join(sql_text(k) for k in allowed)
+    extra = f"array_sort(array_except(map_keys(_top), array({known})))"
+    return [
+        (sql_is_blank("value"), _fault(BLANK)),
+        ("json IS NULL", _fault("invalid_json")),
+        ("_top IS NULL", _fault("not_object", kind=J.kind("json"))),
+        (f"size({extra}) > 0", _fault("unexpected_keys", words=extra)),
+    ]
+
+
+def _message_faults() -> str:
+    """Violation per message, NULL for a good one."""
+    roles = ", ".join(sql_text(r) for r in ROLES)
+    absent = _case(
+        [
+            (f"{J.kind('m.self')} <> 'OBJECT'", _fault("message_not_object", "i", J.kind("m.self"))),
+            ("m.role IS NULL", _fault("role_missing", "i")),
+        ],
+        _fault("content_missing", "i"),
     )
-    return (
-        F.when(role.isNull() | content.isNull(), absent)
-        .when(~J.is_string(role), _fault("role_not_string", index, J.kind(role)))
-        .when(~name.isin(ROLES), _fault("role_invalid", index, words=F.array(name)))
-        .when(~J.is_string(content), _fault("content_not_string", index, J.kind(content)))
+    name = "CAST(m.role AS STRING)"
+    fault = _case(
+        [
+            ("m.role IS NULL OR m.content IS NULL", absent),
+            (f"NOT {J.is_string('m.role')}", _fault("role_not_string", "i", J.kind("m.role"))),
+            (f"{name} NOT IN ({roles})", _fault("role_invalid", "i", words=f"array({name})")),
+            (f"NOT {J.is_string('m.content')}", _fault("content_not_string", "i", J.kind("m.content"))),
+        ]
     )
+    return f"transform(_list, (m, i) -> {fault})"
 
 
 def _chat(parsed: DataFrame) -> DataFrame:
-    opened = F.transform(
-        J.elements(F.col("_messages")),
-        lambda m: F.struct(
-            m.alias("self"),
-            J.member(m, "role").alias("role"),
-            J.member(m, "content").alias("content"),
-        ),
+    opened = (
+        f"transform({J.elements('_messages')}, m -> named_struct('self', m, "
+        f"'role', {J.member('m', 'role')}, 'content', {J.member('m', 'content')}))"
     )
     staged = (
-        parsed.withColumn("_top", J.fields(F.col("json")))
-        .withColumn("_messages", F.try_element_at("_top", F.lit("messages")))
-        .withColumn("_list", opened)
+        parsed.withColumn("_top", F.expr(J.fields("json")))
+        .withColumn("_messages", F.expr("try_element_at(_top, 'messages')"))
+        .withColumn("_list", F.expr(opened))
     )
-    faults = F.filter(F.transform("_list", _message_fault), lambda f: f.isNotNull())
-    fault = (
+    fault = _case(
         _top_faults(CHAT_KEYS)
-        .when(F.col("_messages").isNull(), _fault("missing_messages"))
-        .when(F.col("_list").isNull(), _fault("messages_not_list", kind=J.kind(F.col("_messages"))))
-        .when(F.size("_list") == 0, _fault("messages_empty"))
-        .otherwise(F.get(faults, F.lit(0)))
+        + [
+            ("_messages IS NULL", _fault("missing_messages")),
+            ("_list IS NULL", _fault("messages_not_list", kind=J.kind("_messages"))),
+            ("size(_list) = 0", _fault("messages_empty")),
+        ],
+        f"get(filter({_message_faults()}, f -> f IS NOT NULL), 0)",
     )
-    messages = F.try_variant_get("_messages", "$", CHAT_RECORD).alias("messages")
-    return _close(J.settled(staged, "_fault", fault), "chat", F.struct(messages))
+    record = f"named_struct('messages', try_variant_get(_messages, '$', '{CHAT_RECORD}'))"
+    return _close(J.settled(staged, "_fault", F.expr(fault)), "chat", record)
 
 
 def _task(parsed: DataFrame) -> DataFrame:
-    staged = parsed.withColumn("_top", J.fields(F.col("json")))
-    fault = _top_faults(TASK_KEYS)
+    staged = parsed.withColumn("_top", F.expr(J.fields("json")))
+    branches = _top_faults(TASK_KEYS)
+    members = []
     for key in TASK_KEYS:
-        value = F.try_element_at("_top", F.lit(key))
-        fault = fault.when(value.isNull(), _fault(f"missing_key:{key}")).when(
-            ~J.is_string(value), _fault(f"key_not_string:{key}", kind=J.kind(value))
+        value = f"try_element_at(_top, '{key}')"
+        branches.append((f"{value} IS NULL", _fault(f"missing_key:{key}")))
+        branches.append(
+            (f"NOT {J.is_string(value)}", _fault(f"key_not_string:{key}", kind=J.kind(value)))
         )
-    record = F.struct(
-        *[F.try_element_at("_top", F.lit(key)).cast("string").alias(key) for key in TASK_KEYS]
-    )
-    return _close(J.settled(staged, "_fault", fault), "task", record)
+        members.append(f"'{key}', CAST({value} AS STRING)")
+    record = f"named_struct({', '.join(members)})"
+    return _close(J.settled(staged, "_fault", F.expr(_case(branches))), "task", record)
 
 
-def _close(judged: DataFrame, schema: str, record: Column) -> DataFrame:
+def _close(judged: DataFrame, schema: str, record: str) -> DataFrame:
     """Turn the violation into rule, message and hint columns."""
-    rule, none = F.col("_fault.rule"), F.lit("")
-    base, key = F.split_part(rule, F.lit(":"), F.lit(1)), F.split_part(rule, F.lit(":"), F.lit(2))
-    words = F.array_join(F.transform("_fault.words", quoted), ", ")
-    got = F.coalesce(
-        J.type_name(F.col("_fault.kind")),
-        F.when(rule == "unexpected_keys", F.concat(F.lit("["), words, F.lit("]"))).otherwise(words),
-        none,
-    )
-    message = lookup(base, {r: m.replace("{schema}", schema) for r, m in MESSAGES.items()})
-    message = F.replace(message, F.lit("{key}"), key)
-    message = F.replace(message, F.lit("{at}"), F.coalesce(F.col("_fault.at").cast("string"), none))
-    message = F.replace(message, F.lit("{got}"), got)
+    base = "split_part(_fault.rule, ':', 1)"
+    words = f"array_join(transform(_fault.words, w -> {sql_quoted('w')}), ', ')"
+    listed = f"if(_fault.rule = 'unexpected_keys', concat('[', {words}, ']'), {words})"
+    got = f"coalesce({J.type_name('_fault.kind')}, {listed}, '')"
+    texts = {rule: text.replace("{schema}", schema) for rule, text in MESSAGES.items()}
+    message = f"replace({sql_lookup(base, texts)}, '{{key}}', split_part(_fault.rule, ':', 2))"
+    message = f"replace({message}, '{{at}}', coalesce(CAST(_fault.at AS STRING), ''))"
+    message = f"replace({message}, '{{got}}', {got})"
     if "line_no" in judged.columns:
-        message = F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(": "), message)
+        message = f"concat('line ', CAST(line_no AS STRING), ': ', {message})"
     kept = [c for c in judged.columns if not c.startswith("_") and c != "json"]
-    return judged.select(
-        *kept,
-        rule.alias("rule"),
-        message.alias("message"),
-        lookup(base, HINTS).alias("remediation"),
-        F.when(rule.isNull(), record).alias("record"),
+    return judged.selectExpr(
+        *[f"`{c}`" for c in kept],
+        "_fault.rule AS rule",
+        f"{message} AS message",
+        f"{sql_lookup(base, HINTS)} AS remediation",
+        f"if(_fault.rule IS NULL, {record}, NULL) AS record",
     )
 
 

@@ -6,11 +6,11 @@ one projection over the parsed settings.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusgate.functions import json as J
-from corpusgate.functions.text import lookup
+from corpusgate.functions.text import sql_lookup
 from corpusgate.session import prepare
 
 # Required run keys, accepted methods and the default method.
@@ -40,12 +40,7 @@ def _bounds(low, high) -> str:
     return f"[{low}, {high}]" if high is not None else f">= {low}"
 
 
-def _is_kind(wanted: str, kind: Column) -> Column:
-    if wanted == "int":
-        return kind == "BIGINT"
-    if wanted == "bool":
-        return kind == "BOOLEAN"
-    return kind.isin("BIGINT", "DECIMAL", "DOUBLE")
+_KINDS = {"int": "'BIGINT'", "bool": "'BOOLEAN'", "float": "'BIGINT', 'DECIMAL', 'DOUBLE'"}
 
 
 def _templates() -> dict[str, str]:
@@ -60,15 +55,59 @@ def _templates() -> dict[str, str]:
     return out
 
 
-def _fault(rule: str, kind: Column | None = None, shown: Column | None = None) -> Column:
-    nothing = F.lit(None).cast("string")
-    return F.struct(
-        F.lit(rule).alias("rule"),
-        (nothing if kind is None else kind).alias("kind"),
-        (nothing if shown is None else shown).alias("shown"),
+def _fault(rule: str, kind: str = "NULL", shown: str = "NULL") -> str:
+    return (
+        f"named_struct('rule', '{rule}', 'kind', CAST({kind} AS STRING), "
+        f"'shown', CAST({shown} AS STRING))"
     )
 
 
+def _branches() -> list[tuple[str, str]]:
+    """(condition, violation) in the order of the checks."""
+    method = "try_element_at(_run, 'method')"
+    allowed = ", ".join(f"'{m}'" for m in METHODS)
+    out = [("json IS NULL", _fault("invalid_json"))]
+    for key in RUN_KEYS:
+        present = f"coalesce(map_contains_key(_run, '{key}'), false)"
+        out.append((f"NOT {present}", _fault(f"{key}:required")))
+    out.append(
+        (
+            f"{method} IS NOT NULL AND NOT ({J.is_string(method)} "
+            f"AND CAST({method} AS STRING) IN ({allowed}))",
+            _fault("method:one_of", shown=f"to_json({method})"),
+        )
+    )
+    for name, wanted, _, low, high in HYPERPARAMETERS:
+        value = f"try_element_at(_hp, '{name}')"
+        out.append(
+            (
+                f"{value} IS NOT NULL AND {J.kind(value)} NOT IN ({_KINDS[wanted]})",
+                _fault(f"{name}:type", kind=J.kind(value)),
+            )
+        )
+        if low is not None:
+            number = f"try_variant_get({value}, '$', '{_SQL_TYPE[wanted]}')"
+            test = f"{number} < {low}"
+            if high is not None:
+                # Spark orders NaN above every number; here it passes.
+                test += f" OR ({number} > {high} AND NOT isnan({number}))"
+            out.append((test, _fault(f"{name}:range", shown=number)))
+    return out
+
+
+def _resolved() -> str:
+    """The settings with absent ones filled in."""
+    pairs = [
+        f"'{key}', try_variant_get(try_element_at(_run, '{key}'), '$', 'string')" for key in RUN_KEYS
+    ]
+    method = "try_variant_get(try_element_at(_run, 'method'), '$', 'string')"
+    pairs.append(f"'method', coalesce({method}, '{DEFAULT_METHOD}')")
+    for name, kind, default, _, _ in HYPERPARAMETERS:
+        value = f"try_variant_get(try_element_at(_hp, '{name}'), '$', '{_SQL_TYPE[kind]}')"
+        pairs.append(f"'{name}', coalesce({value}, CAST({default} AS {_SQL_TYPE[kind]}))")
+    return f"named_struct({', '.join(pairs)})"
+
+
 def check_settings(df: DataFrame, column: str = "settings") -> DataFrame:
     """Add ``rule``, ``message`` (NULL when valid) and ``resolved``.
 
@@ -79,44 +118,15 @@ def check_settings(df: DataFrame, column: str = "settings") -> DataFrame:
     prepare(df.sparkSession)
     parsed = (
         J.parse_json(df, column)
-        .withColumn("_run", J.fields(J.member(F.col("json"), "run")))
-        .withColumn("_hp", J.fields(J.member(F.col("json"), "hyperparameters")))
+        .withColumn("_run", F.expr(J.fields(J.member("json", "run"))))
+        .withColumn("_hp", F.expr(J.fields(J.member("json", "hyperparameters"))))
     )
-    method = F.try_element_at("_run", F.lit("method"))
-    fault = F.when(F.col("json").isNull(), _fault("invalid_json"))
-    for key in RUN_KEYS:
-        absent = F.coalesce(~F.map_contains_key("_run", key), F.lit(True))
-        fault = fault.when(absent, _fault(f"{key}:required"))
-    allowed = J.is_string(method) & method.cast("string").isin(METHODS)
-    fault = fault.when(
-        method.isNotNull() & ~allowed, _fault("method:one_of", shown=F.to_json(method))
-    )
-    for name, wanted, _, low, high in HYPERPARAMETERS:
-        value = F.try_element_at("_hp", F.lit(name))
-        fault = fault.when(
-            value.isNotNull() & ~_is_kind(wanted, J.kind(value)), _fault(f"{name}:type", J.kind(value))
-        )
-        if low is not None:
-            number = F.try_variant_get(value, "$", _SQL_TYPE[wanted])
-            # NaN compares as greater than every number in Spark, as false in
-            # the checks meant here.
-            top = (number > high) & ~F.isnan(number) if high is not None else F.lit(False)
-            fault = fault.when((number < low) | top, _fault(f"{name}:range", shown=number.cast("string")))
-
-    def text(key: str) -> Column:
-        return F.try_variant_get(F.try_element_at("_run", F.lit(key)), "$", "string")
-
-    resolved = [text(k).alias(k) for k in RUN_KEYS]
-    resolved.append(F.coalesce(text("method"), F.lit(DEFAULT_METHOD)).alias("method"))
-    for name, kind, default, _, _ in HYPERPARAMETERS:
-        value = F.try_variant_get(F.try_element_at("_hp", F.lit(name)), "$", _SQL_TYPE[kind])
-        resolved.append(F.coalesce(value, F.lit(default).cast(_SQL_TYPE[kind])).alias(name))
-    judged = J.settled(parsed, "_fault", fault)
-    got = F.coalesce(J.type_name(F.col("_fault.kind")), "_fault.shown", F.lit(""))
-    message = F.replace(lookup(F.col("_fault.rule"), _templates()), F.lit("{got}"), got)
-    return judged.select(
-        *df.columns,
-        F.col("_fault.rule").alias("rule"),
-        message.alias("message"),
-        F.when(F.col("_fault").isNull(), F.struct(*resolved)).alias("resolved"),
+    whens = " ".join(f"WHEN {test} THEN {fault}" for test, fault in _branches())
+    judged = J.settled(parsed, "_fault", F.expr(f"CASE {whens} END"))
+    got = f"coalesce({J.type_name('_fault.kind')}, _fault.shown, '')"
+    return judged.selectExpr(
+        *[f"`{c}`" for c in df.columns],
+        "_fault.rule AS rule",
+        f"replace({sql_lookup('_fault.rule', _templates())}, '{{got}}', {got}) AS message",
+        f"if(_fault IS NULL, {_resolved()}, NULL) AS resolved",
     )

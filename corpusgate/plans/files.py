@@ -104,8 +104,8 @@ FROM (SELECT role, to_json({'conv_id': conv_id, 'turn': turn, 'role': role, 'tex
 
 
 def corpus_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One digest for the whole directory of files."""
-    return corpus_digest(file_digests(spark, _turn_files(spark, sf_dir)))
+    """One digest for the whole directory; the names are new in each run."""
+    return corpus_digest(file_digests(spark, _turn_files(spark, sf_dir)), with_names=False)
 
 
 def stream_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,11 +114,11 @@ def stream_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = new_path(spark, "intake")
     start_intake(lines, "task", out, new_path(spark, "intake-state")).awaitTermination()
     rule = F.coalesce("rule", F.lit("valid")).alias("rule")
-    return spark.read.parquet(out).groupBy(F.col("accepted").cast("boolean").alias("accepted"), rule).agg(F.count("*").alias("n"))
+    return spark.read.parquet(out).groupBy("verdict", rule).agg(F.count("*").alias("n"))
 
 
 STREAM_INTAKE = f"""
-SELECT rule IS NULL AS accepted, coalesce(rule, 'valid') AS rule, count(*) AS n FROM {JUDGED} GROUP BY 1, 2
+SELECT CASE WHEN rule IS NULL THEN 'accepted' ELSE 'rejected' END AS verdict, coalesce(rule, 'valid') AS rule, count(*) AS n FROM {JUDGED} GROUP BY 1, 2
 """
 
 

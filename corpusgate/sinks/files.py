@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -11,25 +11,29 @@ def write_text_column(rendered: DataFrame, path: str, mode: str = "errorifexists
     rendered.select("text").write.mode(mode).parquet(path)
 
 
+def with_verdict(validated: DataFrame) -> DataFrame:
+    """Add ``verdict``; a rejected line keeps its text, an accepted one its record."""
+    bad = F.col("rule").isNotNull()
+    return validated.withColumn("verdict", F.when(bad, "rejected").otherwise("accepted")).withColumn(
+        "value", F.when(bad, F.col("value"))
+    )
+
+
 def write_judged(validated: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Accepted and rejected lines in one pass, as ``accepted=true|false`` folders.
+    """Accepted and rejected lines in one pass, as two ``verdict=`` folders.
 
-    One job, no shuffle and no cached copy: each task writes both folders. A
-    rejected line keeps its text, an accepted one its record.
+    One job, no shuffle and no cached copy: each task writes both folders.
     """
-    out = validated.withColumn("accepted", F.col("rule").isNull()).withColumn(
-        "value", F.when(F.col("rule").isNotNull(), F.col("value"))
-    )
-    out.write.mode(mode).partitionBy("accepted").parquet(path)
+    with_verdict(validated).write.mode(mode).partitionBy("verdict").parquet(path)
 
 
-def read_accepted(spark, path: str) -> DataFrame:
-    judged = spark.read.parquet(path).filter("accepted")
-    return judged.drop("accepted", "value", "rule", "message", "remediation")
+def read_accepted(spark: SparkSession, path: str) -> DataFrame:
+    judged = spark.read.parquet(path).filter("verdict = 'accepted'")
+    return judged.drop("verdict", "value", "rule", "message", "remediation")
 
 
-def read_rejected(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path).filter("NOT accepted").drop("accepted", "record")
+def read_rejected(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).filter("verdict = 'rejected'").drop("verdict", "record")
 
 
 def write_manifest(manifest: DataFrame, path: str, history: str | None = None) -> None:

@@ -24,11 +24,17 @@ BROADCAST_SPLITS = 500_000
 _ROW_BITS = 33  # bits monotonically_increasing_id() leaves for the row number
 
 
-def raw_lines(spark: SparkSession, path: str | list[str], line_sep: str | None = None) -> DataFrame:
+def raw_lines(
+    spark: SparkSession,
+    path: str | list[str],
+    line_sep: str | None = None,
+    only_file: str | None = None,
+) -> DataFrame:
     r"""``(file, block, seq, value)``: one row per physical line, blanks kept.
 
     ``seq`` rises along each split but is no line number yet. Lines end at
-    ``\n``, ``\r\n`` or ``\r`` unless ``line_sep`` says otherwise.
+    ``\n``, ``\r\n`` or ``\r`` unless ``line_sep`` says otherwise. ``only_file``
+    keeps the scan to one file of the path.
     """
     prepare(spark)
     reader = spark.read.option("ignoreCorruptFiles", "false").option("ignoreMissingFiles", "false")
@@ -40,6 +46,8 @@ def raw_lines(spark: SparkSession, path: str | list[str], line_sep: str | None =
         raise CorpusError(
             ENV_ERROR, f"cannot open {path}", "Check that the path exists and is readable."
         ) from exc
+    if only_file is not None:
+        text = text.filter(F.col("_metadata.file_path") == only_file)
     return text.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -141,6 +149,14 @@ def read_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return number_records(raw_lines(spark, path))
 
 
+def file_names(df: DataFrame) -> list[str]:
+    """Names of a file relation's files in order, empty ones too.
+
+    They come from the listing the driver already holds; no file is opened.
+    """
+    return sorted(name.replace("file:///", "file:/", 1) for name in df.inputFiles())
+
+
 def file_list(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(file, bytes)`` of all files, empty ones too; no content is read."""
     prepare(spark)
@@ -150,4 +166,9 @@ def file_list(spark: SparkSession, path: str | list[str]) -> DataFrame:
         raise CorpusError(
             ENV_ERROR, f"cannot open {path}", "Check that the path exists and is readable."
         ) from exc
-    return found.select(F.col("_metadata.file_path").alias("file"), F.col("length").alias("bytes"))
+    names = spark.createDataFrame([(name,) for name in file_names(found)], "file string")
+    # A scan leaves empty files out.
+    sizes = found.select(F.col("_metadata.file_path").alias("file"), F.col("length").alias("bytes"))
+    return names.join(sizes, "file", "left").select(
+        "file", F.coalesce("bytes", F.lit(0).cast("bigint")).alias("bytes")
+    )

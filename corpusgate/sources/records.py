@@ -34,9 +34,10 @@ def read_runs(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """
     prepare(spark)
     try:
-        runs = spark.read.schema(RUN_RECORD).json(path, multiLine=True, mode="PERMISSIVE")
+        texts = spark.read.text(path, wholetext=True)
     except AnalysisException as exc:
         raise CorpusError(
             ENV_ERROR, f"cannot read run records at {path}", "Check that the path exists."
         ) from exc
-    return runs.withColumn("file", F.col("_metadata.file_path"))
+    record = F.from_json("value", RUN_RECORD, {"mode": "PERMISSIVE"})
+    return texts.select(F.col("_metadata.file_path").alias("file"), record.alias("r")).select("file", "r.*")

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from corpusgate.functions.digest import sha256_hex
 from corpusgate.operators.rules import validate
 from corpusgate.session import prepare
+from corpusgate.sinks.files import write_judged
 
 
 def line_stream(spark: SparkSession, path: str, **options: str) -> DataFrame:
@@ -36,15 +37,14 @@ def start_intake(
     checkpoint: str,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Validate a stream of lines into ``out/batch=N/accepted=true|false``.
+    """Validate a stream of lines into ``out/batch=N/verdict=…``.
 
     A batch overwrites its own folder, so a repeated batch after a failure
     leaves the same result as a single one.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        judged = batch.withColumn("accepted", F.col("rule").isNull())
-        judged.write.mode("overwrite").partitionBy("accepted").parquet(f"{out}/batch={batch_id}")
+        write_judged(batch, f"{out}/batch={batch_id}", mode="overwrite")
 
     return (
         validate(stream, schema)
