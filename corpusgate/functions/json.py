@@ -84,6 +84,12 @@ def member(col: str, key: str) -> str:
     return f"try_variant_get({col}, '$.{key}', 'variant')"
 
 
+def record(col: str, key: str, names: list[str]) -> str:
+    """A member object as a struct of parsed values, NULL where one is absent."""
+    shape = ",".join(f"{name}:variant" for name in names)
+    return f"try_variant_get({col}, '$.{key}', 'struct<{shape}>')"
+
+
 def fields(col: str) -> str:
     """Top-level object as a map, NULL for anything that is not an object."""
     return f"try_variant_get({col}, '$', 'map<string,variant>')"

@@ -52,9 +52,10 @@ def detect_corpus_schema(
 ) -> str:
     """Schema of the corpus's first non-blank record, in file name and line order.
 
-    Files are opened one by one until one holds a record, so normally a single
-    split of a single file is read. With ``default`` every failure to detect
-    gives the default; without, it raises.
+    Files are opened one by one until one holds a record. A scan of one file
+    hands out its splits in order, and ``take`` starts with the first of them,
+    so normally one split of one file is read. With ``default`` every failure
+    to detect gives the default; without, it raises.
     """
     try:
         files = file_names(raw_lines(spark, path))
@@ -63,10 +64,10 @@ def detect_corpus_schema(
             return default
         raise
     for file in files:
-        first = drop_blank(raw_lines(spark, path, only_file=file)).orderBy("block", "seq").limit(1)
-        row = with_detected_schema(first).first()
-        if row is None:
+        first = drop_blank(raw_lines(spark, path, only_file=file)).select("value").take(1)
+        if not first:
             continue
+        row = with_detected_schema(spark.createDataFrame(first, "value string")).first()
         if row["detected"] is not None:
             return row["detected"]
         if default is not None:

@@ -24,11 +24,13 @@ CHATML = ChatTemplate(
 
 
 def _pick(role: Column, table: dict[str, str]) -> Column:
+    """The template's text for a role; a role it lacks fails the job."""
     out = None
     for name, text in table.items():
         test = role == name
         out = F.when(test, text) if out is None else out.when(test, text)
-    return out
+    missing = F.raise_error(F.concat(F.lit("the chat template has no role "), role))
+    return out.otherwise(missing.cast("string"))
 
 
 def segment(role: Column, content: Column, template: ChatTemplate = CHATML) -> Column:

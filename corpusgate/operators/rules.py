@@ -218,10 +218,10 @@ def require_valid(validated: DataFrame, order: list[str]) -> None:
     file order looked up.
     """
     bad = validated.filter(F.col("rule").isNotNull())
-    if bad.limit(1).count():
+    if bad.select("rule").take(1):
         worst = bad.orderBy(*order).select("rule", "message", "remediation").first()
         raise CorpusError(USER_ERROR, worst["message"], worst["remediation"])
-    if not validated.limit(1).count():
+    if not validated.select("rule").take(1):
         raise CorpusError(
             USER_ERROR,
             "the corpus contains no records (empty or blank-only)",

@@ -52,13 +52,22 @@ def exact_match(prediction: Column, expected: Column) -> Column:
     return F.coalesce(strip(prediction) == strip(expected), F.lit(False))
 
 
-def score(suite: DataFrame, predictions: DataFrame, on: list[str]) -> DataFrame:
+def score(suite: DataFrame, predictions: DataFrame, on: list[str], salt: int = 1) -> DataFrame:
     """Join predictions onto the suite and mark exact matches.
 
-    ``on`` identifies an item of the suite. Every item stays, also without a
-    prediction.
+    ``on`` identifies an item; every item stays, also without a prediction.
+    Items are normally unique. If one key holds many suite rows, ``salt`` deals
+    them out over that many tasks, copies of a row too, each task with its own copy
+    of the key's single prediction.
     """
-    joined = suite.join(one_prediction(predictions, on), on, "left")
+    single = one_prediction(predictions, on)
+    if salt > 1:
+        suite = suite.withColumn("_salt", F.pmod(F.xxhash64(*suite.columns, F.spark_partition_id()), F.lit(salt)))
+        salts = F.array(*[F.lit(i).cast("bigint") for i in range(salt)])
+        single = single.withColumn("_salt", F.explode(salts))
+        joined = suite.join(single, [*on, "_salt"], "left").drop("_salt")
+    else:
+        joined = suite.join(single, on, "left")
     return joined.withColumn("exact_match", exact_match(F.col("prediction"), F.col("expected_output")))
 
 

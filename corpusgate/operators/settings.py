@@ -40,7 +40,13 @@ def _bounds(low, high) -> str:
     return f"[{low}, {high}]" if high is not None else f">= {low}"
 
 
-_KINDS = {"int": "'BIGINT'", "bool": "'BOOLEAN'", "float": "'BIGINT', 'DECIMAL', 'DOUBLE'"}
+def _is_kind(wanted: str, value: str) -> str:
+    found = f"schema_of_variant({value})"
+    if wanted == "int":
+        return f"{found} = 'BIGINT'"
+    if wanted == "bool":
+        return f"{found} = 'BOOLEAN'"
+    return f"({found} IN ('BIGINT', 'DOUBLE') OR startswith({found}, 'DECIMAL'))"
 
 
 def _templates() -> dict[str, str]:
@@ -64,12 +70,11 @@ def _fault(rule: str, kind: str = "NULL", shown: str = "NULL") -> str:
 
 def _branches() -> list[tuple[str, str]]:
     """(condition, violation) in the order of the checks."""
-    method = "try_element_at(_run, 'method')"
+    method = "_run.method"
     allowed = ", ".join(f"'{m}'" for m in METHODS)
     out = [("json IS NULL", _fault("invalid_json"))]
     for key in RUN_KEYS:
-        present = f"coalesce(map_contains_key(_run, '{key}'), false)"
-        out.append((f"NOT {present}", _fault(f"{key}:required")))
+        out.append((f"_run.{key} IS NULL", _fault(f"{key}:required")))
     out.append(
         (
             f"{method} IS NOT NULL AND NOT ({J.is_string(method)} "
@@ -78,10 +83,10 @@ def _branches() -> list[tuple[str, str]]:
         )
     )
     for name, wanted, _, low, high in HYPERPARAMETERS:
-        value = f"try_element_at(_hp, '{name}')"
+        value = f"_hp.{name}"
         out.append(
             (
-                f"{value} IS NOT NULL AND {J.kind(value)} NOT IN ({_KINDS[wanted]})",
+                f"{value} IS NOT NULL AND NOT {_is_kind(wanted, value)}",
                 _fault(f"{name}:type", kind=J.kind(value)),
             )
         )
@@ -97,13 +102,11 @@ def _branches() -> list[tuple[str, str]]:
 
 def _resolved() -> str:
     """The settings with absent ones filled in."""
-    pairs = [
-        f"'{key}', try_variant_get(try_element_at(_run, '{key}'), '$', 'string')" for key in RUN_KEYS
-    ]
-    method = "try_variant_get(try_element_at(_run, 'method'), '$', 'string')"
+    pairs = [f"'{key}', try_variant_get(_run.{key}, '$', 'string')" for key in RUN_KEYS]
+    method = "try_variant_get(_run.method, '$', 'string')"
     pairs.append(f"'method', coalesce({method}, '{DEFAULT_METHOD}')")
     for name, kind, default, _, _ in HYPERPARAMETERS:
-        value = f"try_variant_get(try_element_at(_hp, '{name}'), '$', '{_SQL_TYPE[kind]}')"
+        value = f"try_variant_get(_hp.{name}, '$', '{_SQL_TYPE[kind]}')"
         pairs.append(f"'{name}', coalesce({value}, CAST({default} AS {_SQL_TYPE[kind]}))")
     return f"named_struct({', '.join(pairs)})"
 
@@ -118,8 +121,10 @@ def check_settings(df: DataFrame, column: str = "settings") -> DataFrame:
     prepare(df.sparkSession)
     parsed = (
         J.parse_json(df, column)
-        .withColumn("_run", F.expr(J.fields(J.member("json", "run"))))
-        .withColumn("_hp", F.expr(J.fields(J.member("json", "hyperparameters"))))
+        .withColumn("_run", F.expr(J.record("json", "run", RUN_KEYS + ["method"])))
+        .withColumn(
+            "_hp", F.expr(J.record("json", "hyperparameters", [h[0] for h in HYPERPARAMETERS]))
+        )
     )
     whens = " ".join(f"WHEN {test} THEN {fault}" for test, fault in _branches())
     judged = J.settled(parsed, "_fault", F.expr(f"CASE {whens} END"))
