@@ -1,5 +1,9 @@
 """Fine-tuning corpora on Spark: validate, render, score, fingerprint, check."""
 
+import sys
+
+from pyspark import cloudpickle
+
 from corpusgate.errors import CorpusError
 from corpusgate.operators.checks import (
     check_columns,
@@ -57,4 +61,8 @@ from corpusgate.sources.lines import drop_blank, raw_lines, read_lines, read_rec
 from corpusgate.sources.records import read_runs, read_suite
 from corpusgate.sources.turns import assemble_chat, chat_lines, reply_tasks
 
+# Functions sent to Python workers travel by value, so the workers need no copy
+# of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = [name for name in dir() if not name.startswith("_")]

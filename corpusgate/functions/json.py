@@ -32,40 +32,50 @@ def _variant(text: str) -> str:
     return f"from_json({text}, 'variant', map({options}))"
 
 
-def parse_json(lines: DataFrame, column: str = "value", into: str = "json") -> DataFrame:
-    """Add ``into``: the parsed line as VARIANT, NULL where it is not strict JSON.
+def parse_json(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Add ``_line``: ``[line, "~~end"]`` as VARIANT, see ``is_strict``.
 
     The parser stops after the first complete value and would accept trailing
-    text. Each line is therefore parsed once as ``[line,"~~end"]``: the result
-    has exactly two elements, the mark last, only if the line is one complete
-    value. A line that itself contains the mark takes an exact slower test: as
-    ``[line]`` it must have one element and as ``{"r":line}`` it must parse,
-    and no trailing text can satisfy both.
+    text. With the mark behind the line, the second element is the mark only if
+    the line is one complete value. A line that itself contains the mark is
+    tested first: as ``[line]`` it must have one element and as ``{"r":line}``
+    it must parse, and no trailing text can satisfy both.
     """
     # Stripping walks the whole line; one in braces has nothing to strip.
     braced = f"startswith(`{column}`, '{{') AND endswith(`{column}`, '}}')"
     text = f"if({braced}, `{column}`, {sql_strip(f'`{column}`')})"
-    wrapped = f"_{into}_wrapped"
     tail = sql_text(f',"{END_MARK}"]')
     too_long = sql_text(f"a line exceeds {MAX_LINE_BYTES} bytes")
-    whole = _variant(f"concat('[', {text}, {tail})")
-    marked = lines.withColumn(
-        wrapped,
+    alone = _variant(f"concat('[', {text}, ']')")
+    member = _variant(f"""concat('{{"r":', {text}, '}}')""")
+    return lines.withColumn(
+        "_line",
         F.expr(
             f"CASE WHEN octet_length(`{column}`) > {MAX_LINE_BYTES} "
-            f"THEN CAST(raise_error({too_long}) AS VARIANT) ELSE {whole} END"
+            f"THEN CAST(raise_error({too_long}) AS VARIANT) "
+            f"WHEN contains(`{column}`, '{END_MARK}') AND ({member} IS NULL "
+            f"OR try_variant_get({alone}, '$[1]', 'variant') IS NOT NULL) THEN NULL "
+            f"ELSE {_variant(f"concat('[', {text}, {tail})")} END"
         ),
     )
-    alone = _variant(f"concat('[', {text}, ']')")
-    member = _variant(f"""concat('{{"r":', {text}, '}}')""")
-    value = f"""
-        CASE WHEN NOT contains(`{column}`, '{END_MARK}') THEN
-            CASE WHEN try_variant_get({wrapped}, '$[1]', 'string') = '{END_MARK}'
-                      AND try_variant_get({wrapped}, '$[2]', 'variant') IS NULL
-                 THEN try_variant_get({wrapped}, '$[0]', 'variant') END
-        WHEN {member} IS NOT NULL AND try_variant_get({alone}, '$[1]', 'variant') IS NULL
-            THEN try_variant_get({alone}, '$[0]', 'variant') END"""
-    return marked.withColumn(into, F.expr(value)).drop(wrapped)
+
+
+def is_strict() -> str:
+    """Whether the parsed line is one complete JSON value and nothing else."""
+    return f"coalesce(try_variant_get(_line, '$[1]', 'string') = '{END_MARK}', false)"
+
+
+def at(path: str = "", kind: str = "variant") -> str:
+    """A value inside the parsed line; NULL only when absent or not convertible.
+
+    JSON null is a value of its own.
+    """
+    return f"try_variant_get(_line, '$[0]{path}', '{kind}')"
+
+
+def keys(path: str = "") -> str:
+    """Keys of an object, NULL for anything that is not one."""
+    return f"map_keys({at(path, 'map<string,variant>')})"
 
 
 def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -79,25 +89,9 @@ def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def member(col: str, key: str) -> str:
-    """A member of an object; NULL only when absent (JSON null is a value)."""
-    return f"try_variant_get({col}, '$.{key}', 'variant')"
-
-
-def record(col: str, key: str, names: list[str]) -> str:
-    """A member object as a struct of parsed values, NULL where one is absent."""
-    shape = ",".join(f"{name}:variant" for name in names)
-    return f"try_variant_get({col}, '$.{key}', 'struct<{shape}>')"
-
-
-def fields(col: str) -> str:
-    """Top-level object as a map, NULL for anything that is not an object."""
-    return f"try_variant_get({col}, '$', 'map<string,variant>')"
-
-
-def elements(col: str) -> str:
-    """Array elements, NULL for anything that is not an array."""
-    return f"try_variant_get({col}, '$', 'array<variant>')"
+def record(path: str, names: list[str]) -> str:
+    """An object as a struct of parsed values, NULL where one is absent."""
+    return at(path, f"struct<{','.join(f'{name}:variant' for name in names)}>")
 
 
 def kind(col: str) -> str:

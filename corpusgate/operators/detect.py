@@ -13,13 +13,13 @@ from corpusgate.session import prepare
 from corpusgate.sources.lines import drop_blank, file_names, raw_lines
 
 
-def _detected(json: str) -> str:
+def _detected() -> str:
     """``chat``, ``task`` or NULL for a parsed record.
 
     Any object with ``messages`` is chat, extra keys or not. An object whose
     keys all belong to the task schema and include ``task`` is task.
     """
-    keys = f"map_keys({J.fields(json)})"
+    keys = J.keys()
     known = ", ".join(f"'{k}'" for k in TASK_KEYS)
     return (
         f"CASE WHEN array_contains({keys}, 'messages') THEN 'chat' "
@@ -32,7 +32,8 @@ def with_detected_schema(lines: DataFrame) -> DataFrame:
     """Add ``detected`` to the non-blank lines; one projection."""
     prepare(lines.sparkSession)
     outcome = (
-        f"named_struct('detected', {_detected('json')}, 'is_json', json IS NOT NULL, "
+        f"named_struct('detected', if({J.is_strict()}, {_detected()}, NULL), "
+        f"'is_json', {J.is_strict()}, "
         f"'blank', {sql_is_blank('value')})"
     )
     settled = J.settled(J.parse_json(lines), "_outcome", F.expr(outcome))

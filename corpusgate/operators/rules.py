@@ -28,6 +28,10 @@ BLANK = "blank"
 
 CHAT_RECORD = "array<struct<role:string,content:string>>"
 
+# Shapes of good records as Spark names them; members come in key order.
+CHAT_SHAPE = "OBJECT<messages: ARRAY<OBJECT<content: STRING, role: STRING>>>"
+TASK_SHAPE = "OBJECT<expected_output: STRING, input: STRING, task: STRING>"
+
 
 def _fault(
     rule: str,
@@ -47,11 +51,11 @@ def _case(branches: list[tuple[str, str]], otherwise: str = "NULL") -> str:
 
 def _top_faults(allowed: list[str]) -> list[tuple[str, str]]:
     known = ", ".join(sql_text(k) for k in allowed)
-    extra = f"array_sort(array_except(map_keys(_top), array({known})))"
+    extra = f"array_sort(array_except({J.keys()}, array({known})))"
     return [
         (sql_is_blank("value"), _fault(BLANK)),
-        ("json IS NULL", _fault("invalid_json")),
-        ("_top IS NULL", _fault("not_object", kind=J.kind("json"))),
+        (f"NOT {J.is_strict()}", _fault("invalid_json")),
+        (f"{J.kind(J.at())} <> 'OBJECT'", _fault("not_object", kind=J.kind(J.at()))),
         (f"size({extra}) > 0", _fault("unexpected_keys", words=extra)),
     ]
 
@@ -75,45 +79,51 @@ def _message_faults() -> str:
             (f"NOT {J.is_string('m.content')}", _fault("content_not_string", "i", J.kind("m.content"))),
         ]
     )
-    return f"transform(_list, (m, i) -> {fault})"
+    opened = (
+        f"transform({J.at('.messages', 'array<variant>')}, m -> named_struct('self', m, "
+        "'role', try_variant_get(m, '$.role', 'variant'), "
+        "'content', try_variant_get(m, '$.content', 'variant')))"
+    )
+    return f"transform({opened}, (m, i) -> {fault})"
 
 
 def _chat(parsed: DataFrame) -> DataFrame:
-    opened = (
-        f"transform({J.elements('_messages')}, m -> named_struct('self', m, "
-        f"'role', {J.member('m', 'role')}, 'content', {J.member('m', 'content')}))"
-    )
-    staged = (
-        parsed.withColumn("_top", F.expr(J.fields("json")))
-        .withColumn("_messages", F.expr("try_element_at(_top, 'messages')"))
-        .withColumn("_list", F.expr(opened))
+    staged = parsed.withColumn("_messages", F.expr(J.at(".messages", CHAT_RECORD)))
+    # The usual good record is recognised by its shape. The shape merges all
+    # messages, so an absent or null member shows as NULL in the typed copy.
+    roles = ", ".join(sql_text(r) for r in ROLES)
+    good = (
+        f"{J.is_strict()} AND schema_of_variant({J.at()}) = '{CHAT_SHAPE}' AND size(_messages) > 0 "
+        f"AND coalesce(forall(_messages, m -> m.role IN ({roles}) AND m.content IS NOT NULL), false)"
     )
+    messages = J.at(".messages")
     fault = _case(
-        _top_faults(CHAT_KEYS)
+        [(good, "NULL")]
+        + _top_faults(CHAT_KEYS)
         + [
-            ("_messages IS NULL", _fault("missing_messages")),
-            ("_list IS NULL", _fault("messages_not_list", kind=J.kind("_messages"))),
-            ("size(_list) = 0", _fault("messages_empty")),
+            (f"{messages} IS NULL", _fault("missing_messages")),
+            (f"{J.kind(messages)} <> 'ARRAY'", _fault("messages_not_list", kind=J.kind(messages))),
+            (f"size({J.at('.messages', 'array<variant>')}) = 0", _fault("messages_empty")),
         ],
         f"get(filter({_message_faults()}, f -> f IS NOT NULL), 0)",
     )
-    record = f"named_struct('messages', try_variant_get(_messages, '$', '{CHAT_RECORD}'))"
+    record = "named_struct('messages', _messages)"
     return _close(J.settled(staged, "_fault", F.expr(fault)), "chat", record)
 
 
 def _task(parsed: DataFrame) -> DataFrame:
-    staged = parsed.withColumn("_top", F.expr(J.fields("json")))
-    branches = _top_faults(TASK_KEYS)
+    good = f"{J.is_strict()} AND schema_of_variant({J.at()}) = '{TASK_SHAPE}'"
+    branches = [(good, "NULL")] + _top_faults(TASK_KEYS)
     members = []
     for key in TASK_KEYS:
-        value = f"try_element_at(_top, '{key}')"
+        value = J.at(f".{key}")
         branches.append((f"{value} IS NULL", _fault(f"missing_key:{key}")))
         branches.append(
             (f"NOT {J.is_string(value)}", _fault(f"key_not_string:{key}", kind=J.kind(value)))
         )
-        members.append(f"'{key}', CAST({value} AS STRING)")
+        members.append(f"'{key}', {J.at(f'.{key}', 'string')}")
     record = f"named_struct({', '.join(members)})"
-    return _close(J.settled(staged, "_fault", F.expr(_case(branches))), "task", record)
+    return _close(J.settled(parsed, "_fault", F.expr(_case(branches))), "task", record)
 
 
 def _close(judged: DataFrame, schema: str, record: str) -> DataFrame:
@@ -128,7 +138,7 @@ def _close(judged: DataFrame, schema: str, record: str) -> DataFrame:
     message = f"replace({message}, '{{got}}', {got})"
     if "line_no" in judged.columns:
         message = f"concat('line ', CAST(line_no AS STRING), ': ', {message})"
-    kept = [c for c in judged.columns if not c.startswith("_") and c != "json"]
+    kept = [c for c in judged.columns if not c.startswith("_")]
     return judged.selectExpr(
         *[f"`{c}`" for c in kept],
         "_fault.rule AS rule",

@@ -72,7 +72,7 @@ def _branches() -> list[tuple[str, str]]:
     """(condition, violation) in the order of the checks."""
     method = "_run.method"
     allowed = ", ".join(f"'{m}'" for m in METHODS)
-    out = [("json IS NULL", _fault("invalid_json"))]
+    out = [(f"NOT {J.is_strict()}", _fault("invalid_json"))]
     for key in RUN_KEYS:
         out.append((f"_run.{key} IS NULL", _fault(f"{key}:required")))
     out.append(
@@ -121,10 +121,8 @@ def check_settings(df: DataFrame, column: str = "settings") -> DataFrame:
     prepare(df.sparkSession)
     parsed = (
         J.parse_json(df, column)
-        .withColumn("_run", F.expr(J.record("json", "run", RUN_KEYS + ["method"])))
-        .withColumn(
-            "_hp", F.expr(J.record("json", "hyperparameters", [h[0] for h in HYPERPARAMETERS]))
-        )
+        .withColumn("_run", F.expr(J.record(".run", RUN_KEYS + ["method"])))
+        .withColumn("_hp", F.expr(J.record(".hyperparameters", [h[0] for h in HYPERPARAMETERS])))
     )
     whens = " ".join(f"WHEN {test} THEN {fault}" for test, fault in _branches())
     judged = J.settled(parsed, "_fault", F.expr(f"CASE {whens} END"))
