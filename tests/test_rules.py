@@ -2,7 +2,7 @@ import json
 import random
 
 import pytest
-import reference_rules as plain
+import plain_rules as plain
 from pyspark.sql import functions as F
 
 from corpusgate import CorpusError, validate, with_detected_schema
