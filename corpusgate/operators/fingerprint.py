@@ -16,7 +16,7 @@ from corpusgate.sources.lines import file_list, raw_lines
 
 # A file up to this size is hashed as one binary value; a larger one is read in
 # pieces by a task of its own. SHA-256 is sequential, so a file is never split.
-WHOLE_FILE_BYTES = 256 * 1024 * 1024
+WHOLE_FILE_BYTES = 128 * 1024 * 1024
 _PIECE = 8 * 1024 * 1024
 
 

@@ -132,15 +132,18 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     role = F.when(kind == "view", "user").when(kind == "click", "assistant").otherwise(kind)
     message = F.array(F.struct(role.alias("role"), F.col("props").alias("content")))
+    # The table's times carry no zone; they are read, and shown, as UTC.
+    utc = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts"))
     lines = events.select(
-        F.col("ts").cast("timestamp").alias("ts"),
+        utc.cast("timestamp").alias("ts"),
         F.to_json(F.struct(message.alias("messages"))).alias("value"),
     )
     counts = arrival_counts(validate(lines, "chat"), "ts", "1 hour", "10 minutes")
     out = new_path(spark, "counts")
     start_counts(counts, out, new_path(spark, "counts-state")).awaitTermination()
+    shown = F.to_utc_timestamp("window_start", F.current_timezone())
     return spark.read.parquet(out).select(
-        F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "rule", "n"
+        F.date_format(shown, "yyyy-MM-dd HH:mm:ss").alias("window_start"), "rule", "n"
     )
 
 

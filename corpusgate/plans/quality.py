@@ -226,7 +226,7 @@ def corpus_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         model="base-8b",
         method="qlora",
         hyperparameters=F.parse_json(F.lit('{"lora_r":16,"max_steps":60}')),
-        timestamp="2024-01-01 00:00:00",
+        timestamp="2024-01-01T00:00:00Z",
         sha256="digest",
         line_count="n_rows",
     )

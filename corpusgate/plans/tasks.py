@@ -103,10 +103,10 @@ def task_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-TASK_RENDER = """
+TASK_RENDER = f"""
 SELECT doc_id, length(t) AS n_chars, sha256(t) AS sha256 FROM (
   SELECT doc_id, 'Task: ' || lang || chr(10) || 'Input: ' || text || chr(10) || 'Output: '
-         || source || '</s>' AS t FROM documents WHERE doc_id % 10 >= 8)
+         || source || '</s>' AS t, {_RULE} AS rule FROM documents) WHERE rule IS NULL
 """
 
 

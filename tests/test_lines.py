@@ -99,3 +99,11 @@ def test_corpus_schema(spark, tmp_path):
     with pytest.raises(CorpusError) as caught:
         detect_corpus_schema(spark, missing)
     assert caught.value.code == 2
+
+
+def test_corpus_schema_is_the_first_record_also_over_many_splits(spark, tmp_path, small_splits):
+    records = [TASK % 1] + [CHAT % i for i in range(300)]
+    late = write(tmp_path, "late.jsonl", "\n" * 3000 + "\n".join(records))
+    early = write(tmp_path, "early.jsonl", "\n".join(records))
+    for path in (late, early):
+        assert detect_corpus_schema(spark, path) == "task"
