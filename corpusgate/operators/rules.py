@@ -51,7 +51,7 @@ def _case(branches: list[tuple[str, str]], otherwise: str = "NULL") -> str:
 
 def _top_faults(allowed: list[str]) -> list[tuple[str, str]]:
     known = ", ".join(sql_text(k) for k in allowed)
-    extra = f"array_sort(array_except({J.keys()}, array({known})))"
+    extra = f"sort_array(array_except({J.keys()}, array({known})))"
     return [
         (sql_is_blank("value"), _fault(BLANK)),
         (f"NOT {J.is_strict()}", _fault("invalid_json")),
