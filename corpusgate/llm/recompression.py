@@ -24,6 +24,7 @@ from corpusgate.llm.common import (
 from corpusgate.llm.repeats import PLACES, classes, shared_places, spans_by_document, with_text
 
 WINDOW_WORDS = 35
+SYMBOL_WORDS = 20
 ROUNDS = 9
 RUN_ROUNDS = (0, 3, 6)
 SEGMENT_WORDS = 1 << 20
@@ -86,7 +87,8 @@ class Symbols:
 
 
 def levels(hashes: np.ndarray, text: np.ndarray, window: int) -> list[tuple]:
-    """``(level, names, lo, hi)`` of the symbols new at each level that a window can hold."""
+    """``(level, names, lo, hi)`` of the symbols new at each level that depend on at most
+    ``window`` words."""
     at = np.arange(len(hashes))
     now = Symbols(hashes, text, at, at + 1)
     out = [(0, hashes, at, at + 1)]
@@ -104,14 +106,14 @@ def levels(hashes: np.ndarray, text: np.ndarray, window: int) -> list[tuple]:
 def places(hashes: np.ndarray, text: np.ndarray, window: int, powers: Powers):
     """Text number, key, context hash, first window and number of windows of all places.
 
-    A window's key is the first of the highest new symbols that depend on words of
-    the window only, so equal windows have equal keys at equal distances.
+    A window's key is the first of the highest new symbols that depend on few words,
+    all of the window, so equal windows have equal keys at equal distances.
     """
     starts = np.flatnonzero(text[: max(len(text) - window + 1, 0)] == text[window - 1 :])
     key, anchor = np.zeros(len(starts), np.uint64), np.full(len(starts), -1)
     base = 0
     open_ = np.arange(len(starts))
-    for level, name, lo, hi in reversed(levels(hashes, text, window)) if len(starts) else ():
+    for level, name, lo, hi in reversed(levels(hashes, text, min(SYMBOL_WORDS, window))) if len(starts) else ():
         at = np.searchsorted(lo, starts[open_])
         at[at == len(lo)] = len(lo) - 1
         fits = (lo[at] >= starts[open_]) & (hi[at] <= starts[open_] + window)

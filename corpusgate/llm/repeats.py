@@ -17,25 +17,25 @@ from corpusgate.llm.common import staged
 PLACES = "array<struct<key:bigint,ctx:bigint,at:int,n:int>>"
 
 
-def shared_places(read: DataFrame, name: str) -> DataFrame:
-    """``(num, doc_id, key, ctx, at, n)`` of the places whose key occurs again.
+def shared_places(read: DataFrame, name: str, *order: str) -> DataFrame:
+    """``(num, *order, key, ctx, at, n)`` of the places whose key occurs again.
 
     Counts are reduced before the shuffle; the join back is left to Spark, which
     splits a hot key.
     """
-    places = read.select("num", "doc_id", F.explode("places").alias("p")).select("num", "doc_id", "p.*")
+    places = read.select("num", *order, F.explode("places").alias("p")).select("num", *order, "p.*")
     often = places.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     return staged(places.join(often, "key"), name)
 
 
-def classes(shared: DataFrame, name: str) -> DataFrame:
+def classes(shared: DataFrame, name: str, *order: str) -> DataFrame:
     """Places with equal text as one class: ``(key, ctx, size, rivals, first)``.
 
-    ``first`` is the place that comes first by document and start, ``rivals`` the
+    ``first`` is the place that comes first by ``order``, document and start, ``rivals`` the
     number of classes that share the key. Only where there are rivals can windows of
     different places still be equal.
     """
-    first = F.min(F.struct("doc_id", "num", "at", "n")).alias("first")
+    first = F.min(F.struct(*order, "num", "at", "n")).alias("first")
     alike = staged(shared.groupBy("key", "ctx").agg(F.count("*").alias("size"), first), name)
     rivals = alike.groupBy("key").agg(F.count("*").alias("rivals"))
     return alike.join(rivals, "key")

@@ -179,8 +179,8 @@ def without_later_copies(
         docs = staged(numbered(docs), "suffix-docs")
         rid = F.col("rid")
     read = read_places(docs, rid, window, gram)
-    shared = shared_places(read, "suffix-shared")
-    alike = staged(classes(shared, "suffix-classes"), "suffix-rivals")
+    shared = shared_places(read, "suffix-shared", "doc_id")
+    alike = staged(classes(shared, "suffix-classes", "doc_id"), "suffix-rivals")
     copies = shared.join(alike.filter("size > 1").select("key", "ctx", "first"), ["key", "ctx"])
     copies = copies.filter("num <> first.num OR at <> first.at")
     covered = copies.select("num", F.col("at").alias("s"), (F.col("at") + F.col("n") + window - 1).alias("e"))
