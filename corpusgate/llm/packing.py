@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -57,36 +55,6 @@ class OpenBins:
         return bin_id, self.capacity - free
 
 
-class Ids:
-    """Token ids of texts as little-endian 32-bit values, word by word.
-
-    No token of the byte-level vocabulary reaches from a visible character into the
-    space behind it, so a text may be cut there and a word with its space coded once.
-    Texts with a space behind anything but the characters known to be visible, such
-    as another space, are coded in one go. The memory of words is bounded.
-    """
-
-    KEPT = 200_000
-
-    def __init__(self, tokenizer):
-        self.tokenizer, self.words, self.doubtful = tokenizer, {}, re.compile("[^!-~À-ÿ] ")
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def of(self, text: str) -> bytes:
-        if self.doubtful.search(text):
-            return self.whole(text)
-        first, *words = text.split(" ")
-        if len(self.words) > self.KEPT:
-            self.words.clear()
-        new = [w for w in set(words) if w not in self.words]
-        if new:
-            coded = self.tokenizer.encode_batch_fast([f" {w}" for w in new], add_special_tokens=False)
-            self.words.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(new, coded))
-        return self.whole(first) + b"".join(map(self.words.__getitem__, words))
-
-
 def piece_sizes(n: int, capacity: int) -> list[int]:
     """A document of ``n`` ids: whole if it fits, else full pieces behind a shorter first one."""
     rest = n % capacity
@@ -123,14 +91,14 @@ def pack(
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
         context = TaskContext.get()
-        return Ids(tokenizer), OpenBins(capacity, open_bins), (context.partitionId() if context else 0) << 40
+        return tokenizer, OpenBins(capacity, open_bins), (context.partitionId() if context else 0) << 40
 
     def work(rows: pa.RecordBatch, state):
-        ids, bins, base = state
-        end = np.array([end_id], "<u4").tobytes()
+        tokenizer, bins, base = state
+        texts = rows.column(1).fill_null("").to_pylist()
         out: list[list] = [[] for _ in range(7)]
-        for doc_id, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
-            coded = ids.of(text or "") + end
+        for doc_id, found in zip(rows.column(0).to_pylist(), tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            coded = np.array([*found.ids, end_id], "<u4").tobytes()
             start = 0
             for piece, size in enumerate(piece_sizes(len(coded) // 4, capacity)):
                 bin_id, offset = bins.place(size)
