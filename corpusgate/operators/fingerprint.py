@@ -121,16 +121,21 @@ def manifest(
 
 
 def manifest_drift(before: DataFrame, after: DataFrame, on: list[str], digest: str) -> DataFrame:
-    """Status per key of two manifests: same, changed, added or removed."""
-    left = before.select(*on, F.col(digest).alias("before"))
-    right = after.select(*on, F.col(digest).alias("after"))
+    """Status per key of two manifests: same, changed, added or removed. Null keys
+    match each other."""
+    left = before.select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(on)], F.col(digest).alias("before"))
+    right = after.select(*[F.col(c).alias(f"_a{i}") for i, c in enumerate(on)], F.col(digest).alias("after"))
+    alike = F.lit(True)
+    for i in range(len(on)):
+        alike = alike & F.col(f"_b{i}").eqNullSafe(F.col(f"_a{i}"))
+    keys = [F.coalesce(f"_b{i}", f"_a{i}").alias(c) for i, c in enumerate(on)]
     status = (
         F.when(F.col("before").isNull(), "added")
         .when(F.col("after").isNull(), "removed")
         .when(F.col("before") == F.col("after"), "same")
         .otherwise("changed")
     )
-    return left.join(right, on, "full_outer").select(*on, status.alias("status"))
+    return left.join(right, alike, "full_outer").select(*keys, status.alias("status"))
 
 
 def run_groups(runs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from corpusgate.operators.completeness import members
 from corpusgate.operators.render import explode_messages, prompts, render_chat, render_turns
 from corpusgate.operators.rules import first_violation, valid_records, validate
 from corpusgate.plans.tables import damaged_chat_lines, table
-from corpusgate.sources.turns import RECORD_SPAN, assemble_chat, chat_lines, reply_tasks
+from corpusgate.sources.turns import assemble_chat, chat_lines, reply_tasks
 
 SEGMENT = "'<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10)"
 
@@ -51,7 +51,7 @@ def chat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CHAT_RECORDS = f"""
 SELECT conv_id, part, n_messages, text, sha256(text) AS text_sha256 FROM (
-  SELECT conv_id, turn // {RECORD_SPAN} AS part, count(*) AS n_messages,
+  SELECT conv_id, CAST(0 AS BIGINT) AS part, count(*) AS n_messages,
          string_agg({SEGMENT}, '' ORDER BY turn) AS text
   FROM conversations GROUP BY ALL)
 """
@@ -69,7 +69,7 @@ def chat_message_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHAT_MESSAGE_PROFILE = f"""
 SELECT role, pos AS "at", count(*) AS n, sum(length(text))::BIGINT AS chars FROM (
   SELECT role, text, row_number() OVER (
-    PARTITION BY conv_id, turn // {RECORD_SPAN} ORDER BY turn) - 1 AS pos
+    PARTITION BY conv_id ORDER BY turn) - 1 AS pos
   FROM conversations) GROUP BY role, pos
 """
 
@@ -97,7 +97,7 @@ CASE conv_id % 16
   WHEN 13 THEN 'expected a JSON object, got list' END
 """
 _RECORDS = f"""
-(SELECT conv_id, turn // {RECORD_SPAN} AS part, count(*) AS n FROM conversations GROUP BY ALL)
+(SELECT conv_id, CAST(0 AS BIGINT) AS part, count(*) AS n FROM conversations GROUP BY ALL)
 """
 
 

@@ -215,7 +215,7 @@ a AS (SELECT source, lang, sum({_DOC_HASH}) AS d FROM (
 SELECT coalesce(b.source, a.source) AS source, coalesce(b.lang, a.lang) AS lang,
   CASE WHEN b.d IS NULL THEN 'added' WHEN a.d IS NULL THEN 'removed'
        WHEN a.d = b.d THEN 'same' ELSE 'changed' END AS status
-FROM b FULL JOIN a ON a.source = b.source AND a.lang = b.lang
+FROM b FULL JOIN a ON a.source IS NOT DISTINCT FROM b.source AND a.lang IS NOT DISTINCT FROM b.lang
 """
 
 

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
-from corpusgate.errors import ENV_ERROR, CorpusError
-
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Set the runtime options the JSON and line operators depend on.
@@ -26,20 +23,11 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``.
-
-    Where the session names none, a temporary folder is used, in local mode
-    only: on a cluster a machine-local folder would be lost with its machine.
-    """
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or where the
+    session names none, a folder in its warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise CorpusError(
-                ENV_ERROR,
-                "spark.checkpoint.dir is not set",
-                "Set spark.checkpoint.dir to a folder shared by all executors.",
-            )
-        base = tempfile.mkdtemp(prefix="corpusgate-")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)

@@ -5,23 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Messages per assembled record. A longer conversation becomes several
-# consecutive records, so no task ever holds more than this many positions of
-# one conversation, however long it is.
-RECORD_SPAN = 64
+# Positions that the first of two aggregations puts together.
+CHUNK_TURNS = 64
 
 
-def assemble_chat(turns: DataFrame, span: int = RECORD_SPAN) -> DataFrame:
+def assemble_chat(turns: DataFrame, span: int | None = None) -> DataFrame:
     """``(conv_id, part, messages)`` with messages in turn order.
 
-    ``part`` is ``turn div span``. The set aggregate merges repeated deliveries
-    of one message before the shuffle, so a hot group of copies stays small;
+    A conversation is one record, ``part`` 0, however long it is: stretches of turns
+    are put together first and joined to the whole record then. With ``span`` it
+    becomes one record for each ``turn div span``, which ``part`` numbers. The set
+    aggregate merges repeated deliveries of one message before the shuffle;
     different messages at one position are all kept.
     """
     message = F.struct("turn", "role", F.col("text").alias("content"))
+    part = F.expr(f"turn div {int(span)}") if span else F.lit(0).cast("bigint")
     return (
-        turns.groupBy("conv_id", F.expr(f"turn div {int(span)}").alias("part"))
-        .agg(F.array_sort(F.collect_set(message)).alias("ordered"))
+        turns.groupBy("conv_id", part.alias("part"), F.expr(f"turn div {CHUNK_TURNS}").alias("chunk"))
+        .agg(F.collect_set(message).alias("some"))
+        .groupBy("conv_id", "part")
+        .agg(F.array_sort(F.flatten(F.collect_list("some"))).alias("ordered"))
         .select(
             "conv_id",
             "part",

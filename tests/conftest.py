@@ -9,7 +9,8 @@ sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    scratch = tmp_path_factory.mktemp("scratch")
     session = (
         SparkSession.builder.master("local[8]")
         .appName("tests")
@@ -18,6 +19,7 @@ def spark():
         .config("spark.driver.memory", "6g")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", str(scratch))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

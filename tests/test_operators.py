@@ -238,3 +238,14 @@ def test_sinks(spark, tmp_path):
         '{"expected_output":"é\\"","prediction":"x","exact_match":false}',
         '{"expected_output":"y","prediction":null,"exact_match":false}',
     ]
+
+
+def test_long_conversation_is_one_record(spark):
+    turns = spark.range(300).selectExpr("7L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('t', id) AS text")
+    row = cg.assemble_chat(turns).collect()
+    assert len(row) == 1 and [m.content for m in row[0].messages] == [f"t{i}" for i in range(300)]
+
+
+def test_drift_matches_null_keys(spark):
+    rows = spark.createDataFrame([(None, "x"), ("a", "y")], "k string, d string")
+    assert {(r.k, r.status) for r in cg.manifest_drift(rows, rows, ["k"], "d").collect()} == {(None, "same"), ("a", "same")}
