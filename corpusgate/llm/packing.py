@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -13,6 +16,7 @@ from corpusgate.llm.common import map_texts, table
 CAPACITY = 2048
 OPEN_BINS = 1024
 END_ID = 0
+WORD_BYTES = 128 << 20
 
 
 class OpenBins:
@@ -55,6 +59,55 @@ class OpenBins:
         return bin_id, self.capacity - free
 
 
+class Coder:
+    """Token ids of texts, as little-endian unsigned 32-bit numbers.
+
+    The tokenizer always cuts before a single space between two characters that are
+    not white space, and between a letter and a mark. So a text's ids are those of
+    its parts, cut there, put together, and a part is coded once for as long as it is
+    remembered. What is remembered takes about ``limit`` bytes and what one batch of
+    texts holds.
+    """
+
+    cut = re.compile(r"(?= \S)(?<=\S)|(?=[.,;:!?])(?<=[A-Za-z])")
+    odd = re.compile(r"(?s).\s|^[^\S ]|^ ?\Z")
+
+    def __init__(self, tokenizer, limit: int = WORD_BYTES):
+        self.tokenizer, self.limit = tokenizer, limit
+        self.known: dict[str, bytes] = {}
+        self.size = 0
+        (self.line_end,) = self._ids("\n")
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _remember(self, parts: list[str], coded: list[bytes]) -> None:
+        self.known.update(zip(parts, coded))
+        self.size += sum(map(len, parts)) + sum(map(len, coded)) + 200 * len(parts)
+
+    def _learn(self, parts: set[str]) -> None:
+        """Parts with no white space but one leading space are coded as the lines of one
+        text, where each line end is an id of its own; others one by one."""
+        lines, others, odd = [], [], self.odd.search
+        for part in parts:
+            (others if odd(part) else lines).append(part)
+        ids = np.array(self._ids("".join([f"{part}\n" for part in lines])), "<u4")
+        ends = np.flatnonzero(ids == self.line_end).tolist()
+        coded = ids.tobytes()
+        starts = [0, *[e + 1 for e in ends]]
+        self._remember(lines, [coded[4 * a : 4 * b] for a, b in zip(starts, ends)])
+        found = self.tokenizer.encode_batch_fast(others, add_special_tokens=False)
+        self._remember(others, [np.array(f.ids, "<u4").tobytes() for f in found])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [self.cut.split(text) for text in texts]
+        parts = set(chain.from_iterable(cut))
+        if self.size > self.limit:
+            self.known, self.size = {}, 0
+        self._learn(parts.difference(self.known))
+        return [b"".join(map(self.known.__getitem__, of)) for of in cut]
+
+
 def piece_sizes(n: int, capacity: int) -> list[int]:
     """A document of ``n`` ids: whole if it fits, else full pieces behind a shorter first one."""
     rest = n % capacity
@@ -91,14 +144,15 @@ def pack(
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
         context = TaskContext.get()
-        return tokenizer, OpenBins(capacity, open_bins), (context.partitionId() if context else 0) << 40
+        return Coder(tokenizer), OpenBins(capacity, open_bins), (context.partitionId() if context else 0) << 40
 
     def work(rows: pa.RecordBatch, state):
-        tokenizer, bins, base = state
+        coder, bins, base = state
         texts = rows.column(1).fill_null("").to_pylist()
         out: list[list] = [[] for _ in range(7)]
-        for doc_id, found in zip(rows.column(0).to_pylist(), tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            coded = np.array([*found.ids, end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4").tobytes()
+        for doc_id, coded in zip(rows.column(0).to_pylist(), coder.encode(texts)):
+            coded += end
             start = 0
             for piece, size in enumerate(piece_sizes(len(coded) // 4, capacity)):
                 bin_id, offset = bins.place(size)

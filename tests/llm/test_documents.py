@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -61,6 +62,19 @@ def test_packing_is_gapless_and_exact(spark, documents, odd_rows):
     assert packing.pack(documents([])).count() == 0
 
 
+def test_parts_coded_once_give_the_tokenizers_ids():
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    rng = random.Random(1)
+    signs = ["a", "Bc", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "\u2003", "'s", "'", "1", ".", ",", "!?", "é", "\u0558", "🙂", "\u0300", "汉", "\r\n", "\u200b", "\x00", "<|endoftext|>"]
+    texts = ["", " ", "\n", *("".join(rng.choices(signs, k=rng.randrange(30))) for _ in range(5000))]
+    want = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for limit in (0, 1 << 30):
+        coder = packing.Coder(tokenizer, limit)
+        assert [x for i in range(0, len(texts), 100) for x in coder.encode(texts[i : i + 100])] == want
+        assert coder.encode([]) == []
+
+
 def test_best_fit_closes_the_fullest():
     bins = packing.OpenBins(10, 2)
     assert bins.place(6) == (0, 0) and bins.place(7) == (1, 0)
