@@ -29,7 +29,8 @@ OOM_TEXTS = ["out of memory"]
 def with_scope(df: DataFrame, model: str, method: str) -> DataFrame:
     """Add ``scope_class, ok, out_of_scope, warning, scope_message, downgrade_to``.
 
-    The lookup table has six rows, whatever the data.
+    The lookup table has six rows, whatever the data. A null method is unsupported; it
+    and a null model are shown as empty.
     """
     spark = df.sparkSession
     table = F.broadcast(
@@ -38,11 +39,11 @@ def with_scope(df: DataFrame, model: str, method: str) -> DataFrame:
     joined = df.withColumn("_label", label(F.col(method))).join(table, "_label", "left")
     kind = F.coalesce("scope_class", F.lit("unsupported"))
     ok = kind == "adapter"
-    shown = F.concat(F.lit("method '"), F.col(method), F.lit("'"))
+    shown = F.concat(F.lit("method '"), F.coalesce(F.col(method), F.lit("")), F.lit("'"))
     warning = F.when(
         kind == "full_tuning", F.concat(shown, F.lit(" trains all weights; use lora or qlora"))
     ).when(kind == "unsupported", F.concat(shown, F.lit(" is not supported; use lora or qlora")))
-    request = F.concat(F.lit("model '"), F.col(model), F.lit("' with "), shown)
+    request = F.concat(F.lit("model '"), F.coalesce(F.col(model), F.lit("")), F.lit("' with "), shown)
     return joined.drop("_label").withColumns(
         {
             "scope_class": kind,

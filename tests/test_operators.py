@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpusgate as cg
 from corpusgate.functions.text import UNICODE_WHITESPACE, contains_any, is_blank, label, strip, strip_ascii
+from corpusgate.operators.classify import with_scope
 from corpusgate.operators.settings import HYPERPARAMETERS, check_settings
 from corpusgate.sinks.files import read_accepted, read_rejected, result_json, write_judged, write_results, write_text_column
 
@@ -249,3 +250,11 @@ def test_long_conversation_is_one_record(spark):
 def test_drift_matches_null_keys(spark):
     rows = spark.createDataFrame([(None, "x"), ("a", "y")], "k string, d string")
     assert {(r.k, r.status) for r in cg.manifest_drift(rows, rows, ["k"], "d").collect()} == {(None, "same"), ("a", "same")}
+
+
+def test_scope_of_a_missing_method(spark):
+    rows = spark.createDataFrame([(None, None), ("m", None)], "model string, method string")
+    got = with_scope(rows, "model", "method").collect()
+    assert all(r.scope_class == "unsupported" and not r.ok for r in got)
+    assert all(r.warning == "method '' is not supported; use lora or qlora" for r in got)
+    assert sum("model 'm' with method ''" in (r.scope_message or "") for r in got) == 1
