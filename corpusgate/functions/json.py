@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from corpusgate.functions.text import sql_lookup, sql_strip, sql_text
 
 # NaN and the infinities are accepted, single quotes and comments are not; one
-# string may be as long as the line.
+# string or number may be as long as the line. Nesting keeps the parser's limit of
+# 1,000, as a VARIANT is built recursively on a thread's stack.
 PARSE_OPTIONS = {
     "mode": "PERMISSIVE",
     "allowNonNumericNumbers": "true",
     "allowSingleQuotes": "false",
     "maxStringLen": "2147483647",
+    "maxNumLen": "2147483647",
 }
 
 # A VARIANT holds at most 128 MiB; a line near that size is refused loudly

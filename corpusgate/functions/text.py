@@ -63,10 +63,18 @@ def sql_is_blank(expr: str) -> str:
 
 
 def sql_quoted(expr: str) -> str:
-    """A string in quotes, the way Python shows it in messages."""
+    """A string in quotes, the way Python shows it in messages: characters that do not
+    print become escapes. Which ones these are follows the JVM's Unicode tables."""
     body = f"replace({expr}, {sql_text(chr(92))}, {sql_text(chr(92) * 2)})"
     for raw, shown in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         body = f"replace({body}, {sql_text(raw)}, {sql_text(shown)})"
+    hidden = r"r'[\p{C}\p{Z}&&[^ ]]'"
+    code = "lower(lpad(hex(ascii(c)), 8, '0'))"
+    slash = sql_text(chr(92))
+    short = f"if(ascii(c) < 256, concat({slash}, 'x', right({code}, 2)), concat({slash}, 'u', right({code}, 4)))"
+    shown = f"if(ascii(c) < 65536, {short}, concat({slash}, 'U', {code}))"
+    each = f"transform(regexp_extract_all({body}, '(?s).', 0), c -> if(c rlike {hidden}, {shown}, c))"
+    body = f"if({body} rlike {hidden}, array_join({each}, ''), {body})"
     single = f"""concat("'", replace({body}, "'", {sql_text(chr(92) + "'")}), "'")"""
     double = f"""concat('"', {body}, '"')"""
     return f"""if(contains({expr}, "'") AND NOT contains({expr}, '"'), {double}, {single})"""

@@ -7,6 +7,7 @@ report has one row per check.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,14 @@ def int_min(col: str, minimum: int, severity: str = "error") -> Check:
     )
 
 
+def _limit(bound: float) -> Column:
+    """A bound as a decimal, so that whole numbers are not rounded to doubles."""
+    exact = Decimal(str(bound))
+    if not exact.is_finite() or len(f"{abs(exact):f}") > 38:
+        return F.lit(float(bound))
+    return F.lit(exact)
+
+
 def in_range(
     col: str,
     minimum: float | None = None,
@@ -47,26 +56,23 @@ def in_range(
     severity: str = "error",
     allow_nan: bool = False,
 ) -> Check:
-    """Values outside the inclusive bounds.
+    """Values of a numeric column outside the inclusive bounds, either of which may
+    be missing.
 
-    NaN is bad unless ``allow_nan``. Spark orders NaN above every number, so it
-    is tested on its own.
+    Whole and decimal numbers are compared exactly. NaN is bad unless ``allow_nan``.
+    Spark orders NaN above every number, so it is tested on its own.
     """
-    value = F.col(col).cast("double")
-    out = F.lit(False)
+    value = F.col(col)
+    out, shown = F.lit(False), []
     if minimum is not None:
-        out = out | (value < minimum)
+        out = out | (value < _limit(minimum))
+        shown.append(f"at least {minimum}")
     if maximum is not None:
-        out = out | (value > maximum)
-    bad = F.when(F.isnan(value), F.lit(not allow_nan)).otherwise(out)
-    bounds = f"[{minimum}, {maximum}]" if maximum is not None else f">= {minimum}"
-    return Check(
-        f"{col}:in_range",
-        bad,
-        f"{col} must be in {bounds}",
-        f"Set {col} to a number in {bounds}.",
-        severity,
-    )
+        out = out | (value > _limit(maximum))
+        shown.append(f"at most {maximum}")
+    bad = F.when(F.isnan(value.cast("double")), F.lit(not allow_nan)).otherwise(out)
+    bounds = " and ".join(shown) or "a number"
+    return Check(f"{col}:in_range", bad, f"{col} must be {bounds}", f"Make {col} {bounds}.", severity)
 
 
 def one_of(col: str, allowed: list[str], severity: str = "error", fold: bool = False) -> Check:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusgate.functions.digest import hash_sum, row_hash, sha256_hex
 from corpusgate.functions.text import is_blank_ascii, utc_stamp
@@ -74,14 +76,19 @@ def file_digests(
     )
 
 
-def corpus_digest(digests: DataFrame, with_names: bool = True) -> DataFrame:
+def corpus_digest(digests: DataFrame, root: str | None = None) -> DataFrame:
     """One row for a whole directory: ``(files, line_count, digest)``.
 
-    The digest sums a hash per file, of its name and contents or of its contents
-    alone; it depends on every file and on no order.
+    The digest sums a hash per file, of its contents and, with ``root``, of its path
+    below that folder; it depends on every file and on no order. The job fails if a
+    file is not below ``root``.
     """
-    name = F.element_at(F.split("file", "/"), -1)
-    parts = [name, F.col("sha256")] if with_names else [F.col("sha256")]
+    parts = [F.col("sha256")]
+    if root is not None:
+        top = re.sub("^[a-z0-9]+:/+", "/", root).rstrip("/") + "/"
+        at = F.instr("file", top)
+        outside = F.raise_error(F.concat(F.col("file"), F.lit(f" is not below {root}"))).cast("string")
+        parts.insert(0, F.when(at > 0, F.substr("file", at + F.length(F.lit(top)))).otherwise(outside))
     return digests.agg(
         F.count("*").alias("files"),
         F.coalesce(F.sum("line_count"), F.lit(0)).alias("line_count"),
@@ -92,11 +99,14 @@ def corpus_digest(digests: DataFrame, with_names: bool = True) -> DataFrame:
 def table_digest(df: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
     """Row count and order-insensitive digest of ``cols``, per group if asked.
 
-    Equal rows count each time. One hash aggregate with a map-side partial sum.
+    Equal rows count each time; times count as microseconds, whatever the session's
+    time zone. One hash aggregate with a map-side partial sum.
     """
+    timed = {f.name for f in df.schema if isinstance(f.dataType, T.TimestampType)}
+    values = [F.unix_micros(c) if c in timed else F.col(c) for c in cols]
     return df.groupBy(*(by or [])).agg(
         F.count("*").alias("n_rows"),
-        hash_sum(row_hash([F.col(c) for c in cols])).alias("digest"),
+        hash_sum(row_hash(values)).alias("digest"),
     )
 
 

@@ -103,5 +103,6 @@ def score_total(scored: DataFrame) -> DataFrame:
 
 
 def score_by(scored: DataFrame, by: str = "task") -> DataFrame:
-    """One row per ``by`` and one with NULL for all of them."""
-    return _with_percent(scored.rollup(by).agg(*_counts()))
+    """One row per ``by`` and one for all of them, which ``is_total`` tells from
+    that of a NULL."""
+    return _with_percent(scored.rollup(by).agg((F.grouping(by) == 1).alias("is_total"), *_counts()))

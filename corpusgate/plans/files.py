@@ -15,7 +15,7 @@ from corpusgate.plans.tables import damaged_task_lines, table
 from corpusgate.plans.tasks import JUDGED
 from corpusgate.session import new_path, prepare
 from corpusgate.sources.lines import read_records
-from corpusgate.streaming.intake import arrival_counts, line_stream, start_counts, start_intake
+from corpusgate.streaming.intake import line_stream, read_counts, start_counts, start_intake
 
 
 def _turn_files(spark: SparkSession, sf_dir: str) -> str:
@@ -85,27 +85,47 @@ SELECT count(*) AS lines, 0::BIGINT AS blanks, count(*) AS records,
 """
 
 
-def file_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes and records over all files, and whether each one has a digest."""
-    digests = file_digests(spark, _turn_files(spark, sf_dir))
-    return digests.agg(
-        F.sum("bytes").alias("bytes"),
-        F.sum("line_count").alias("line_count"),
-        F.bool_and((F.length("sha256") == 64) | (F.col("bytes") == 0)).alias("all_hashed"),
+def _shard_files(spark: SparkSession, sf_dir: str) -> str:
+    """Turns as sixteen files whose contents follow from the table alone."""
+    path = new_path(spark, "shards")
+    line = F.to_json(F.struct("conv_id", "turn", "role", "text"))
+    (
+        table(spark, sf_dir, "conversations")
+        .withColumn("shard", F.expr("conv_id % 16"))
+        .repartition("shard")
+        .sortWithinPartitions("shard", "conv_id", "turn", "role", "text")
+        .select("shard", F.when(F.col("role") == "system", F.concat(F.lit("\n"), line)).otherwise(line).alias("value"))
+        .write.partitionBy("shard")
+        .text(path)
     )
+    return path
+
+
+def file_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes, records and digest of every file."""
+    return file_digests(spark, _shard_files(spark, sf_dir)).select("bytes", "line_count", "sha256")
 
 
 FILE_FINGERPRINT = """
-SELECT sum(strlen(json) + 1 + (role = 'system')::INT)::BIGINT AS bytes, count(*) AS line_count,
-       true AS all_hashed
-FROM (SELECT role, to_json({'conv_id': conv_id, 'turn': turn, 'role': role, 'text': text})::VARCHAR AS json
+SELECT sum(strlen(line))::BIGINT AS bytes, count(*) AS line_count,
+       sha256(string_agg(line, '' ORDER BY conv_id, turn, role, text)) AS sha256
+FROM (SELECT *, CASE WHEN role = 'system' THEN chr(10) ELSE '' END
+             || to_json({'conv_id': conv_id, 'turn': turn, 'role': role, 'text': text})::VARCHAR || chr(10) AS line
       FROM conversations)
+GROUP BY conv_id % 16
 """
 
 
 def corpus_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One digest for the whole directory; the names are new in each run."""
-    return corpus_digest(file_digests(spark, _turn_files(spark, sf_dir)), with_names=False)
+    """One digest of the contents of all files; their names are new in each run."""
+    return corpus_digest(file_digests(spark, _shard_files(spark, sf_dir)))
+
+
+CORPUS_FINGERPRINT = f"""
+SELECT count(*) AS files, sum(line_count)::BIGINT AS line_count,
+       sum(('0x' || left(sha256('s64:' || sha256), 15))::BIGINT)::VARCHAR AS digest
+FROM ({FILE_FINGERPRINT})
+"""
 
 
 def stream_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,23 +158,19 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         utc.cast("timestamp").alias("ts"),
         F.to_json(F.struct(message.alias("messages"))).alias("value"),
     )
-    counts = arrival_counts(validate(lines, "chat"), "ts", "1 hour", "10 minutes")
     out = new_path(spark, "counts")
-    start_counts(counts, out, new_path(spark, "counts-state")).awaitTermination()
+    start_counts(validate(lines, "chat"), out, new_path(spark, "counts-state"), "ts").awaitTermination()
     shown = F.to_utc_timestamp("window_start", F.current_timezone())
-    return spark.read.parquet(out).select(
+    return read_counts(spark, out).select(
         F.date_format(shown, "yyyy-MM-dd HH:mm:ss").alias("window_start"), "rule", "n"
     )
 
 
-# A window is final once the newest event is ten minutes past its end.
 STREAM_COUNTS = """
 SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start,
        CASE WHEN event_type IN ('view', 'click') THEN 'valid' ELSE 'role_invalid' END AS rule,
        count(*) AS n
 FROM events
-WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR
-      <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 10 MINUTE
 GROUP BY 1, 2
 """
 
@@ -162,7 +178,7 @@ QUERIES = {
     "line_numbers": (line_numbers, LINE_NUMBERS),
     "file_report": (file_report, FILE_REPORT),
     "file_fingerprint": (file_fingerprint, FILE_FINGERPRINT),
-    "corpus_fingerprint": (corpus_fingerprint, None),
+    "corpus_fingerprint": (corpus_fingerprint, CORPUS_FINGERPRINT),
     "stream_intake": (stream_intake, STREAM_INTAKE),
     "stream_counts": (stream_counts, STREAM_COUNTS),
 }

@@ -61,9 +61,9 @@ COLUMN_CHECKS_LINEITEM = _sql_report(
     [
         ("l_orderkey:required", "l_orderkey IS NULL", "error", "l_orderkey must be present", "Fill l_orderkey."),
         ("l_linenumber:int_min", "l_linenumber < 1", "error", "l_linenumber must be >= 1", "Set l_linenumber to an integer >= 1."),
-        ("l_quantity:in_range", "l_quantity < 1", "error", "l_quantity must be in >= 1", "Set l_quantity to a number in >= 1."),
-        ("l_discount:in_range", "l_discount < 0 OR l_discount > 1", "error", "l_discount must be in [0.0, 1.0]", "Set l_discount to a number in [0.0, 1.0]."),
-        ("l_tax:in_range", "l_tax < 0 OR l_tax > 0.05", "warning", "l_tax must be in [0.0, 0.05]", "Set l_tax to a number in [0.0, 0.05]."),
+        ("l_quantity:in_range", "l_quantity < 1", "error", "l_quantity must be at least 1", "Make l_quantity at least 1."),
+        ("l_discount:in_range", "l_discount < 0 OR l_discount > 1", "error", "l_discount must be at least 0.0 and at most 1.0", "Make l_discount at least 0.0 and at most 1.0."),
+        ("l_tax:in_range", "l_tax < 0 OR l_tax > 0.05", "warning", "l_tax must be at least 0.0 and at most 0.05", "Make l_tax at least 0.0 and at most 0.05."),
         ("l_returnflag:one_of", "lower(l_returnflag) NOT IN ('a', 'n', 'r')", "error", "l_returnflag must be one of a, n, r", "Use one of a, n, r."),
         ("l_linestatus:one_of", "l_linestatus <> 'O'", "info", "l_linestatus must be one of O", "Use one of O."),
         ("l_linenumber:type", "false", "error", "l_linenumber must be of type int, is int", "Cast l_linenumber to int."),
@@ -103,7 +103,7 @@ COLUMN_CHECKS_ORDERS = _sql_report(
         ("o_orderkey:required", "o_orderkey IS NULL", "error", "o_orderkey must be present", "Fill o_orderkey."),
         ("o_orderpriority:required", "false", "error", "o_orderpriority must be present", "Fill o_orderpriority."),
         ("o_custkey:int_min", "o_custkey < 0", "error", "o_custkey must be >= 0", "Set o_custkey to an integer >= 0."),
-        ("o_totalprice:in_range", "o_totalprice < 0 OR o_totalprice > 400000", "error", "o_totalprice must be in [0.0, 400000.0]", "Set o_totalprice to a number in [0.0, 400000.0]."),
+        ("o_totalprice:in_range", "o_totalprice < 0 OR o_totalprice > 400000", "error", "o_totalprice must be at least 0.0 and at most 400000.0", "Make o_totalprice at least 0.0 and at most 400000.0."),
         ("o_orderstatus:one_of", "o_orderstatus NOT IN ('F', 'O')", "error", "o_orderstatus must be one of F, O", "Use one of F, O."),
     ],
 )

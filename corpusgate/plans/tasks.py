@@ -167,7 +167,7 @@ def score_by_task(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SCORE_BY_TASK = f"""
-SELECT task, count(*) AS total, sum(exact_match::INT)::BIGINT AS exact_match,
+SELECT task, grouping(task) = 1 AS is_total, count(*) AS total, sum(exact_match::INT)::BIGINT AS exact_match,
        {_PERCENT} AS exact_match_pct FROM {_SCORED} GROUP BY ROLLUP (task)
 """
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusgate.session import new_path
+
 
 def write_text_column(rendered: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """The ``text`` column alone, as Parquet."""
@@ -37,12 +39,17 @@ def read_rejected(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_manifest(manifest: DataFrame, path: str, history: str | None = None) -> None:
-    """The run record as JSON, and appended to a Parquet history if one is named."""
+    """The run record as JSON, and appended to a Parquet history if one is named.
+
+    The record is computed once, so both hold the same time and digests.
+    """
+    once = new_path(manifest.sparkSession, "manifest")
+    manifest.withColumn("hyperparameters", F.to_json("hyperparameters")).write.parquet(once)
+    made = manifest.sparkSession.read.parquet(once)
+    manifest = made.withColumn("hyperparameters", F.parse_json("hyperparameters"))
     manifest.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
     if history is not None:
-        manifest.withColumn("hyperparameters", F.to_json("hyperparameters")).write.mode(
-            "append"
-        ).parquet(history)
+        made.write.mode("append").parquet(history)
 
 
 def result_json(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

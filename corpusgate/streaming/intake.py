@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from corpusgate.errors import ENV_ERROR, CorpusError
 from corpusgate.functions.digest import sha256_hex
 from corpusgate.operators.rules import validate
 from corpusgate.session import prepare
@@ -30,6 +31,34 @@ def line_stream(spark: SparkSession, path: str, **options: str) -> DataFrame:
     )
 
 
+def _holds_files(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.exists(place) and len(system.listStatus(place)) > 0
+
+
+def _start(stream: DataFrame, write, out: str, checkpoint: str, trigger: dict | None) -> StreamingQuery:
+    """Hand every micro-batch and its folder below ``out`` to ``write``.
+
+    Folders are numbered by the checkpoint, so a repeated batch overwrites itself. A
+    fresh checkpoint would number other batches alike; it is refused for an output
+    that holds something.
+    """
+    spark = stream.sparkSession
+    if _holds_files(spark, out) and not _holds_files(spark, f"{checkpoint}/offsets"):
+        raise CorpusError(
+            ENV_ERROR,
+            f"{out} holds batches of another checkpoint",
+            "Name the checkpoint that belongs to it, or a new output folder.",
+        )
+    return (
+        stream.writeStream.foreachBatch(lambda batch, number: write(batch, f"{out}/batch={number}"))
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
 def start_intake(
     stream: DataFrame,
     schema: str,
@@ -37,51 +66,47 @@ def start_intake(
     checkpoint: str,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Validate a stream of lines into ``out/batch=N/verdict=…``.
+    """Validate a stream of lines into ``out/batch=N/verdict=…``."""
 
-    A batch overwrites its own folder, so a repeated batch after a failure
-    leaves the same result as a single one.
-    """
+    def write(batch: DataFrame, folder: str) -> None:
+        write_judged(batch, folder, mode="overwrite")
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        write_judged(batch, f"{out}/batch={batch_id}", mode="overwrite")
+    return _start(validate(stream, schema), write, out, checkpoint, trigger)
 
-    return (
-        validate(stream, schema)
-        .writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
 
+def arrival_counts(validated: DataFrame, time: str = "arrived", seconds: int = 3600) -> DataFrame:
+    """``(window_start, window_end, rule, n)``: rows per rule and window of ``seconds``.
 
-def arrival_counts(
-    validated: DataFrame, time: str = "arrived", width: str = "1 hour", delay: str = "10 minutes"
-) -> DataFrame:
-    """Rows per rule and arrival window; state is bounded by the watermark."""
+    Rows without a time are counted under a NULL window.
+    """
+    width = F.lit(seconds * 1_000_000).cast("bigint")
+    micros = F.unix_micros(time)
+    start = micros - F.pmod(micros, width)
     rule = F.coalesce("rule", F.lit("valid")).alias("rule")
-    return (
-        validated.withWatermark(time, delay)
-        .groupBy(F.window(time, width), rule)
-        .agg(F.count("*").alias("n"))
-        .select(
-            F.col("window.start").alias("window_start"),
-            F.col("window.end").alias("window_end"),
-            "rule",
-            "n",
-        )
-    )
+    return validated.groupBy(
+        F.timestamp_micros(start).alias("window_start"), F.timestamp_micros(start + width).alias("window_end"), rule
+    ).agg(F.count("*").alias("n"))
 
 
 def start_counts(
-    counts: DataFrame, out: str, checkpoint: str, trigger: dict | None = None
+    validated: DataFrame,
+    out: str,
+    checkpoint: str,
+    time: str = "arrived",
+    seconds: int = 3600,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Write windows as Parquet once the watermark has passed them."""
-    return (
-        counts.writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
+    """Write each batch's counts; ``read_counts`` adds them up.
+
+    No state is kept and no row is too late.
+    """
+
+    def write(batch: DataFrame, folder: str) -> None:
+        arrival_counts(batch, time, seconds).write.mode("overwrite").parquet(folder)
+
+    return _start(validated, write, out, checkpoint, trigger)
+
+
+def read_counts(spark: SparkSession, out: str) -> DataFrame:
+    """Counts over all batches so far."""
+    return spark.read.parquet(out).groupBy("window_start", "window_end", "rule").agg(F.sum("n").alias("n"))

@@ -1,6 +1,7 @@
 import hashlib
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusgate import corpus_digest, file_digests, manifest, manifest_drift, read_runs, run_groups, table_digest
@@ -37,7 +38,7 @@ def test_corpus_digest(spark, tmp_path):
         folder.mkdir()
         for name, content in files.items():
             (folder / name).write_text(content)
-        return corpus_digest(file_digests(spark, str(folder))).first()
+        return corpus_digest(file_digests(spark, str(folder)), str(folder)).first()
 
     base = digest(a="1\n2\n", b="3\n")
     assert (base.files, base.line_count) == (2, 3)
@@ -46,6 +47,42 @@ def test_corpus_digest(spark, tmp_path):
     assert digest(a="1\n2\n", c="3\n").digest != base.digest
 
 
+def test_corpus_digest_knows_folders(spark, tmp_path):
+    def digest(run, contents):
+        for name, content in contents.items():
+            (tmp_path / run / name).mkdir(parents=True)
+            (tmp_path / run / name / "a").write_text(content)
+        root = str(tmp_path / run)
+        return corpus_digest(file_digests(spark, root + "/*"), root).first().digest
+
+    assert digest("r", {"x": "1\n", "y": "2\n"}) != digest("s", {"x": "2\n", "y": "1\n"})
+    with pytest.raises(Exception, match="is not below"):
+        corpus_digest(file_digests(spark, str(tmp_path / "r" / "*")), "/elsewhere").first()
+
+
+def test_table_digest_ignores_the_time_zone(spark):
+    df = spark.sql("SELECT timestamp_seconds(1700000000) AS t")
+    found = set()
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("UTC", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            found.add(table_digest(df, ["t"]).first().digest)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert len(found) == 1
+
+
+def test_run_record_and_history_agree(spark, tmp_path):
+    (tmp_path / "d.jsonl").write_text("{}\n")
+    record = manifest(
+        file_digests(spark, str(tmp_path / "d.jsonl")), model="m", method="lora", hyperparameters=F.parse_json(F.lit("{}"))
+    )
+    write_manifest(record, str(tmp_path / "run"), str(tmp_path / "history"))
+    written = read_runs(spark, str(tmp_path / "run" / "*.json")).first()
+    assert written.timestamp == spark.read.parquet(str(tmp_path / "history")).first().timestamp
+
+
 def test_row_text_is_unambiguous(spark):
     rows = [("a", "b"), ("ab", ""), ("", "ab"), (None, "ab"), ("n", "ab"), ("ab", None), ("s1:a", "b"), (None, None), ("", "")]
     df = spark.createDataFrame(rows, "x string, y string")

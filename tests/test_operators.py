@@ -258,3 +258,32 @@ def test_scope_of_a_missing_method(spark):
     assert all(r.scope_class == "unsupported" and not r.ok for r in got)
     assert all(r.warning == "method '' is not supported; use lora or qlora" for r in got)
     assert sum("model 'm' with method ''" in (r.scope_message or "") for r in got) == 1
+
+
+def test_bounds_are_exact_and_may_be_open(spark):
+    df = spark.createDataFrame([(2**53 + 1, 1.5), (2**53, float("inf"))], "n bigint, f double")
+    checks = [cg.in_range("n", maximum=2**53), cg.in_range("f", maximum=1.5), cg.in_range("f", 1.5, float("inf")), cg.in_range("f")]
+    rows = cg.check_columns(df, checks).collect()
+    assert [r.bad_rows for r in rows] == [1, 1, 0, 0]
+    assert rows[0].message == f"n must be at most {2**53}"
+
+
+def test_quotes_show_hidden_characters(spark):
+    from corpusgate.functions.text import sql_quoted
+
+    texts = ["a", "", "\x01", "\u200b", "\U000e0001x", "\x00\x7f", "\u2028 \xa0", "it's", "\\u200b", "\t\n\r", "\U0001f600"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(F.expr(sql_quoted("t"))).collect()] == [repr(t) for t in texts]
+
+
+def test_totals_are_told_from_a_null_group(spark):
+    df = spark.createDataFrame([(None, True), ("a", False)], "task string, exact_match boolean")
+    rows = {(r.task, r.is_total): r.total for r in cg.score_by(df).collect()}
+    assert rows == {(None, False): 1, ("a", False): 1, (None, True): 2}
+
+
+def test_long_numbers_are_valid_json(spark):
+    chat = '{"messages":[{"role":"user","content":"x","y":%s}]}'
+    lines = [chat % ("7" * 1500)]
+    rows = cg.validate(spark.createDataFrame([(x,) for x in lines], "value string"), "chat").collect()
+    assert all(r.rule != "invalid_json" for r in rows)

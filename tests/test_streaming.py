@@ -1,7 +1,9 @@
+import pytest
 from pyspark.sql import functions as F
 
 from corpusgate import validate
-from corpusgate.streaming.intake import arrival_counts, line_stream, start_counts, start_intake
+from corpusgate.errors import CorpusError
+from corpusgate.streaming.intake import arrival_counts, line_stream, read_counts, start_counts, start_intake
 
 GOOD = '{"messages":[{"role":"user","content":"%s"}]}'
 
@@ -26,23 +28,31 @@ def test_intake_equals_batch_and_repeats_safely(spark, tmp_path):
     batch = validate(spark.read.text(str(inbox)), "chat")
     assert len(first) == 22 and len(second) == 24 == batch.count()
     assert spark.read.parquet(out).filter("verdict = 'rejected'").count() == batch.filter("rule IS NOT NULL").count() == 3
-    # A lost checkpoint replays everything into the same batch folders.
-    replayed = run(str(tmp_path / "fresh"))
-    assert set(replayed) == set(second)
+    assert run() == second
+    # A lost checkpoint would number its batches anew; it gets a folder of its own.
+    with pytest.raises(CorpusError, match="another checkpoint"):
+        run(str(tmp_path / "fresh"))
+    out = str(tmp_path / "again")
+    assert run(str(tmp_path / "fresh")) == second
 
 
-def test_counts_per_window(spark, tmp_path):
+def test_counts_cover_all_rows_of_all_batches(spark, tmp_path):
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 60)
     events = spark.range(600).select(
-        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 60).alias("at"),
+        F.when(F.col("id") % 50 != 0, at).alias("at"),
         F.when(F.col("id") % 3 == 0, "bad").otherwise(GOOD % "x").alias("value"),
     )
-    events.write.parquet(str(tmp_path / "events"))
-    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "events"))
-    counts = arrival_counts(validate(stream, "chat"), "at", "1 hour", "10 minutes")
-    start_counts(counts, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    got = {(r.window_start, r.rule): r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    rule = F.coalesce("rule", F.lit("valid")).alias("rule")
-    batch = validate(events, "chat").groupBy(F.window("at", "1 hour"), rule).count()
-    last = events.agg(F.max("at")).first()[0].timestamp() - 600
-    want = {(r.window.start, r.rule): r["count"] for r in batch.collect() if r.window.end.timestamp() <= last}
-    assert got == want and len(want) >= 16
+    inbox, out, state = str(tmp_path / "events"), str(tmp_path / "out"), str(tmp_path / "state")
+    # The last batch holds the oldest rows.
+    for low in (400, 200, 0):
+        events.filter((F.col("at").isNull() & F.lit(low == 400)) | at_between(low)).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(events.schema).parquet(inbox)
+        start_counts(validate(stream, "chat"), out, state, "at").awaitTermination()
+    got = sorted(map(repr, read_counts(spark, out).collect()))
+    want = arrival_counts(validate(events, "chat"), "at").collect()
+    assert got == sorted(map(repr, want)) and sum(r.n for r in want) == 600
+
+
+def at_between(low):
+    seconds = F.unix_seconds("at") - 1_700_000_000
+    return (seconds >= low * 60) & (seconds < (low + 200) * 60)
