@@ -18,7 +18,10 @@ from corpusgate.llm.suffixes import repeated_positions
 WINDOW_BYTES = 100
 GRAM_BYTES = 24
 SEGMENT = 1 << 20
-_GRAM_BASE, _TEXT_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+# Classes of one key that may meet in a shard, and the bytes a shard is meant to hold.
+RIVALS = 4096
+SHARD_BYTES = 16 << 20
+_GRAM_BASE, _TEXT_BASE, _SECOND_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 _PLACE_BITS = np.uint64((1 << 24) - 1)
 
 
@@ -102,7 +105,7 @@ def _contexts(rows: DataFrame, window: int) -> DataFrame:
     return map_texts(chosen, schema, work, chunk_bytes=SEGMENT)
 
 
-def _later_spans(contexts: DataFrame, window: int) -> DataFrame:
+def _later_spans(contexts: DataFrame, window: int, shards: int) -> DataFrame:
     """``(num, s, e)``: spans of bytes covered by strings that start earlier, from one
     suffix array per shard. A shard holds all places of its keys, in document order."""
 
@@ -132,8 +135,39 @@ def _later_spans(contexts: DataFrame, window: int) -> DataFrame:
             [pa.array(num[of[cut]]), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], names=["num", "s", "e"]
         )
 
-    shards = contexts.repartition("key").sortWithinPartitions("doc_id", "num", "at")
-    return shards.select("num", "at", "n", "context").mapInArrow(run, "num bigint, s int, e int")
+    dealt = contexts.repartition(shards, "key").sortWithinPartitions("doc_id", "num", "at")
+    return dealt.select("num", "at", "n", "context").mapInArrow(run, "num bigint, s int, e int")
+
+
+def _windows(contexts: DataFrame, window: int) -> DataFrame:
+    """``(doc_id, num, at, h1, h2)``: every window of the places, with a 128-bit hash."""
+
+    def work(rows: pa.RecordBatch, powers):
+        data, bounds = text_bytes(rows.column(4))
+        n = rows.column(3).to_numpy().astype(np.int64)
+        of = np.repeat(np.arange(rows.num_rows), n)
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        start = bounds[of] + step
+        at = (rows.column(2).to_numpy()[of] + step).astype(np.int32)
+        hashes = [span_hashes(data, start, start + window, p).view(np.int64) for p in powers]
+        return [rows.column(0).take(pa.array(of)), rows.column(1).take(pa.array(of)), at, *hashes]
+
+    chosen = contexts.select("doc_id", "num", "at", "n", "context")
+    schema = "doc_id bigint, num bigint, at int, h1 bigint, h2 bigint"
+    setup = lambda: [Powers(b) for b in (_TEXT_BASE, _SECOND_BASE)]
+    return map_texts(chosen, schema, work, setup, column="context", chunk_bytes=SEGMENT)
+
+
+def _later_windows(contexts: DataFrame, window: int) -> DataFrame:
+    """``(num, s, e)`` of the windows that start earlier too, however many share a key.
+
+    Windows are dealt by their own hash and counted before the shuffle; equal ones are
+    found by a join with one row for each string, whose hot keys Spark splits."""
+    windows = staged(_windows(contexts, window), "suffix-windows")
+    first = F.min(F.struct("doc_id", "num", "at")).alias("first")
+    again = windows.groupBy("h1", "h2").agg(F.count("*").alias("c"), first).filter("c > 1").select("h1", "h2", "first")
+    later = windows.join(staged(again, "suffix-again"), ["h1", "h2"]).filter("num <> first.num OR at <> first.at")
+    return later.select("num", F.col("at").alias("s"), (F.col("at") + window).alias("e"))
 
 
 def _kept(rows: DataFrame) -> DataFrame:
@@ -168,7 +202,9 @@ def without_later_copies(
     has a key, the smallest hash of its ``gram``-byte runs, and only text under keys
     that occur again is sorted. Places with the same text are one class, whose first
     place stays in and stands for it; the others are covered. Where classes share a
-    key, a suffix array with common prefixes decides which of their strings are equal.
+    key, a suffix array with common prefixes decides which of their strings are equal;
+    where more than ``RIVALS`` do, 128-bit hashes of their strings decide, so that no
+    shard grows with a frequent passage.
 
     Null and empty texts have no bytes, shorter ones no string. A null id comes before
     all others, rows that share an id are ordered by their place in the input. ``rid``
@@ -184,10 +220,18 @@ def without_later_copies(
     copies = shared.join(alike.filter("size > 1").select("key", "ctx", "first"), ["key", "ctx"])
     copies = copies.filter("num <> first.num OR at <> first.at")
     covered = copies.select("num", F.col("at").alias("s"), (F.col("at") + F.col("n") + window - 1).alias("e"))
-    doubtful = alike.filter("rivals > 1").select("first.doc_id", "first.num", F.struct("key", "first.at", "first.n").alias("p"))
-    listed = doubtful.groupBy("num").agg(F.first("doc_id").alias("doc_id"), F.collect_list("p").alias("listed"))
-    contexts = _contexts(with_text(listed.join(read.select("num", "rid"), "num"), docs, rid), window)
-    spans = covered.union(_later_spans(contexts, window))
+    few, many = F.col("rivals").between(2, RIVALS), F.col("rivals") > RIVALS
+
+    def contexts(which: Column) -> DataFrame:
+        doubtful = alike.filter(which).select("first.doc_id", "first.num", F.struct("key", "first.at", "first.n").alias("p"))
+        listed = doubtful.groupBy("num").agg(F.first("doc_id").alias("doc_id"), F.collect_list("p").alias("listed"))
+        return _contexts(with_text(listed.join(read.select("num", "rid"), "num"), docs, rid), window)
+
+    n_bytes, n_many = alike.agg(F.sum(F.when(few, F.col("first.n") + window)), F.count_if(many)).first()
+    shards = max(-(-(n_bytes or 0) // SHARD_BYTES), docs.sparkSession.sparkContext.defaultParallelism)
+    spans = covered.union(_later_spans(contexts(few), window, shards))
+    if n_many:
+        spans = spans.union(_later_windows(contexts(many), window))
     spans = staged(spans_by_document(spans), "suffix-spans")
     touched = _kept(with_text(spans.join(read.select("num", "rid"), "num"), docs, rid))
     out = read.select("num", "rid", "doc_id", "n_bytes", "sha256").join(touched, "num", "left")

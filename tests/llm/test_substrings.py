@@ -79,6 +79,24 @@ def test_bytes_match_brute_force(documents, window):
     assert [tuple(r)[2:] for r in got] == earlier_copies(texts, window)
 
 
+def test_no_shard_holds_a_frequent_passage(documents, monkeypatch):
+    monkeypatch.setattr(suffixdedup, "RIVALS", 40, raising=False)
+    rng = random.Random(9)
+    phrase = "a passage of ninety bytes that very many documents hold between words of their own, the same"
+    texts = [f"{rng.choice('abc')}{rng.random()} {rng.choice('xy')}{phrase}{rng.choice('pqr')} {rng.random()}" * 2 for _ in range(150)]
+    texts += random_texts(7, 30)
+    met, later = [], suffixdedup._later_spans
+
+    def spy(contexts, *rest):
+        met.append(contexts.groupBy("key").count().agg({"count": "max"}).first()[0])
+        return later(contexts, *rest)
+
+    monkeypatch.setattr(suffixdedup, "_later_spans", spy)
+    got = suffixdedup.without_later_copies(documents(list(enumerate(texts)))).orderBy("doc_id").collect()
+    assert [tuple(r)[2:] for r in got] == earlier_copies(texts, 100)
+    assert met[0] <= 40
+
+
 def test_bytes_of_odd_rows(documents, odd_rows):
     rows = sorted(odd_rows, key=lambda r: -1 if r[0] is None else r[0])
     got = suffixdedup.without_later_copies(documents(rows)).collect()
