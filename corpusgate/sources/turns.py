@@ -41,23 +41,44 @@ def chat_lines(records: DataFrame) -> DataFrame:
     return records.select(*rest, F.to_json(F.struct("messages")).alias("value"))
 
 
-def reply_tasks(turns: DataFrame) -> DataFrame:
+def reply_tasks(turns: DataFrame, salt: int = 1) -> DataFrame:
     """Task records ``(conv_id, turn, task, input, expected_output)``.
 
-    A user turn is paired with the assistant turn that follows it. Both rows
-    map to the user's position, so one mergeable aggregate on
-    ``(conv_id, position)`` pairs them: one scan, no self-join, and the rows of
-    a long conversation spread over all tasks.
+    Every user turn is paired with every assistant turn at the next position, as a
+    join would, null texts and repeated rows included; rows without a conversation
+    or position have no pair. Both rows map to the user's position, so one aggregate
+    on ``(conv_id, position)`` pairs them: one scan, no self-join, and the rows of a
+    long conversation spread over all tasks. The texts of one position are gathered
+    in one group; ``salt`` deals a contested one over ``salt`` x ``salt`` groups, to
+    which each row goes ``salt`` times.
     """
     user = F.col("role") == "user"
     position = F.when(user, F.col("turn")).otherwise(F.col("turn") - 1)
+    rows = turns.filter(F.col("role").isin("user", "assistant")).select(
+        "conv_id", position.alias("turn"), user.alias("user"), F.struct("text").alias("said")
+    )
+    rows = rows.filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
+    cell = []
+    if salt > 1:
+        own = F.pmod(F.xxhash64("said"), F.lit(salt))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))).withColumn("own", own)
+        cell = [
+            F.when(F.col("user"), F.col("own")).otherwise(F.col("other")).alias("row"),
+            F.when(F.col("user"), F.col("other")).otherwise(F.col("own")).alias("column"),
+        ]
     return (
-        turns.filter(F.col("role").isin("user", "assistant"))
-        .groupBy("conv_id", position.alias("turn"))
+        rows.groupBy("conv_id", "turn", *cell)
         .agg(
-            F.max(F.when(user, F.col("text"))).alias("input"),
-            F.max(F.when(~user, F.col("text"))).alias("expected_output"),
+            F.collect_list(F.when(F.col("user"), F.col("said"))).alias("asked"),
+            F.collect_list(F.when(~F.col("user"), F.col("said"))).alias("replied"),
+        )
+        .select("conv_id", "turn", F.explode("asked").alias("asked"), "replied")
+        .select("conv_id", "turn", "asked", F.explode("replied").alias("replied"))
+        .select(
+            "conv_id",
+            "turn",
+            F.lit("reply").alias("task"),
+            F.col("asked.text").alias("input"),
+            F.col("replied.text").alias("expected_output"),
         )
-        .filter(F.col("input").isNotNull() & F.col("expected_output").isNotNull())
-        .select("conv_id", "turn", F.lit("reply").alias("task"), "input", "expected_output")
     )

@@ -80,6 +80,22 @@ def test_reply_tasks(spark):
     assert [(r.turn, r.input, r.expected_output) for r in rows] == [(1, "q", "a"), (4, "q3", "a3")]
 
 
+def test_contested_positions_give_every_pair(spark):
+    turns = spark.createDataFrame(
+        [(1, 0, "user", "q"), (1, 0, "user", "r"), (1, 1, "assistant", "a"), (1, 1, "assistant", "b"),
+         (1, 1, "assistant", "b"), (2, 0, "user", None), (2, 1, "assistant", "c"), (None, 0, "user", "x"),
+         (None, 1, "assistant", "y"), (3, None, "user", "x"), (3, None, "assistant", "y")],
+        "conv_id long, turn long, role string, text string",
+    )
+    pairs = turns.alias("u").join(turns.alias("a"), F.expr("a.conv_id = u.conv_id AND a.turn = u.turn + 1"))
+    pairs = pairs.filter("u.role = 'user' AND a.role = 'assistant'").selectExpr("u.conv_id", "u.turn", "u.text", "a.text")
+    want = sorted(map(str, pairs.collect()))
+    assert len(want) == 7
+    for salt in (1, 3):
+        rows = cg.reply_tasks(turns, salt).selectExpr("conv_id", "turn", "input AS text", "expected_output AS text")
+        assert sorted(map(str, rows.collect())) == want
+
+
 def scored(spark, pairs):
     suite = spark.createDataFrame(
         [(i, p[0], "in", p[1]) for i, p in enumerate(pairs)], "index int, task string, input string, expected_output string"
