@@ -6,8 +6,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
-from pyarrow import fs
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,28 +15,41 @@ from corpusgate.functions.digest import hash_sum, row_hash, sha256_hex
 from corpusgate.functions.text import is_blank_ascii, utc_stamp
 from corpusgate.sources.lines import file_list, raw_lines
 
-# A file up to this size is hashed as one binary value; a larger one is read in
-# pieces by a task of its own. SHA-256 is sequential, so a file is never split.
+# A file up to this size is hashed as one binary value; a larger one as a stream of
+# its lines, both from Spark's readers. SHA-256 is sequential, so one task hashes a file.
 WHOLE_FILE_BYTES = 128 * 1024 * 1024
-_PIECE = 8 * 1024 * 1024
+_MARK = b"\xef\xbb\xbf"
 
 
-def _hash_in_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _hash_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(file, sha256)`` from ``(file, size, value)``, the lines of files in order.
+
+    The reader leaves out the last line end and a leading byte order mark; the number
+    of bytes that are missing tells which."""
+    name, size, fed, plain, marked = None, 0, 0, None, None
+
+    def done() -> pa.RecordBatch:
+        rest = size - fed
+        if rest not in (0, 1, 3, 4):
+            raise ValueError(f"{name} has {size} bytes, but its lines have {fed}")
+        digest = marked if rest > 1 else plain
+        digest.update(b"\n" * (rest % 3))
+        return pa.RecordBatch.from_pydict({"file": [name], "sha256": [digest.hexdigest()]})
+
     for batch in batches:
-        digests = []
-        for path in batch["path"]:
-            local = path.startswith("file:/")
-            system, inner = (
-                (fs.LocalFileSystem(), path.removeprefix("file:"))
-                if local
-                else fs.FileSystem.from_uri(path)
-            )
-            digest = hashlib.sha256()
-            with system.open_input_stream(inner) as stream:
-                while piece := stream.read(_PIECE):
-                    digest.update(piece)
-            digests.append(digest.hexdigest())
-        yield pd.DataFrame({"file": batch["file"], "sha256": digests})
+        for file, length, line in zip(*(c.to_pylist() for c in batch.columns)):
+            if file != name:
+                if name is not None:
+                    yield done()
+                name, size, fed = file, length, len(line)
+                plain, marked = hashlib.sha256(), hashlib.sha256(_MARK)
+            else:
+                line = b"\n" + line
+                fed += len(line)
+            plain.update(line)
+            marked.update(line)
+    if name is not None:
+        yield done()
 
 
 def file_digests(
@@ -54,10 +66,22 @@ def file_digests(
     small = binary.filter(F.col("length") <= whole_file_bytes).select(
         name, sha256_hex(F.col("content")).alias("sha256")
     )
+    size = F.col("_metadata.file_size").alias("size")
     large = (
-        binary.filter(F.col("length") > whole_file_bytes)
-        .select(name, "path")
-        .mapInPandas(_hash_in_pieces, "file string, sha256 string")
+        spark.read.option("lineSep", "\n")
+        .text(path)
+        .filter(F.col("_metadata.file_size") > whole_file_bytes)
+        .select(
+            name,
+            size,
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("seq"),
+            F.col("value").cast("binary").alias("value"),
+        )
+        .repartition("file")
+        .sortWithinPartitions("file", "block", "seq")
+        .select("file", "size", "value")
+        .mapInArrow(_hash_lines, "file string, sha256 string")
     )
     counts = (
         raw_lines(spark, path, line_sep="\n")

@@ -32,6 +32,24 @@ def test_file_digests(spark, tmp_path):
         assert found == {name: expected(content) for name, content in FILES.items()}
 
 
+def test_large_files_need_only_sparks_readers(spark, tmp_path):
+    contents = FILES | {
+        "mark.jsonl": b"\xef\xbb\xbfa\nb", "mark end.jsonl": b"\xef\xbb\xbfa\r\n\n", "end.jsonl": b"\n",
+        "many.jsonl": b"".join(b"%d\r\n" % i for i in range(5000)),
+    }
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop.set("fs.viewfs.mounttable.digests.link./in", f"file://{tmp_path}")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        rows = file_digests(spark, "viewfs://digests/in", whole_file_bytes=0).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    found = {r.file.rsplit("/", 1)[1].replace("%20", " "): r.sha256 for r in rows}
+    assert found == {name: hashlib.sha256(content).hexdigest() for name, content in contents.items()}
+
+
 def test_corpus_digest(spark, tmp_path):
     def digest(**files):
         folder = tmp_path / str(len(list(tmp_path.iterdir())))
