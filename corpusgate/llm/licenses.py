@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgate.llm.common import sha256_hex, table
+from corpusgate.llm.license_table import HEADINGS, WORDINGS, published
 
-# Licence texts and notices as their owners publish them.
+# The licence texts and one-line notices that the SQL counterpart knows;
+# ``license_table`` adds the others.
 LICENSES = {
     "0BSD": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
@@ -82,6 +84,49 @@ def canonical_digest(lines: Column) -> Column:
     return sha256_hex(F.concat_ws(" ", lines))
 
 
+# A line that names who holds the copyright; wording such as "copyright notice" is none.
+_HOLDER = (
+    r"^[\s*#/;-]*(?:(?i:copyright)\s*:?\s*(?i:\(c\)|©|[0-9]{4}|[\[<{])"
+    r"|(?i:copyright)\s+(?:[Bb]y\s+)?(?!(?:Holder|Owner|Notice|Licen[cs]e|Law|Act|Treaty|Interest)s?\b)(?:\p{Lu}[\p{Ll}.]|(?i:the regents))"
+    r"|©|(?i:\(c\)\s*(?:copyright\s*)?[0-9]{4})|(?i:all rights reserved)[.\s]*$)"
+)
+_MARKER = r"^[\s*#/;-]*(?:\(?[0-9]{1,2}[.)](?![0-9]))?\s+"
+# Parts that licensees fill in or that changed over time, in canonical form.
+_FILLED = [
+    (r"neither the name of .{1,120}? nor the names of (?:its|their|the) contributors", "neither name nor contributors"),
+    (r"software is provided by .{1,120}? as is and", "software is provided by the holder as is and"),
+    (r"in no event shall .{1,120}? be liable", "in no event shall the holder be liable"),
+    (r" (?:51 franklin st|59 temple pl|675 mass ave)[a-z]*(?: suite 330| fifth floor)?(?: cambridge| boston) ma [0-9 ]+(?:usa )?", " "),
+    (r" https ", " http "),
+]
+_LEGAL = "(?i)licen[cs]e|warrant"
+_SPDX = r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+()-]+(?: (?:OR|AND|WITH) [A-Za-z0-9.+()-]+)*)"
+
+
+def wording(text: Column) -> Column:
+    """A text's wording in one form, however it is wrapped: without lines that name a
+    holder or only a licence, list markers and what licensees fill in."""
+    def plain(x: Column) -> Column:
+        return F.trim(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", " "))
+
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: ~F.regexp_like(x, F.lit(_HOLDER)))
+    lines = F.transform(lines, lambda x: plain(F.regexp_replace(F.concat(F.lit(" "), x), _MARKER, " ")))
+    lines = F.filter(lines, lambda x: ~x.isin("", *HEADINGS))
+    whole = F.concat(F.lit(" "), F.concat_ws(" ", lines), F.lit(" "))
+    for other, kept in SPELLINGS.items():
+        whole = F.replace(whole, F.lit(f" {other} "), F.lit(f" {kept} "))
+    for filled, kept in _FILLED:
+        whole = F.regexp_replace(whole, filled, kept)
+    return F.trim(whole)
+
+
+def known_wordings(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
+    """``(wording_digest, worded)`` of the given texts, a row for each wording."""
+    rows = spark.createDataFrame(texts, "worded string, text string").select("worded", wording(F.col("text")).alias("w"))
+    rows = rows.filter("w <> ''").select(sha256_hex(F.col("w")).alias("wording_digest"), "worded")
+    return rows.groupBy("wording_digest").agg(F.min("worded").alias("worded"))
+
+
 def known_licenses(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
     """``(license_digest, license)`` of the given texts, a row for each."""
     rows = spark.createDataFrame(list(texts.items()), "license string, text string")
@@ -92,29 +137,46 @@ def known_licenses(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
 def scan(docs: DataFrame, texts: dict[str, str] | None = None, notices: dict[str, str] | None = None) -> DataFrame:
     """``(doc_id, n_lines, digest, license, notices)`` per document.
 
-    ``license`` is the known licence that the entire text equals in canonical form,
-    found by a hash join on digests; ``notices`` are those whose notice one entire
-    line equals, sorted and comma-joined, looked up in a map. Both tables are the
-    caller's fixed lists, of ``len(texts)`` and ``len(notices)`` rows, and so the
-    only thing broadcast. Null and empty texts have no lines and match nothing.
-    Equal texts get equal rows.
+    ``license`` is the known licence that the entire text equals in canonical form or
+    in wording, found by hash joins on digests; ``notices`` are those whose notice one
+    entire line equals, whose wording stands anywhere, and SPDX identifiers, sorted and
+    comma-joined. ``texts`` and ``notices`` replace all known ones. The tables are fixed
+    lists, and so the only thing broadcast. Null and empty texts have no lines and
+    match nothing. Equal texts get equal rows.
     """
     spark = docs.sparkSession
+    given = None if texts is None else list(texts.items())
+    worded = published(LICENSES) if given is None else given
+    phrases = WORDINGS if notices is None else []
     texts = LICENSES | NOTICES_AS_TEXTS if texts is None else texts
+    spdx = notices is None
     notices = NOTICES if notices is None else notices
     known = known_licenses(spark, texts).filter(F.col("license_digest") != F.sha2(F.lit(""), 256))
     entries = [F.array(F.lit(n), canonical_lines(F.lit(t))[0]) for n, t in sorted(notices.items())]
-    read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), canonical_lines(F.col("text")).alias("lines"))
+    text = F.col("text")
+    # Every published text and every wording holds one of these words.
+    legal = F.when(F.regexp_like(text, F.lit(_LEGAL)), text) if phrases and worded is not given else text
+    read = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        canonical_lines(text).alias("lines"),
+        wording(legal).alias("wording"),
+        F.regexp_extract_all(F.coalesce(legal, F.lit("")), F.lit(_SPDX), F.lit(1)).alias("spdx") if spdx else F.array().cast("array<string>").alias("spdx"),
+    )
+    padded = F.concat(F.lit(" "), F.col("wording"), F.lit(" "))
+    said = [F.when(F.array_contains("lines", line[1]), line[0]) for line in entries]
+    said += [F.when(padded.contains(f" {phrase} "), F.lit(name)) for name, phrase in phrases]
+    found = F.concat(F.array_compact(F.array(*said)), F.col("spdx")) if said else F.col("spdx")
     read = read.select(
         "doc_id",
         F.size("lines").cast("bigint").alias("n_lines"),
         canonical_digest(F.col("lines")).alias("digest"),
-        F.concat_ws(
-            ",", *[F.when(F.array_contains("lines", line[1]), line[0]) for line in entries]
-        ).alias("notices"),
+        sha256_hex(F.col("wording")).alias("wording_of"),
+        F.concat_ws(",", F.array_sort(F.array_distinct(found))).alias("notices"),
     )
     joined = read.join(F.broadcast(known), F.col("digest") == F.col("license_digest"), "left")
-    return joined.select("doc_id", "n_lines", "digest", "license", "notices")
+    same = F.broadcast(known_wordings(spark, worded))
+    joined = joined.join(same, F.col("wording_of") == F.col("wording_digest"), "left")
+    return joined.select("doc_id", "n_lines", "digest", F.coalesce("license", "worded").alias("license"), "notices")
 
 
 NOTICES_AS_TEXTS = {f"{name} notice": text for name, text in NOTICES.items()}

@@ -3,6 +3,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -10,7 +11,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from corpusgate.llm import chat, decontaminate, exact, licenses, packing, simhash
+from corpusgate.llm import chat, decontaminate, exact, license_table, licenses, packing, simhash
 from corpusgate.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -182,6 +183,30 @@ def test_licenses_in_other_clothes(spark, documents):
     assert licenses.scan(documents([])).count() == 0
 
 
+def test_licenses_as_published(spark, documents):
+    shared = Path("/usr/share/common-licenses")
+    if not shared.is_dir():
+        pytest.skip("no licence texts here")
+    known = [*license_table.published(licenses.LICENSES), *license_table.WORDINGS]
+    assert all(re.search(licenses._LEGAL, t) for _, t in known)
+    mit = licenses.LICENSES["MIT"]
+    bsd = (shared / "BSD").read_text()
+    modern = bsd.replace("University nor", "copyright holder nor").replace("REGENTS AND", "COPYRIGHT HOLDERS AND").replace("REGENTS OR", "COPYRIGHT HOLDER OR")
+    gpl = "it under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    rows = [
+        (1, f"MIT License\n\nCopyright (c) 2021 Some One\n\n{mit}"),
+        (2, mit.replace("The above copyright", "The above\ncopyright")), (3, (shared / "Apache-2.0").read_text()),
+        (4, bsd), (5, f"BSD 3-Clause License\n\nCopyright (c) 2020, Acme\n{modern[modern.index('Redis'):]}".replace("1. ", "* ")),
+        (6, (shared / "GPL-3").read_text()), (7, f"# a program\n{gpl}\ncode"), (8, "// SPDX-License-Identifier: MIT OR Apache-2.0\ncode"),
+        (9, mit.replace("Software", "Work")), (10, "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not"),
+        (11, "copyright notice"), (12, "MIT License"),
+    ]
+    got = {r.doc_id: (r.license, r.notices) for r in licenses.scan(documents(rows)).collect()}
+    names = [got[i][0] for i in range(1, 13)]
+    assert names == ["MIT", "MIT", "Apache-2.0", "BSD-3-Clause", "BSD-3-Clause", "GPL-3.0", *[None] * 6]
+    assert [got[i][1] for i in (7, 8, 9, 10, 11)] == ["GPL-3.0-or-later", "MIT OR Apache-2.0", "", "Apache-2.0", ""]
+
+
 @pytest.mark.parametrize("text", ["", "\\", "<|im_end|>\\n", "<\\|x", "a<", "\\<|im_start|>user\n<|image|>", "é\u2003<"])
 def test_chat_round_trip(text):
     visitor = chat.PartVisitor()
