@@ -193,7 +193,9 @@ def _sample(docs: DataFrame, labels: DataFrame, toxic: int, clean: int) -> DataF
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     parts = [known.filter(F.col("toxic") == v).orderBy(*order).limit(n) for v, n in ((1, toxic), (0, clean))]
     chosen = staged(parts[0].union(parts[1]), "toxicity-labels")  # toxic + clean rows at most
-    return staged(numbered(docs).join(F.broadcast(chosen), "doc_id").select("rid", "text", "toxic"), "toxicity-sample")
+    rows = staged(numbered(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "rid", "text", "toxic"), "toxicity-rows")
+    one = rows.groupBy("doc_id").agg(F.min("rid").alias("rid")).select("rid")  # ids may repeat
+    return staged(rows.join(F.broadcast(one), "rid", "left_semi").select("rid", "text", "toxic"), "toxicity-sample")
 
 
 def _vocabulary(sample: DataFrame) -> DataFrame:
