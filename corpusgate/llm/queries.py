@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from corpusgate.llm import (
     chat,
+    codes,
     decontaminate,
     exact,
     licenses,
     packing,
     quality,
     recompression,
+    resampling,
     simhash,
     suffixdedup,
     toxicity,
@@ -26,4 +28,6 @@ QUERIES = {
     "op8_substring_dedup": (recompression.op8_substring_dedup, recompression.OP8_SQL),
     "op9_quality_classifier": (quality.op9_quality_classifier, None),
     "op10_chat_formatting": (chat.op10_chat_formatting, chat.OP10_SQL),
+    "op12_vector_codes": (codes.op12_vector_codes, codes.OP12_SQL),
+    "op13_importance_resampling": (resampling.op13_importance_resampling, None),
 }
