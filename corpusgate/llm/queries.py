@@ -8,6 +8,7 @@ from corpusgate.llm import (
     decontaminate,
     exact,
     licenses,
+    metric,
     packing,
     quality,
     recompression,
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_substring_dedup": (recompression.op8_substring_dedup, recompression.OP8_SQL),
     "op9_quality_classifier": (quality.op9_quality_classifier, None),
     "op10_chat_formatting": (chat.op10_chat_formatting, chat.OP10_SQL),
+    "op11_jaccard_join": (metric.op11_jaccard_join, metric.OP11_SQL),
     "op12_vector_codes": (codes.op12_vector_codes, codes.OP12_SQL),
     "op13_importance_resampling": (resampling.op13_importance_resampling, None),
 }
