@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusgate.errors import USER_ERROR, CorpusError
 from corpusgate.functions.text import sql_lookup, sql_strip, sql_text
 
 # NaN and the infinities are accepted, single quotes and comments are not; one
@@ -28,6 +29,9 @@ MAX_LINE_BYTES = 120 * 1024 * 1024
 
 END_MARK = "~~end"
 
+# Columns that only exist inside a plan start like this.
+HIDDEN = "__corpusgate_"
+
 
 def _variant(text: str) -> str:
     options = ", ".join(f"{sql_text(k)}, {sql_text(v)}" for k, v in PARSE_OPTIONS.items())
@@ -35,7 +39,7 @@ def _variant(text: str) -> str:
 
 
 def parse_json(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Add ``_line``: ``[line, "~~end"]`` as VARIANT, see ``is_strict``.
+    """Add a hidden column, ``[line, "~~end"]`` as VARIANT, see ``is_strict``.
 
     The parser stops after the first complete value and would accept trailing
     text. With the mark behind the line, the second element is the mark only if
@@ -51,7 +55,7 @@ def parse_json(lines: DataFrame, column: str = "value") -> DataFrame:
     alone = _variant(f"concat('[', {text}, ']')")
     member = _variant(f"""concat('{{"r":', {text}, '}}')""")
     return lines.withColumn(
-        "_line",
+        f"{HIDDEN}line",
         F.expr(
             f"CASE WHEN octet_length(`{column}`) > {MAX_LINE_BYTES} "
             f"THEN CAST(raise_error({too_long}) AS VARIANT) "
@@ -64,7 +68,7 @@ def parse_json(lines: DataFrame, column: str = "value") -> DataFrame:
 
 def is_strict() -> str:
     """Whether the parsed line is one complete JSON value and nothing else."""
-    return f"coalesce(try_variant_get(_line, '$[1]', 'string') = '{END_MARK}', false)"
+    return f"coalesce(try_variant_get({HIDDEN}line, '$[1]', 'string') = '{END_MARK}', false)"
 
 
 def at(path: str = "", kind: str = "variant") -> str:
@@ -72,7 +76,7 @@ def at(path: str = "", kind: str = "variant") -> str:
 
     JSON null is a value of its own.
     """
-    return f"try_variant_get(_line, '$[0]{path}', '{kind}')"
+    return f"try_variant_get({HIDDEN}line, '$[0]{path}', '{kind}')"
 
 
 def keys(path: str = "") -> str:
@@ -80,6 +84,13 @@ def keys(path: str = "") -> str:
     return f"map_keys({at(path, 'map<string,variant>')})"
 
 
+def require_free(df: DataFrame, names: list[str]) -> None:
+    """Raise where the caller's columns clash with those that an operator adds."""
+    taken = sorted(c for c in df.columns if c.lower() in names or c.lower().startswith(HIDDEN))
+    if taken:
+        raise CorpusError(USER_ERROR, f"columns {taken} are added by this operator", "Rename them before.")
+
+
 def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a column that is computed once per row.
 

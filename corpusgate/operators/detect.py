@@ -12,6 +12,8 @@ from corpusgate.functions.text import sql_is_blank
 from corpusgate.session import prepare
 from corpusgate.sources.lines import drop_blank, file_names, raw_lines
 
+OUTCOME = f"{J.HIDDEN}outcome"
+
 
 def _detected() -> str:
     """``chat``, ``task`` or NULL for a parsed record.
@@ -31,14 +33,15 @@ def _detected() -> str:
 def with_detected_schema(lines: DataFrame) -> DataFrame:
     """Add ``detected`` to the non-blank lines; one projection."""
     prepare(lines.sparkSession)
+    J.require_free(lines, ["detected", "is_json"])
     outcome = (
         f"named_struct('detected', if({J.is_strict()}, {_detected()}, NULL), "
         f"'is_json', {J.is_strict()}, "
         f"'blank', {sql_is_blank('value')})"
     )
-    settled = J.settled(J.parse_json(lines), "_outcome", F.expr(outcome))
-    return settled.filter("NOT _outcome.blank").select(
-        *lines.columns, "_outcome.detected", "_outcome.is_json"
+    settled = J.settled(J.parse_json(lines), OUTCOME, F.expr(outcome))
+    return settled.filter(f"NOT {OUTCOME}.blank").select(
+        *[f"`{c}`" for c in lines.columns], f"{OUTCOME}.detected", f"{OUTCOME}.is_json"
     )
 
 

@@ -28,6 +28,9 @@ BLANK = "blank"
 
 CHAT_RECORD = "array<struct<role:string,content:string>>"
 
+MESSAGES_COLUMN, FAULT = f"{J.HIDDEN}messages", f"{J.HIDDEN}fault"
+ADDED = ["rule", "message", "remediation", "record"]
+
 # Shapes of good records as Spark names them; members come in key order.
 CHAT_SHAPE = "OBJECT<messages: ARRAY<OBJECT<content: STRING, role: STRING>>>"
 TASK_SHAPE = "OBJECT<expected_output: STRING, input: STRING, task: STRING>"
@@ -87,14 +90,14 @@ def _message_faults() -> str:
     return f"transform({opened}, (m, i) -> {fault})"
 
 
-def _chat(parsed: DataFrame) -> DataFrame:
-    staged = parsed.withColumn("_messages", F.expr(J.at(".messages", CHAT_RECORD)))
+def _chat(parsed: DataFrame, kept: list[str]) -> DataFrame:
+    staged = parsed.withColumn(MESSAGES_COLUMN, F.expr(J.at(".messages", CHAT_RECORD)))
     # The usual good record is recognised by its shape. The shape merges all
     # messages, so an absent or null member shows as NULL in the typed copy.
     roles = ", ".join(sql_text(r) for r in ROLES)
     good = (
-        f"{J.is_strict()} AND schema_of_variant({J.at()}) = '{CHAT_SHAPE}' AND size(_messages) > 0 "
-        f"AND coalesce(forall(_messages, m -> m.role IN ({roles}) AND m.content IS NOT NULL), false)"
+        f"{J.is_strict()} AND schema_of_variant({J.at()}) = '{CHAT_SHAPE}' AND size({MESSAGES_COLUMN}) > 0 "
+        f"AND coalesce(forall({MESSAGES_COLUMN}, m -> m.role IN ({roles}) AND m.content IS NOT NULL), false)"
     )
     messages = J.at(".messages")
     fault = _case(
@@ -107,11 +110,11 @@ def _chat(parsed: DataFrame) -> DataFrame:
         ],
         f"get(filter({_message_faults()}, f -> f IS NOT NULL), 0)",
     )
-    record = "named_struct('messages', _messages)"
-    return _close(J.settled(staged, "_fault", F.expr(fault)), "chat", record)
+    record = f"named_struct('messages', {MESSAGES_COLUMN})"
+    return _close(J.settled(staged, FAULT, F.expr(fault)), "chat", record, kept)
 
 
-def _task(parsed: DataFrame) -> DataFrame:
+def _task(parsed: DataFrame, kept: list[str]) -> DataFrame:
     good = f"{J.is_strict()} AND schema_of_variant({J.at()}) = '{TASK_SHAPE}'"
     branches = [(good, "NULL")] + _top_faults(TASK_KEYS)
     members = []
@@ -123,28 +126,27 @@ def _task(parsed: DataFrame) -> DataFrame:
         )
         members.append(f"'{key}', {J.at(f'.{key}', 'string')}")
     record = f"named_struct({', '.join(members)})"
-    return _close(J.settled(parsed, "_fault", F.expr(_case(branches))), "task", record)
+    return _close(J.settled(parsed, FAULT, F.expr(_case(branches))), "task", record, kept)
 
 
-def _close(judged: DataFrame, schema: str, record: str) -> DataFrame:
+def _close(judged: DataFrame, schema: str, record: str, kept: list[str]) -> DataFrame:
     """Turn the violation into rule, message and hint columns."""
-    base = "split_part(_fault.rule, ':', 1)"
-    words = f"array_join(transform(_fault.words, w -> {sql_quoted('w')}), ', ')"
-    listed = f"if(_fault.rule = 'unexpected_keys', concat('[', {words}, ']'), {words})"
-    got = f"coalesce({J.type_name('_fault.kind')}, {listed}, '')"
+    base = f"split_part({FAULT}.rule, ':', 1)"
+    words = f"array_join(transform({FAULT}.words, w -> {sql_quoted('w')}), ', ')"
+    listed = f"if({FAULT}.rule = 'unexpected_keys', concat('[', {words}, ']'), {words})"
+    got = f"coalesce({J.type_name(f'{FAULT}.kind')}, {listed}, '')"
     texts = {rule: text.replace("{schema}", schema) for rule, text in MESSAGES.items()}
-    message = f"replace({sql_lookup(base, texts)}, '{{key}}', split_part(_fault.rule, ':', 2))"
-    message = f"replace({message}, '{{at}}', coalesce(CAST(_fault.at AS STRING), ''))"
+    message = f"replace({sql_lookup(base, texts)}, '{{key}}', split_part({FAULT}.rule, ':', 2))"
+    message = f"replace({message}, '{{at}}', coalesce(CAST({FAULT}.at AS STRING), ''))"
     message = f"replace({message}, '{{got}}', {got})"
-    if "line_no" in judged.columns:
+    if "line_no" in kept:
         message = f"concat('line ', CAST(line_no AS STRING), ': ', {message})"
-    kept = [c for c in judged.columns if not c.startswith("_")]
     return judged.selectExpr(
         *[f"`{c}`" for c in kept],
-        "_fault.rule AS rule",
+        f"{FAULT}.rule AS rule",
         f"{message} AS message",
         f"{sql_lookup(base, HINTS)} AS remediation",
-        f"if(_fault.rule IS NULL, {record}, NULL) AS record",
+        f"if({FAULT}.rule IS NULL, {record}, NULL) AS record",
     )
 
 
@@ -165,13 +167,15 @@ def validate(
     (NULL when valid) and ``record`` (NULL when not).
 
     Blank lines are dropped, the others keep their line numbers. ``keep_blank``
-    keeps them under the rule ``blank``.
+    keeps them under the rule ``blank``. All columns of ``lines`` stay; one that is
+    named like an added one is an error.
     """
     require_schema(schema)
     prepare(lines.sparkSession)
+    J.require_free(lines, ADDED + (["value"] if column != "value" else []))
     source = lines if column == "value" else lines.withColumnRenamed(column, "value")
-    parsed = J.parse_json(source)
-    judged = _chat(parsed) if schema == "chat" else _task(parsed)
+    parsed, judge = J.parse_json(source), _chat if schema == "chat" else _task
+    judged = judge(parsed, source.columns)
     if keep_blank:
         return judged
     return judged.filter(F.col("rule").isNull() | (F.col("rule") != BLANK))
@@ -179,11 +183,8 @@ def validate(
 
 def valid_records(validated: DataFrame) -> DataFrame:
     """The accepted rows with the record's fields as columns."""
-    keep = [
-        c
-        for c in validated.columns
-        if c not in ("value", "rule", "message", "remediation", "record")
-    ]
+    keep = [c for c in validated.columns if c not in ("value", *ADDED)]
+    J.require_free(validated.select(*keep), validated.schema["record"].dataType.names)
     return validated.filter(F.col("rule").isNull()).select(*keep, "record.*")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusgate.functions.json import HIDDEN
 from corpusgate.functions.text import strip
 
 Predictor = Callable[[pd.Series], pd.Series]
@@ -55,17 +56,20 @@ def exact_match(prediction: Column, expected: Column) -> Column:
 def score(suite: DataFrame, predictions: DataFrame, on: list[str], salt: int = 1) -> DataFrame:
     """Join predictions onto the suite and mark exact matches.
 
-    ``on`` identifies an item; every item stays, also without a prediction.
+    ``on`` identifies an item; every item stays, also without a prediction. A column
+    of the suite that is named like an added one is kept as ``suite_...``.
     Items are normally unique. If one key holds many suite rows, ``salt`` deals
     them out over that many tasks, copies of a row too, each task with its own copy
     of the key's single prediction.
     """
     single = one_prediction(predictions, on)
+    suite = suite.withColumnsRenamed({c: f"suite_{c}" for c in ("prediction", "n_predictions", "exact_match")})
     if salt > 1:
-        suite = suite.withColumn("_salt", F.pmod(F.xxhash64(*suite.columns, F.spark_partition_id()), F.lit(salt)))
+        part = f"{HIDDEN}salt"
+        suite = suite.withColumn(part, F.pmod(F.xxhash64(*suite.columns, F.spark_partition_id()), F.lit(salt)))
         salts = F.array(*[F.lit(i).cast("bigint") for i in range(salt)])
-        single = single.withColumn("_salt", F.explode(salts))
-        joined = suite.join(single, [*on, "_salt"], "left").drop("_salt")
+        single = single.withColumn(part, F.explode(salts))
+        joined = suite.join(single, [*on, part], "left").drop(part)
     else:
         joined = suite.join(single, on, "left")
     return joined.withColumn("exact_match", exact_match(F.col("prediction"), F.col("expected_output")))

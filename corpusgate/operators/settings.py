@@ -61,6 +61,9 @@ def _templates() -> dict[str, str]:
     return out
 
 
+RUN, HP, FAULT = (f"{J.HIDDEN}{name}" for name in ("run", "hp", "fault"))
+
+
 def _fault(rule: str, kind: str = "NULL", shown: str = "NULL") -> str:
     return (
         f"named_struct('rule', '{rule}', 'kind', CAST({kind} AS STRING), "
@@ -70,11 +73,11 @@ def _fault(rule: str, kind: str = "NULL", shown: str = "NULL") -> str:
 
 def _branches() -> list[tuple[str, str]]:
     """(condition, violation) in the order of the checks."""
-    method = "_run.method"
+    method = f"{RUN}.method"
     allowed = ", ".join(f"'{m}'" for m in METHODS)
     out = [(f"NOT {J.is_strict()}", _fault("invalid_json"))]
     for key in RUN_KEYS:
-        out.append((f"_run.{key} IS NULL", _fault(f"{key}:required")))
+        out.append((f"{RUN}.{key} IS NULL", _fault(f"{key}:required")))
     out.append(
         (
             f"{method} IS NOT NULL AND NOT ({J.is_string(method)} "
@@ -83,7 +86,7 @@ def _branches() -> list[tuple[str, str]]:
         )
     )
     for name, wanted, _, low, high in HYPERPARAMETERS:
-        value = f"_hp.{name}"
+        value = f"{HP}.{name}"
         out.append(
             (
                 f"{value} IS NOT NULL AND NOT {_is_kind(wanted, value)}",
@@ -102,11 +105,11 @@ def _branches() -> list[tuple[str, str]]:
 
 def _resolved() -> str:
     """The settings with absent ones filled in."""
-    pairs = [f"'{key}', try_variant_get(_run.{key}, '$', 'string')" for key in RUN_KEYS]
-    method = "try_variant_get(_run.method, '$', 'string')"
+    pairs = [f"'{key}', try_variant_get({RUN}.{key}, '$', 'string')" for key in RUN_KEYS]
+    method = f"try_variant_get({RUN}.method, '$', 'string')"
     pairs.append(f"'method', coalesce({method}, '{DEFAULT_METHOD}')")
     for name, kind, default, _, _ in HYPERPARAMETERS:
-        value = f"try_variant_get(_hp.{name}, '$', '{_SQL_TYPE[kind]}')"
+        value = f"try_variant_get({HP}.{name}, '$', '{_SQL_TYPE[kind]}')"
         pairs.append(f"'{name}', coalesce({value}, CAST({default} AS {_SQL_TYPE[kind]}))")
     return f"named_struct({', '.join(pairs)})"
 
@@ -119,17 +122,18 @@ def check_settings(df: DataFrame, column: str = "settings") -> DataFrame:
     type is never replaced by one.
     """
     prepare(df.sparkSession)
+    J.require_free(df, ["rule", "message", "resolved"])
     parsed = (
         J.parse_json(df, column)
-        .withColumn("_run", F.expr(J.record(".run", RUN_KEYS + ["method"])))
-        .withColumn("_hp", F.expr(J.record(".hyperparameters", [h[0] for h in HYPERPARAMETERS])))
+        .withColumn(RUN, F.expr(J.record(".run", RUN_KEYS + ["method"])))
+        .withColumn(HP, F.expr(J.record(".hyperparameters", [h[0] for h in HYPERPARAMETERS])))
     )
     whens = " ".join(f"WHEN {test} THEN {fault}" for test, fault in _branches())
-    judged = J.settled(parsed, "_fault", F.expr(f"CASE {whens} END"))
-    got = f"coalesce({J.type_name('_fault.kind')}, _fault.shown, '')"
+    judged = J.settled(parsed, FAULT, F.expr(f"CASE {whens} END"))
+    got = f"coalesce({J.type_name(f'{FAULT}.kind')}, {FAULT}.shown, '')"
     return judged.selectExpr(
         *[f"`{c}`" for c in df.columns],
-        "_fault.rule AS rule",
-        f"replace({sql_lookup('_fault.rule', _templates())}, '{{got}}', {got}) AS message",
-        f"if(_fault IS NULL, {_resolved()}, NULL) AS resolved",
+        f"{FAULT}.rule AS rule",
+        f"replace({sql_lookup(f'{FAULT}.rule', _templates())}, '{{got}}', {got}) AS message",
+        f"if({FAULT} IS NULL, {_resolved()}, NULL) AS resolved",
     )

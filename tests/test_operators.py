@@ -303,3 +303,27 @@ def test_long_numbers_are_valid_json(spark):
     lines = [chat % ("7" * 1500)]
     rows = cg.validate(spark.createDataFrame([(x,) for x in lines], "value string"), "chat").collect()
     assert all(r.rule != "invalid_json" for r in rows)
+
+
+def test_callers_columns_stay(spark):
+    lines = spark.createDataFrame([(1, "a", '{"task":"t","input":"i","expected_output":"e"}'), (2, "b", "x")], "_x int, `_a line` string, value string")
+    judged = cg.validate(lines, "task")
+    assert judged.columns[:3] == ["_x", "_a line", "value"]
+    assert [(r["_x"], r["_a line"], r.rule) for r in judged.orderBy("_x").collect()] == [(1, "a", None), (2, "b", "invalid_json")]
+    assert cg.valid_records(judged).columns == ["_x", "_a line", "task", "input", "expected_output"]
+    assert cg.with_detected_schema(lines).columns == ["_x", "_a line", "value", "detected", "is_json"]
+    settings = lines.select("_x", F.col("value").alias("settings"))
+    assert check_settings(settings).columns == ["_x", "settings", "rule", "message", "resolved"]
+    for name in ("rule", "Message", "remediation", "record", "__corpusgate_line"):
+        with pytest.raises(cg.CorpusError, match="Rename|added"):
+            cg.validate(lines.withColumn(name, F.lit(1)), "task")
+    with pytest.raises(cg.CorpusError, match="added"):
+        cg.valid_records(cg.validate(lines.withColumn("task", F.lit(1)), "task"))
+
+
+def test_scoring_keeps_the_suites_own_columns(spark):
+    suite = spark.createDataFrame([(1, "e", "own", 7), (2, "f", "own", 8)], "item int, expected_output string, prediction string, n_predictions int")
+    said = spark.createDataFrame([(1, "e")], "item int, prediction string")
+    for salt in (1, 4):
+        got = cg.score(suite, said, ["item"], salt=salt).orderBy("item").collect()
+        assert [(r.suite_prediction, r.suite_n_predictions, r.prediction, r.exact_match) for r in got] == [("own", 7, "e", True), ("own", 8, None, False)]

@@ -16,9 +16,10 @@ def hot_turns(spark, n=20_000):
 
 def test_hot_conversation(spark):
     turns = hot_turns(spark).repartition(8)
-    parts = cg.assemble_chat(turns)
-    assert parts.agg(F.max(F.size("messages"))).first()[0] <= 64
-    assert parts.agg(F.sum(F.size("messages"))).first()[0] == turns.count()
+    whole, parts = cg.assemble_chat(turns), cg.assemble_chat(turns, span=64)
+    assert whole.filter("conv_id = 0").count() == 1 and parts.agg(F.max(F.size("messages"))).first()[0] <= 64
+    for records in (whole, parts):
+        assert records.agg(F.sum(F.size("messages"))).first()[0] == turns.count()
     assert cg.reply_tasks(turns).filter("conv_id = 0").count() == 10_000
     found = cg.members(turns, ["conv_id"], "role", ["user", "system"], []).filter("conv_id = 0").first()
     assert (found.missing, found.present) == (["system"], ["user"])
