@@ -34,6 +34,7 @@ CAPTURE = 2.0
 TILE = 1024
 COUNTERS = 1 << 16
 FILTER_BITS = 1 << 26
+PARITY_BITS = 1024
 CHUNK_BYTES = 1 << 20
 SLACK = 1e-9
 _EVENS = np.uint64(0x9E3779B97F4A7C15)
@@ -103,52 +104,88 @@ def window_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """The parity of each set's shingles in ``PARITY_BITS`` classes, as rows of 64-bit
+    words. Two sets differ in at least as many shingles as their parities do."""
+    out = np.zeros((len(sets), PARITY_BITS), np.uint8)
+    for i, s in enumerate(sets):
+        at = (s * _EVENS >> np.uint64(64 - PARITY_BITS.bit_length() + 1)).astype(np.int64)
+        out[i] = np.bincount(at, minlength=PARITY_BITS) & 1
+    return np.packbits(out, axis=1).view(np.int64).reshape(len(sets), PARITY_BITS // 64)
+
+
 def _profiles(docs: DataFrame, rid: Column, size: int, percent: int, rarity) -> DataFrame:
-    """``(rid, pivots, k0, k1)``: each document's rarest shingles, and the parity of its
-    shingles in 128 classes. Sets differ in at least as many shingles as parities do."""
+    """``(rid, pivots, parity)``: each document's rarest shingles, and its parities."""
 
     def work(rows: pa.RecordBatch, _):
         order = rarity.value
-        firsts, parity = [], np.zeros((rows.num_rows, 128), np.uint8)
-        for i, s in enumerate(shingle_sets(rows.column(2), size)):
+        sets = shingle_sets(rows.column(2), size)
+        firsts = []
+        for s in sets:
             keep = window_size(len(s), percent) if len(s) else 0
             firsts.append(s[np.lexsort((s, order[s & np.uint64(COUNTERS - 1)]))[:keep]])
-            parity[i] = np.bincount((s * _EVENS >> np.uint64(57)).astype(np.int64), minlength=128) & 1
-        bits = np.packbits(parity, axis=1).view(np.int64).reshape(-1, 2)
-        counts = np.array([len(f) for f in firsts], np.int64)
-        values = np.concatenate([*firsts, np.zeros(0, np.uint64)]).view(np.int64)
-        return rows.column(0), lists(counts, values, pa.int64()), bits[:, 0], bits[:, 1]
+        return rows.column(0), _arrays(firsts), lists(np.full(len(sets), PARITY_BITS // 64), parities(sets).ravel(), pa.int64())
 
-    return map_texts(numbered(docs, rid), "rid string, pivots array<bigint>, k0 bigint, k1 bigint", work, chunk_bytes=CHUNK_BYTES)
+    schema = "rid string, pivots array<bigint>, parity array<bigint>"
+    return map_texts(numbered(docs, rid), schema, work, chunk_bytes=CHUNK_BYTES)
 
 
-def _sets_of(docs: DataFrame, rid: Column, wanted: DataFrame, size: int) -> DataFrame:
-    """``(node, set)`` of the ``wanted`` ``(rid, node)``; a filter of fixed size keeps most
-    other documents from leaving their task."""
-    bit = F.pmod(F.xxhash64("rid"), F.lit(FILTER_BITS))
-    spark = docs.sparkSession
-    marked = wanted.select(bit.alias("bit")).groupBy(F.expr("bit div 64").alias("word"))
-    marked = marked.agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits"))
-    found = marked.toArrow()  # at most one row per 64 bits
+def _arrays(sets: list[np.ndarray]) -> pa.ListArray:
+    values = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+    return lists(np.array([len(s) for s in sets], np.int64), values, pa.int64())
+
+
+def _unpacked(column: pa.Array) -> list[np.ndarray]:
+    """The sets of an Arrow column of lists."""
+    values = column.flatten().to_numpy().view(np.uint64)
+    ends = np.cumsum([0, *(len(x) for x in column)])
+    return [values[s:e] for s, e in zip(ends[:-1], ends[1:])]
+
+
+def _bit_filter(keys: DataFrame, key: Column):
+    """A broadcast of ``FILTER_BITS`` bits, those of the keys' hashes set."""
+    marked = keys.select(F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)).alias("bit")).groupBy(F.expr("bit div 64").alias("word"))
+    found = marked.agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits")).toArrow()  # at most one row per 64 bits
     cells = np.zeros(FILTER_BITS // 64, np.int64)
     cells[found["word"].to_numpy()] = found["bits"].to_numpy()
-    sent = spark.sparkContext.broadcast(cells)
-    schema = "rid string, set array<bigint>"
+    return keys.sparkSession.sparkContext.broadcast(cells)
+
+
+def _passing(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.flatnonzero((bits[at >> 6] >> (at & 63)) & 1)
+
+
+def _region_rows(profiles: DataFrame) -> DataFrame:
+    """``(s, place, node, n)``: a row for each pivot ``s`` of a node that other nodes have too."""
+    own = profiles.select(F.explode("pivots").alias("s"))
+    shared = staged(own.groupBy("s").agg(F.count("*").alias("c")).filter("c > 1").select("s"), "metric-shared")
+    sent = _bit_filter(shared, F.col("s"))
+    rows = profiles.select("node", "n", F.posexplode("pivots").alias("place", "s"))
+    rows = rows.withColumn("bit", F.pmod(F.xxhash64("s"), F.lit(FILTER_BITS)))
 
     def run(batches):
         for batch in batches:
-            at = batch.column(3).to_numpy()
-            live = np.flatnonzero((sent.value[at >> 6] >> (at & 63)) & 1)
-            rows_ = batch.take(pa.array(live))
-            lengths = np.diff(text_bytes(rows_.column(2))[1])
-            for rows in slices(rows_, lengths, CHUNK_BYTES):
-                sets = shingle_sets(rows.column(2), size)
-                values = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
-                counts = np.array([len(s) for s in sets], np.int64)
-                yield pa.RecordBatch.from_arrays([rows.column(0), lists(counts, values, pa.int64())], names=["rid", "set"])
+            live = _passing(sent.value, batch.column(4).to_numpy())
+            yield batch.take(pa.array(live)).select(["s", "place", "node", "n"])
 
-    made = numbered(docs, rid).withColumn("bit", bit).mapInArrow(run, schema)
-    return made.join(wanted.select("rid", "node"), "rid").select("node", "set")
+    return staged(rows.mapInArrow(run, "s bigint, place int, node bigint, n bigint"), "metric-regions")
+
+
+def _sets_of(docs: DataFrame, rid: Column, wanted: DataFrame, size: int) -> DataFrame:
+    """``wanted`` rows, which have a ``rid``, with their ``set``; a filter of fixed size
+    keeps most other documents from being cut up and from leaving their task."""
+    sent = _bit_filter(wanted, F.col("rid"))
+
+    def run(batches):
+        for batch in batches:
+            chosen = batch.take(pa.array(_passing(sent.value, batch.column(3).to_numpy())))
+            lengths = np.diff(text_bytes(chosen.column(2))[1])
+            for rows in slices(chosen, lengths, CHUNK_BYTES):
+                sets = _arrays(shingle_sets(rows.column(2), size))
+                yield pa.RecordBatch.from_arrays([rows.column(0), sets], names=["rid", "set"])
+
+    made = numbered(docs, rid).withColumn("bit", F.pmod(F.xxhash64("rid"), F.lit(FILTER_BITS)))
+    return made.mapInArrow(run, "rid string, set array<bigint>").join(wanted, "rid").drop("rid")
 
 
 class PivotIndex:
@@ -197,26 +234,27 @@ def _chosen(candidates: list[tuple[int, np.ndarray]], capture: float) -> list[tu
     return out
 
 
-def _distances(docs: DataFrame, rid: Column, size: int, index, reach: float) -> DataFrame:
-    """``(rid, pivot, apart, far, diff)`` of the documents within ``reach`` of pivots:
-    in how many shingles they differ, the distance, and those shingles."""
+def _distances(sets: DataFrame, index, reach: float) -> DataFrame:
+    """``(node, n, docs, crowded, pivot, apart, far, ring, diff)`` of the nodes within
+    ``reach`` of pivots: in how many shingles they differ, the distance, and those shingles."""
 
     def run(batches):
-        pivots = PivotIndex(index.value)
+        pivots, radius = PivotIndex(index.value[0]), index.value[1]
         for batch in batches:
-            lengths = np.diff(text_bytes(batch.column(2))[1])
-            for rows in slices(batch, lengths, CHUNK_BYTES):
-                sets = shingle_sets(rows.column(2), size)
-                of, pivot, apart = pivots.near(sets, reach)
-                if not len(of):
-                    continue
-                sizes = np.array([len(s) for s in sets], np.int64)
-                far = 2 * apart / (sizes[of] + pivots.sizes[pivot] + apart)
-                diffs = [np.setxor1d(sets[i], pivots.sets[j], assume_unique=True).tobytes() for i, j in zip(of, pivot)]
-                columns = [rows.column(0).take(pa.array(of)), pa.array(pivot.astype(np.int32)), pa.array(apart), pa.array(far), pa.array(diffs, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["rid", "pivot", "apart", "far", "diff"])
-
-    return numbered(docs, rid).mapInArrow(run, "rid string, pivot int, apart bigint, far double, diff binary")
+            for rows in slices(batch, 8 * batch.column(1).to_numpy(), CHUNK_BYTES):
+                held = _unpacked(rows.column(4))
+                of, pivot, apart = pivots.near(held, reach)
+                sizes = np.array([len(s) for s in held], np.int64)
+                twice = sizes[of] + pivots.sizes[pivot] + apart  # of the size of the union
+                diffs = [np.setxor1d(held[i], pivots.sets[j], assume_unique=True).tobytes() for i, j in zip(of, pivot)]
+                columns = [c.take(pa.array(of)) for c in rows.columns[:4]]
+                columns += [pa.array(pivot.astype(np.int32)), pa.array(apart), pa.array(2 * apart / twice)]
+                columns += [pa.array((200 * apart // (twice * radius)).astype(np.int32)), pa.array(diffs, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = "node bigint, n bigint, docs bigint, crowded boolean, pivot int, apart bigint, far double, ring int, diff binary"
+    names = [c.split()[0] for c in schema.split(", ")]
+    return sets.select("node", "n", "docs", "crowded", "set").mapInArrow(run, schema)
 
 
 def compared(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> np.ndarray:
@@ -307,90 +345,102 @@ def _region_links(rows: DataFrame, percent: int, tile: int) -> DataFrame:
     return sides.groupBy("pair").applyInPandas(compare, "a bigint, b bigint, partners bigint")
 
 
-def _leaf_links(docs: DataFrame, rid: Column, outer: DataFrame, shared: DataFrame, size: int, percent: int) -> DataFrame:
-    """``(a, b)``, each linked pair of ``outer`` nodes once, from the regions of singletons.
+def _leaf_links(docs: DataFrame, rid: Column, rows: DataFrame, profiles: DataFrame, size: int, percent: int) -> DataFrame:
+    """``(a, b)``, each linked pair of nodes once, from the regions of singletons.
 
-    Two sets meet where they share a pivot. A pair is dropped there where sizes,
-    places of the shared shingle or parities already tell that it is no link; the others
-    are compared shingle by shingle.
+    Two sets meet where they share a pivot. A pair is dropped there where sizes or the
+    places of the shared shingle tell that it is no link, then where the parities do;
+    the others are compared shingle by shingle.
     """
-    rows = outer.select("node", "n", "k0", "k1", F.posexplode("pivots").alias("place", "s"))
-    rows = staged(rows.join(shared.select("s"), "s", "left_semi"), "metric-regions")
-    other = rows.select("s", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "k0", "k1", "place")))
+    other = rows.select("s", F.col("place").alias("place2"), F.col("node").alias("b"), F.col("n").alias("n2"))
     total = F.col("n") + F.col("n2")
-    differ = F.bit_count(F.col("k0").bitwiseXOR(F.col("k02"))) + F.bit_count(F.col("k1").bitwiseXOR(F.col("k12")))
     reach = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
     possible = (
-        (F.col("node") < F.col("node2"))
+        (F.col("node") < F.col("b"))
         & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
         & (reach * (100 + percent) >= percent * total)
-        & (differ * (100 + percent) <= (100 - percent) * total)
     )
-    pairs = rows.join(other, "s").filter(possible).select(F.col("node").alias("a"), F.col("node2").alias("b"), total.alias("total"))
+    pairs = rows.join(other, "s").filter(possible).select(F.col("node").alias("a"), "b", total.alias("total"))
     pairs = staged(pairs.distinct(), "metric-pairs")
+    parity = profiles.select("node", "parity")
+    for end in "ab":
+        pairs = pairs.join(parity.select(F.col("node").alias(end), F.col("parity").alias(f"parity_{end}")), end)
+    differ = F.expr("aggregate(zip_with(parity_a, parity_b, (x, y) -> bit_count(x ^ y)), 0, (x, y) -> x + y)")
+    pairs = pairs.filter(differ * (100 + percent) <= (100 - percent) * F.col("total")).select("a", "b", "total")
+    pairs = staged(pairs, "metric-likely")
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = staged(outer.select("rid", "node").join(ends, "node"), "metric-wanted")
+    wanted = staged(profiles.select("rid", "node").join(ends, "node"), "metric-wanted")
     sets = staged(_sets_of(docs, rid, wanted, size), "metric-sets")
-    held = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("left")), "a")
-    held = held.join(sets.select(F.col("node").alias("b"), F.col("set").alias("right")), "b")
-    common = F.size(F.array_intersect("left", "right")).cast("bigint")
-    return held.filter(common * (100 + percent) >= percent * F.col("total")).select("a", "b")
+    for end in "ab":
+        pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("set").alias(f"set_{end}")), end)
+    common = F.size(F.array_intersect("set_a", "set_b")).cast("bigint")
+    return pairs.filter(common * (100 + percent) >= percent * F.col("total")).select("a", "b")
 
 
-def _pivots(docs, rid, outer, shared, size, full, pivots, capture) -> list[tuple[int, np.ndarray]]:
+def _pivots(crowded: DataFrame, sets: DataFrame, pivots: int, capture: float) -> list[tuple[int, np.ndarray]]:
     """Documents of the fullest regions, one of each, no two near each other; together
     about ``PIVOT_SHINGLES`` shingles."""
-    crowded = shared.filter(F.col("c") > full).groupBy(F.col("pivot.node").alias("node")).agg(F.max("c").alias("c"))
-    crowded = crowded.join(outer.select("node", "rid", "n"), "node").orderBy(F.desc("c"), "node").limit(pivots)
-    rows, total = [], 0
-    for row in crowded.collect():  # at most ``pivots`` rows
+    best = crowded.groupBy(F.col("pivot.node").alias("node")).agg(F.max("c").alias("c"))
+    best = best.join(sets.select("node", "n"), "node").orderBy(F.desc("c"), "node").limit(pivots)
+    nodes, total = [], 0
+    for row in best.collect():  # at most ``pivots`` rows
         total += row["n"]
-        if rows and total > PIVOT_SHINGLES:
+        if nodes and total > PIVOT_SHINGLES:
             break
-        rows.append((row["node"], row["rid"]))
-    if not rows:
+        nodes.append(row["node"])
+    if not nodes:
         return []
-    wanted = docs.sparkSession.createDataFrame(rows, "node bigint, rid string")
-    sets = {r["node"]: np.array(r["set"], np.int64).view(np.uint64) for r in _sets_of(docs, rid, wanted, size).collect()}
-    return _chosen([(node, np.sort(sets[node])) for node, _ in rows], capture)
+    wanted = sets.sparkSession.createDataFrame([(n,) for n in nodes], "node bigint")
+    found = sets.select("node", "set").join(F.broadcast(wanted), "node").toArrow()
+    held = dict(zip(found["node"].to_pylist(), _unpacked(found["set"].combine_chunks())))
+    return _chosen([(node, held[node]) for node in nodes], capture)
+
 
+def links(docs: DataFrame, rid: Column, profiles: DataFrame, percent: int, size: int, full: int, pivots: int, tile: int):
+    """``(a, b, partners)`` as of ``_region_links``, over all regions of all rounds.
 
-def links(docs: DataFrame, rid: Column, nodes: DataFrame, profiles: DataFrame, percent: int, size: int, full: int, pivots: int, tile: int):
-    """``(a, b, partners)`` as of ``_region_links``, over all regions of all rounds."""
+    Only nodes that stand in regions of more than ``full`` are captured by document
+    pivots. Nodes that share no region with one of these cannot be linked to it, so
+    the sets of the others and of those that do are written once and used in all rounds.
+    """
     radius = (100 - percent) / 100
-    capture = min(CAPTURE * radius, 0.9 - radius) if radius < 0.45 else 0.0
-    found, outer, turn = [], profiles, 0
-    while True:
-        own = outer.select("node", F.explode("pivots").alias("s"))
-        regions = own.groupBy("s").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("pivot"))
-        shared = staged(regions.filter("c > 1"), "metric-shared")
-        chosen = _pivots(docs, rid, outer, shared, size, full, pivots, capture) if capture > 0 else []
+    capture = min(CAPTURE * radius, 0.9 - radius)
+    rows = _region_rows(profiles)
+    first = F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("pivot")
+    found, sets = [], None
+    while 0 < radius < 0.45:
+        crowded = rows.groupBy("s").agg(F.count("*").alias("c"), first).filter(F.col("c") > full)
+        crowded = staged(crowded, "metric-crowded")
+        if sets is None:
+            if crowded.isEmpty():
+                break
+            dense = staged(rows.join(crowded, "s", "left_semi").select("node").distinct(), "metric-dense")
+            touched = rows.join(dense, "node", "left_semi").select("s").distinct()
+            needed = rows.join(touched, "s", "left_semi").select("node").distinct()
+            needed = needed.join(dense.withColumn("crowded", F.lit(True)), "node", "left")
+            needed = needed.join(profiles.select("node", "rid", "n", "docs"), "node")
+            needed = staged(needed.withColumn("crowded", F.coalesce("crowded", F.lit(False))), "metric-needed")
+            sets = staged(_sets_of(docs, rid, needed, size), "metric-dense-sets")
+        chosen = _pivots(crowded, sets, pivots, capture)
         if not chosen:
             break
-        index = docs.sparkSession.sparkContext.broadcast([s for _, s in chosen])
-        near = _distances(docs, rid, size, index, capture + radius)
-        near = staged(near.join(outer.select("rid", "node", "n", "docs"), "rid").drop("rid"), "metric-near")
-        mine = near.filter(F.col("far") <= capture).groupBy("node").agg(F.min(F.struct("far", "pivot")).alias("own"))
-        mine = staged(mine, "metric-own")
-        rows = near.join(mine, "node", "left")
+        index = docs.sparkSession.sparkContext.broadcast(([s for _, s in chosen], 100 - percent))
+        near = staged(_distances(sets, index, capture + radius), "metric-near")
+        mine = near.filter((F.col("far") <= capture) & F.col("crowded"))
+        mine = staged(mine.groupBy("node").agg(F.min(F.struct("far", "pivot")).alias("own")), "metric-own")
         member = F.col("own.pivot").eqNullSafe(F.col("pivot"))
         border = F.col("own").isNull() | ((F.col("pivot") < F.col("own.pivot")) & (F.col("far") <= F.col("own.far") + 2 * radius + SLACK))
-        ring = F.expr(f"cast((200 * apart) div ((n + pivot_n + apart) * {100 - percent}) as int)")
-        pivot_sizes = docs.sparkSession.createDataFrame([(i, len(s)) for i, (_, s) in enumerate(chosen)], "pivot int, pivot_n bigint")
-        rows = rows.join(F.broadcast(pivot_sizes), "pivot").withColumn("member", member).filter(F.col("member") | border)
-        rows = staged(rows.select("pivot", "member", "node", "docs", "n", "apart", ring.alias("ring"), "diff"), "metric-members")
-        found.append(staged(_region_links(rows, percent, tile), "metric-region-links"))
-        caught = mine.count()
-        outer = staged(outer.join(mine.select("node"), "node", "left_anti"), "metric-outer")
-        turn += 1
-        if caught < 2 * len(chosen):
-            own = outer.select("node", F.explode("pivots").alias("s"))
-            shared = staged(own.groupBy("s").agg(F.count("*").alias("c")).filter("c > 1"), "metric-shared")
+        near = near.join(mine, "node", "left").withColumn("member", member).filter(F.col("member") | border)
+        near = staged(near.select("pivot", "member", "node", "docs", "n", "apart", "ring", "diff"), "metric-members")
+        found.append(staged(_region_links(near, percent, tile), "metric-region-links"))
+        rows = staged(rows.join(mine, "node", "left_anti"), "metric-regions")
+        sets = sets.join(mine, "node", "left_anti")
+        if mine.count() < 2 * len(chosen):
             break
-    leaf = staged(_leaf_links(docs, rid, outer, shared, size, percent), "metric-links")
-    weight = nodes.select("node", "docs")
+    leaf = staged(_leaf_links(docs, rid, rows, profiles, size, percent), "metric-links")
+    weight = profiles.select(F.col("node").alias("b"), "docs")
     ends = leaf.select("a", "b").union(leaf.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degrees = ends.join(weight, F.col("b") == F.col("node")).groupBy("a").agg(F.sum("docs").alias("partners"))
+    degrees = ends.join(weight, "b").groupBy("a").agg(F.sum("docs").alias("partners"))
     none = F.lit(None).cast("bigint")
     out = leaf.select("a", "b", none.alias("partners")).union(degrees.select("a", none.alias("b"), "partners"))
     for part in found:
@@ -432,7 +482,7 @@ def jaccard_classes(
     nodes = staged(equal.withColumn("node", F.monotonically_increasing_id()), "metric-nodes")
     profiles = _profiles(docs, rid, size, percent, rarity).join(nodes.select("rid", "node", "n", "docs"), "rid")
     profiles = staged(profiles, "metric-profiles")
-    found = staged(links(docs, rid, nodes, profiles, percent, size, full, pivots, tile), "metric-found")
+    found = staged(links(docs, rid, profiles, percent, size, full, pivots, tile), "metric-found")
     roots = staged(components(found.filter("b IS NOT NULL").select("a", "b"), "metric-components"), "metric-roots")
     partners = found.filter("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("partners").alias("partners"))
     nodes = nodes.join(partners, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
