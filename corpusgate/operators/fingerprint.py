@@ -7,96 +7,116 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusgate.functions.digest import hash_sum, row_hash, sha256_hex
-from corpusgate.functions.text import is_blank_ascii, utc_stamp
-from corpusgate.sources.lines import file_list, raw_lines
+from corpusgate.functions.text import utc_stamp
+from corpusgate.session import new_path
+from corpusgate.sources.lines import file_list, number_lines, raw_lines
 
-# A file up to this size is hashed as one binary value; a larger one as a stream of
-# its lines, both from Spark's readers. SHA-256 is sequential, so one task hashes a file.
-WHOLE_FILE_BYTES = 128 * 1024 * 1024
 _MARK = b"\xef\xbb\xbf"
+# Endings by which Spark's readers choose a decompressor.
+COMPRESSED = (".gz", ".bz2", ".deflate", ".zst", ".lz4", ".snappy")
+_WHOLE = str(1 << 50)  # no file is longer
 
 
-def _hash_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(file, sha256)`` from ``(file, size, value)``, the lines of files in order.
+class _FileHash:
+    """SHA-256 and line count of one file, fed with runs of its lines.
 
     The reader leaves out the last line end and a leading byte order mark; the number
-    of bytes that are missing tells which."""
-    name, size, fed, plain, marked = None, 0, 0, None, None
+    of bytes that are missing tells which. A file that the reader decompresses has no
+    known size, and each of its lines counts as ended.
+    """
 
-    def done() -> pa.RecordBatch:
-        rest = size - fed
+    def __init__(self, name: str, size: int):
+        self.name, self.size, self.fed, self.lines = name, size, -1, 0
+        self.plain, self.marked = hashlib.sha256(), hashlib.sha256(_MARK)
+
+    def add(self, lines: list[bytes]) -> None:
+        run = b"\n".join(lines if self.fed < 0 else [b"", *lines])
+        self.fed = max(self.fed, 0) + len(run)
+        self.lines += sum(1 for line in lines if line.strip())
+        self.plain.update(run)
+        self.marked.update(run)
+
+    def row(self) -> tuple[str, str, int]:
+        rest = 1 if self.name.endswith(COMPRESSED) else self.size - self.fed
         if rest not in (0, 1, 3, 4):
-            raise ValueError(f"{name} has {size} bytes, but its lines have {fed}")
-        digest = marked if rest > 1 else plain
+            raise ValueError(f"{self.name} has {self.size} bytes, but its lines have {self.fed}")
+        digest = self.marked if rest > 1 else self.plain
         digest.update(b"\n" * (rest % 3))
-        return pa.RecordBatch.from_pydict({"file": [name], "sha256": [digest.hexdigest()]})
+        return self.name, digest.hexdigest(), self.lines
+
+
+def _hash_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(file, sha256, line_count)`` from ``(file, size, value)``, the lines of files in order."""
+    now = None
+
+    def done() -> pa.RecordBatch:
+        columns = [[x] for x in now.row()]
+        return pa.RecordBatch.from_pydict(dict(zip(("file", "sha256", "line_count"), columns)))
 
     for batch in batches:
-        for file, length, line in zip(*(c.to_pylist() for c in batch.columns)):
-            if file != name:
-                if name is not None:
+        runs = pc.run_end_encode(batch.column(0))
+        start = 0
+        for name, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+            if now is None or now.name != name:
+                if now is not None:
                     yield done()
-                name, size, fed = file, length, len(line)
-                plain, marked = hashlib.sha256(), hashlib.sha256(_MARK)
-            else:
-                line = b"\n" + line
-                fed += len(line)
-            plain.update(line)
-            marked.update(line)
-    if name is not None:
+                now = _FileHash(name, batch.column(1)[start].as_py())
+            now.add(batch.column(2).slice(start, end - start).to_pylist())
+            start = end
+    if now is not None:
         yield done()
 
 
-def file_digests(
-    spark: SparkSession, path: str | list[str], whole_file_bytes: int = WHOLE_FILE_BYTES
-) -> DataFrame:
+def file_digests(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(file, bytes, sha256, line_count)`` per file.
 
-    ``sha256`` covers the raw bytes; ``line_count`` counts the ``\\n``-separated
-    lines that are not blank as ASCII bytes.
+    ``sha256`` covers the raw bytes, ``line_count`` the ``\\n``-separated lines that are
+    not blank as ASCII bytes; of a file that Spark's readers decompress by its name,
+    both are of its lines as read, each of them ended. A file of any size is read once,
+    as a stream, by one task, because the hash is sequential; files are hashed side by side.
+    Nothing is shuffled but a row for each file. ``line_digests`` splits files.
     """
     files = file_list(spark, path)
-    binary = spark.read.format("binaryFile").load(path)
-    name = F.col("_metadata.file_path").alias("file")
-    small = binary.filter(F.col("length") <= whole_file_bytes).select(
-        name, sha256_hex(F.col("content")).alias("sha256")
+    # In a session of its own a file is one split, and no split holds two files.
+    whole = spark.newSession()
+    for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        whole.conf.set(key, _WHOLE)
+    lines = whole.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_size").alias("size"),
+        F.col("value").cast("binary").alias("value"),
     )
-    size = F.col("_metadata.file_size").alias("size")
-    large = (
-        spark.read.option("lineSep", "\n")
-        .text(path)
-        .filter(F.col("_metadata.file_size") > whole_file_bytes)
-        .select(
-            name,
-            size,
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("seq"),
-            F.col("value").cast("binary").alias("value"),
-        )
-        .repartition("file")
-        .sortWithinPartitions("file", "block", "seq")
-        .select("file", "size", "value")
-        .mapInArrow(_hash_lines, "file string, sha256 string")
+    hashed = new_path(spark, "file-digests")
+    lines.mapInArrow(_hash_files, "file string, sha256 string, line_count bigint").write.parquet(hashed)
+    return files.join(spark.read.parquet(hashed), "file", "left").select(
+        "file",
+        "bytes",
+        F.coalesce("sha256", sha256_hex(F.lit("").cast("binary"))).alias("sha256"),
+        F.coalesce("line_count", F.lit(0).cast("bigint")).alias("line_count"),
     )
-    counts = (
-        raw_lines(spark, path, line_sep="\n")
-        .groupBy("file")
-        .agg(F.count_if(~is_blank_ascii(F.col("value"))).alias("line_count"))
+
+
+def line_digests(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(file, bytes, lines, digest)`` per file, where a file is read by many tasks.
+
+    ``digest`` is the SHA-256 of the file's size and of the sum of a hash for each line
+    and its number. Sums merge, so it is the same however the file is split, and no line
+    is moved; numbers make it depend on the order. The size of the file tells a missing
+    last line end.
+    """
+    lines = number_lines(raw_lines(spark, path, line_sep="\n"))
+    sums = lines.groupBy("file").agg(
+        F.count("*").alias("lines"), hash_sum(row_hash([F.col("line_no"), F.col("value")])).alias("sum")
     )
-    return (
-        files.join(small.union(large), "file", "left")
-        .join(counts, "file", "left")
-        .select(
-            "file",
-            "bytes",
-            F.coalesce("sha256", sha256_hex(F.lit("").cast("binary"))).alias("sha256"),
-            F.coalesce("line_count", F.lit(0).cast("bigint")).alias("line_count"),
-        )
+    text = F.concat_ws(":", F.col("bytes").cast("string"), F.coalesce("sum", F.lit("0")))
+    return file_list(spark, path).join(sums, "file", "left").select(
+        "file", "bytes", F.coalesce("lines", F.lit(0).cast("bigint")).alias("lines"), sha256_hex(text).alias("digest")
     )
 
 

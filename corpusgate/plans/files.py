@@ -5,17 +5,26 @@ Each writes the given table as JSON lines below the shared folder first.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgate.operators.fingerprint import corpus_digest, file_digests
+from corpusgate.operators.fingerprint import corpus_digest, file_digests, line_digests
 from corpusgate.operators.reports import file_report as report_of
 from corpusgate.operators.rules import validate
+from corpusgate.plans.chat import sql_hash
 from corpusgate.plans.tables import damaged_task_lines, table
 from corpusgate.plans.tasks import JUDGED
 from corpusgate.session import new_path, prepare
-from corpusgate.sources.lines import read_records
-from corpusgate.streaming.intake import line_stream, read_counts, start_counts, start_intake
+from corpusgate.sources.lines import read_records, running_offsets
+from corpusgate.streaming.intake import (
+    late_counts,
+    line_stream,
+    read_counts,
+    read_running_counts,
+    start_counts,
+    start_intake,
+    start_running_counts,
+)
 
 
 def _turn_files(spark: SparkSession, sf_dir: str) -> str:
@@ -41,21 +50,17 @@ def _task_files(spark: SparkSession, sf_dir: str) -> str:
 def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line number and record position of every turn in the sorted files.
 
-    Positions count through the files in name order: a running sum over one row
-    per file is joined back onto the lines.
+    Positions count through the files in name order: running sums over one row
+    per file, in two levels, are joined back onto the lines.
     """
     lines = read_records(spark, _turn_files(spark, sf_dir))
     key = F.from_json("value", "conv_id bigint, turn bigint")
     last = lines.groupBy("file").agg(
         F.max("line_no").alias("n_lines"), F.max("index").alias("last_index")
     )
-    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = last.select(
-        "file",
-        F.coalesce(F.sum("n_lines").over(earlier), F.lit(0)).alias("lines_before"),
-        F.coalesce(F.sum(F.col("last_index") + 1).over(earlier), F.lit(0)).alias("records_before"),
-    )
-    return lines.join(offsets, "file").select(
+    counted = last.select("file", F.col("n_lines").alias("lines"), (F.col("last_index") + 1).alias("records"))
+    offsets = running_offsets(counted, "file", ["lines", "records"])
+    return lines.join(offsets.drop("lines", "records"), "file").select(
         key["conv_id"].alias("conv_id"),
         key["turn"].alias("turn"),
         (F.col("line_no") + F.col("lines_before")).alias("line_no"),
@@ -116,6 +121,23 @@ GROUP BY conv_id % 16
 """
 
 
+def file_line_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes, lines and splittable digest of every file."""
+    return line_digests(spark, _shard_files(spark, sf_dir)).select("bytes", "lines", "digest")
+
+
+FILE_LINE_DIGEST = f"""
+WITH rows AS (
+  SELECT conv_id % 16 AS shard, conv_id, turn, role, text,
+         unnest(CASE WHEN role = 'system' THEN ['', line] ELSE [line] END) AS line, unnest(CASE WHEN role = 'system' THEN [0, 1] ELSE [1] END) AS part
+  FROM (SELECT *, to_json({{'conv_id': conv_id, 'turn': turn, 'role': role, 'text': text}})::VARCHAR AS line FROM conversations)),
+numbered AS (SELECT shard, line, row_number() OVER (PARTITION BY shard ORDER BY conv_id, turn, role, text, part) AS line_no FROM rows)
+SELECT sum(strlen(line) + 1)::BIGINT AS bytes, count(*) AS lines,
+       sha256(sum(strlen(line) + 1)::BIGINT::VARCHAR || ':' || sum({sql_hash('line_no::VARCHAR', 'line')})::VARCHAR) AS digest
+FROM numbered GROUP BY shard
+"""
+
+
 def corpus_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One digest of the contents of all files; their names are new in each run."""
     return corpus_digest(file_digests(spark, _shard_files(spark, sf_dir)))
@@ -143,7 +165,8 @@ SELECT CASE WHEN rule IS NULL THEN 'accepted' ELSE 'rejected' END AS verdict, co
 
 
 def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chat lines per rule and hour, counted on a stream of the events."""
+    """Chat lines per rule and hour of a stream of the events: the totals from the state
+    store, and the rows that came after their window was forgotten."""
     prepare(spark)
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = (
@@ -158,12 +181,19 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         utc.cast("timestamp").alias("ts"),
         F.to_json(F.struct(message.alias("messages"))).alias("value"),
     )
-    out = new_path(spark, "counts")
-    start_counts(validate(lines, "chat"), out, new_path(spark, "counts-state"), "ts").awaitTermination()
+    judged = validate(lines, "chat")
+    every, open_ = new_path(spark, "counts"), new_path(spark, "running")
+    runs = [
+        start_counts(judged, every, new_path(spark, "counts-state"), "ts"),
+        start_running_counts(judged, open_, new_path(spark, "running-state"), "ts"),
+    ]
+    for run in runs:
+        run.awaitTermination()
+    running = read_running_counts(spark, open_)
+    rows = running.unionByName(late_counts(read_counts(spark, every), running))
     shown = F.to_utc_timestamp("window_start", F.current_timezone())
-    return read_counts(spark, out).select(
-        F.date_format(shown, "yyyy-MM-dd HH:mm:ss").alias("window_start"), "rule", "n"
-    )
+    hour = F.date_format(shown, "yyyy-MM-dd HH:mm:ss").alias("window_start")
+    return rows.groupBy(hour, "rule").agg(F.sum("n").alias("n"))
 
 
 STREAM_COUNTS = """
@@ -178,6 +208,7 @@ QUERIES = {
     "line_numbers": (line_numbers, LINE_NUMBERS),
     "file_report": (file_report, FILE_REPORT),
     "file_fingerprint": (file_fingerprint, FILE_FINGERPRINT),
+    "file_line_digest": (file_line_digest, FILE_LINE_DIGEST),
     "corpus_fingerprint": (corpus_fingerprint, CORPUS_FINGERPRINT),
     "stream_intake": (stream_intake, STREAM_INTAKE),
     "stream_counts": (stream_counts, STREAM_COUNTS),

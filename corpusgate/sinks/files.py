@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusgate.session import new_path
@@ -13,6 +13,27 @@ def write_text_column(rendered: DataFrame, path: str, mode: str = "errorifexists
     rendered.select("text").write.mode(mode).parquet(path)
 
 
+def write_chat_lines(turns: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Turns ``(conv_id, turn, role, text)`` as chat records, one JSON line for each
+    conversation, however many turns it has.
+
+    Turns are sorted by conversation and position and written one by one, each with the
+    part of the line around it, so no task ever holds a conversation: the writer's
+    separator is a blank, which JSON allows between values, and the last turn brings the
+    line end. Repeated deliveries of a message are one; different messages at one
+    position are all kept, by role and text. Lines but the first of a file begin with a
+    blank, and a file may end in one.
+    """
+    turn = turns.select("conv_id", "turn", "role", F.col("text").alias("content")).distinct()
+    place = Window.partitionBy("conv_id").orderBy("turn", "role", "content")
+    first = F.lag(F.lit(1)).over(place).isNull()
+    last = F.lead(F.lit(1)).over(place).isNull()
+    message = F.to_json(F.struct("role", "content"), {"ignoreNullFields": "false"})
+    piece = F.concat(F.when(first, '{"messages":[').otherwise(","), message, F.when(last, "]}\n").otherwise(""))
+    pieces = turn.select(piece.alias("value"))
+    pieces.write.mode(mode).option("lineSep", " ").option("maxRecordsPerFile", 0).text(path)
+
+
 def with_verdict(validated: DataFrame) -> DataFrame:
     """Add ``verdict``; a rejected line keeps its text, an accepted one its record."""
     bad = F.col("rule").isNotNull()

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from corpusgate.errors import ENV_ERROR, CorpusError
 from corpusgate.functions.text import is_blank
-from corpusgate.session import prepare, shared_dir
+from corpusgate.functions.json import HIDDEN
+from corpusgate.session import prepare, shared_dir, staged
 
 # The split table is broadcast up to this many rows (about 200 bytes each);
 # beyond, lines and offsets meet in a shuffled join on (file, block), whose
@@ -141,6 +142,30 @@ def number_records(raw: DataFrame, splits: DataFrame | None = None) -> DataFrame
     )
 
 
+def running_offsets(rows: DataFrame, order: str, counts: list[str]) -> DataFrame:
+    """``rows`` with ``<count>_before``: the sum of each count over all rows that come
+    earlier by ``order``, which is unique.
+
+    A prefix sum in two levels: rows are range partitioned and summed up inside their
+    part, and the totals of the parts, one row each, are added up before.
+    """
+    spark = rows.sparkSession
+    part = f"{HIDDEN}part"
+    dealt = staged(rows.repartitionByRange(order).withColumn(part, F.spark_partition_id()), "offsets")
+    totals = dealt.groupBy(part).agg(*[F.sum(c).alias(c) for c in counts]).orderBy(part).collect()  # one row per part
+    sums, before = [0] * len(counts), []
+    for row in totals:
+        before.append((row[part], *sums))
+        sums = [s + (row[c] or 0) for s, c in zip(sums, counts)]
+    names = [f"{HIDDEN}{c}" for c in counts]
+    schema = ", ".join([f"{part} int", *[f"{n} bigint" for n in names]])
+    inside = Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.join(F.broadcast(spark.createDataFrame(before, schema)), part)
+    for count, name in zip(counts, names):
+        out = out.withColumn(f"{count}_before", F.col(name) + F.coalesce(F.sum(count).over(inside), F.lit(0)))
+    return out.drop(part, *names)
+
+
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return number_lines(raw_lines(spark, path))
 

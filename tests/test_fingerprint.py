@@ -1,11 +1,14 @@
+import gzip
 import hashlib
 import json
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from corpusgate import corpus_digest, file_digests, manifest, manifest_drift, read_runs, run_groups, table_digest
 from corpusgate.functions.digest import row_text
+from corpusgate.operators.fingerprint import line_digests
 from corpusgate.sinks.files import write_manifest
 
 FILES = {
@@ -26,10 +29,9 @@ def expected(content):
 def test_file_digests(spark, tmp_path):
     for name, content in FILES.items():
         (tmp_path / name).write_bytes(content)
-    for limit in (10**9, 20, 0):
-        rows = file_digests(spark, str(tmp_path), whole_file_bytes=limit).collect()
-        found = {r.file.rsplit("/", 1)[1].replace("%20", " "): r[1:] for r in rows}
-        assert found == {name: expected(content) for name, content in FILES.items()}
+    rows = file_digests(spark, str(tmp_path)).collect()
+    found = {r.file.rsplit("/", 1)[1].replace("%20", " "): r[1:] for r in rows}
+    assert found == {name: expected(content) for name, content in FILES.items()}
 
 
 def test_large_files_need_only_sparks_readers(spark, tmp_path):
@@ -43,13 +45,57 @@ def test_large_files_need_only_sparks_readers(spark, tmp_path):
     hadoop.set("fs.viewfs.mounttable.digests.link./in", f"file://{tmp_path}")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
     try:
-        rows = file_digests(spark, "viewfs://digests/in", whole_file_bytes=0).collect()
+        rows = file_digests(spark, "viewfs://digests/in").collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     found = {r.file.rsplit("/", 1)[1].replace("%20", " "): r.sha256 for r in rows}
     assert found == {name: hashlib.sha256(content).hexdigest() for name, content in contents.items()}
 
 
+def test_compressed_files_are_digested_as_read(spark, tmp_path):
+    content = b"".join(b'{"a":%d}\n\n' % i for i in range(3000))
+    (tmp_path / "plain.jsonl").write_bytes(content)
+    with gzip.open(tmp_path / "packed.jsonl.gz", "wb") as out:
+        out.write(content)
+    rows = {r.file.rsplit("/", 1)[1]: r for r in file_digests(spark, str(tmp_path)).collect()}
+    plain, packed = rows["plain.jsonl"], rows["packed.jsonl.gz"]
+    assert (packed.sha256, packed.line_count) == (plain.sha256, plain.line_count) == (hashlib.sha256(content).hexdigest(), 3000)
+    assert packed.bytes == (tmp_path / "packed.jsonl.gz").stat().st_size
+
+
+def test_files_are_hashed_without_moving_lines(spark, tmp_path, monkeypatch):
+    (tmp_path / "a").write_bytes(b"x\n" * 50_000)
+    plans = []
+    write = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda w, *a, **k: (plans.append(w._df._jdf.queryExecution().executedPlan().toString()), write(w, *a, **k))[1])
+    file_digests(spark, str(tmp_path)).collect()
+    assert len(plans) == 1 and "Exchange" not in plans[0] and "Sort" not in plans[0]
+
+
+def test_line_digest_is_the_same_for_every_split(spark, tmp_path):
+    def digests(folder, split=None):
+        options = {"spark.sql.files.maxPartitionBytes": str(split), "spark.sql.files.openCostInBytes": "0"} if split else {}
+        for key, value in options.items():
+            spark.conf.set(key, value)
+        try:
+            rows = line_digests(spark, str(folder)).collect()
+        finally:
+            for key in options:
+                spark.conf.unset(key)
+        return {r.file.rsplit("/", 1)[1].replace("%20", " "): r[1:] for r in rows}
+
+    (tmp_path / "in").mkdir()
+    contents = FILES | {"many.jsonl": b"".join(b"%d\n" % (i % 7) for i in range(5000))}
+    for name, content in contents.items():
+        (tmp_path / "in" / name).write_bytes(content)
+    whole = digests(tmp_path / "in")
+    assert whole == digests(tmp_path / "in", 200) == digests(tmp_path / "in", 4000)
+    assert {n: d[:2] for n, d in whole.items()} == {n: (len(c), len(c.split(b"\n")) - (not c or c.endswith(b"\n"))) for n, c in contents.items()}
+    for i, other in enumerate([b"2\n1\n", b"1\n2\n", b"1\n2", b"1\n\n2\n", b"1\n3\n"]):
+        (tmp_path / f"other{i}").write_bytes(other)
+    assert len({digests(tmp_path / f"other{i}")[f"other{i}"][2] for i in range(5)}) == 5
+
+
 def test_corpus_digest(spark, tmp_path):
     def digest(**files):
         folder = tmp_path / str(len(list(tmp_path.iterdir())))

@@ -107,3 +107,15 @@ def test_corpus_schema_is_the_first_record_also_over_many_splits(spark, tmp_path
     early = write(tmp_path, "early.jsonl", "\n".join(records))
     for path in (late, early):
         assert detect_corpus_schema(spark, path) == "task"
+
+
+def test_running_offsets_need_no_single_window(spark):
+    rows = spark.range(997).select(F.format_string("f%05d", (F.col("id") * 619) % 997).alias("file"), (F.col("id") % 13).alias("n"), F.lit(2).alias("m"))
+    got = source.running_offsets(rows, "file", ["n", "m"])
+    found = sorted(map(tuple, got.select("file", "n", "n_before", "m_before").collect()))
+    total = 0
+    for i, (_, n, n_before, m_before) in enumerate(found):
+        assert (n_before, m_before) == (total, 2 * i)
+        total += n
+    assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+    assert source.running_offsets(rows.limit(0), "file", ["n"]).count() == 0

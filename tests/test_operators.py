@@ -9,7 +9,16 @@ import corpusgate as cg
 from corpusgate.functions.text import UNICODE_WHITESPACE, contains_any, is_blank, label, strip, strip_ascii
 from corpusgate.operators.classify import with_scope
 from corpusgate.operators.settings import HYPERPARAMETERS, check_settings
-from corpusgate.sinks.files import read_accepted, read_rejected, result_json, write_judged, write_results, write_text_column
+from corpusgate.sinks.files import (
+    read_accepted,
+    read_rejected,
+    result_json,
+    write_chat_lines,
+    write_judged,
+    write_results,
+    write_text_column,
+)
+from test_skew import hot_turns
 
 
 def column(spark, values, kind="string"):
@@ -327,3 +336,18 @@ def test_scoring_keeps_the_suites_own_columns(spark):
     for salt in (1, 4):
         got = cg.score(suite, said, ["item"], salt=salt).orderBy("item").collect()
         assert [(r.suite_prediction, r.suite_n_predictions, r.prediction, r.exact_match) for r in got] == [("own", 7, "e", True), ("own", 8, None, False)]
+
+
+def test_chat_lines_are_written_turn_by_turn(spark, tmp_path):
+    turns = hot_turns(spark, 30_000).repartition(8)
+    odd = [(-1, 0, "user", 'q"\n\\é'), (-1, 0, "user", 'q"\n\\é'), (-1, 1, "assistant", None), (None, 3, "system", "x"), (-1, 0, "user", "a second")]
+    turns = turns.unionByName(spark.createDataFrame(odd, turns.schema))
+    write_chat_lines(turns, str(tmp_path / "out"))
+    lines = spark.read.text(str(tmp_path / "out")).filter("trim(value) <> ''")
+    got = [json.loads(r.value)["messages"] for r in lines.collect()]
+    whole = [[m.asDict() for m in r.messages] for r in cg.assemble_chat(turns).collect()]
+    key = lambda messages: json.dumps(messages, sort_keys=True)
+    assert sorted(map(key, got)) == sorted(map(key, whole)) and max(map(len, got)) == 30_000
+    assert cg.validate(cg.read_lines(spark, str(tmp_path / "out")), "chat").filter("rule IS NULL").count() == len(got) - 1
+    write_chat_lines(turns.limit(0), str(tmp_path / "none"))
+    assert spark.read.text(str(tmp_path / "none")).count() == 0
