@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ SYMBOL_WORDS = 20
 ROUNDS = 9
 RUN_ROUNDS = (0, 3, 6)
 SEGMENT_WORDS = 1 << 20
-_WORD_BASE, _LINE_BASE, _SECOND_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+_LINE_BASE, _SECOND_BASE = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 _FAR = 1 << 40
 
 
@@ -130,12 +131,15 @@ def places(hashes: np.ndarray, text: np.ndarray, window: int, powers: Powers):
     return text[begin], key[first], ctx, begin, count
 
 
-def _words(column: pa.Array, powers: Powers):
-    """Bytes, word starts and ends, their text numbers, and their hashes."""
+def _words(column: pa.Array):
+    """The words of all texts, their text numbers, and their hashes. A hash of the whole
+    word, not a polynomial: long words of a regular pattern must not meet."""
     data, bounds = text_bytes(column)
     space = (data == 32) | ((data >= 9) & (data <= 13))
     starts, ends, text = word_spans(~space, bounds)
-    return data, starts, ends, text, span_hashes(data, starts, ends, powers)
+    raw = data.tobytes()
+    words = [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist())]
+    return words, text, np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def _joined_sha(words: list[bytes]) -> str:
@@ -167,18 +171,16 @@ def read_places(docs: DataFrame, rid: Column, window: int) -> DataFrame:
     """``(rid, num, doc_id, n_words, sha256, places)``."""
 
     def work(rows: pa.RecordBatch, powers):
-        data, starts, ends, text, hashes = _words(rows.column(2), powers[0])
+        words, text, hashes = _words(rows.column(2))
         counts = np.bincount(text, minlength=rows.num_rows)
         first = np.cumsum(counts) - counts
-        raw = data.tobytes()
-        words = [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist())]
         shas = [_joined_sha(words[f : f + c]) for f, c in zip(first, counts)]
-        of, key, ctx, at, n = _segmented(hashes, text, window, powers[1])
+        of, key, ctx, at, n = _segmented(hashes, text, window, powers)
         held = _place_lists(rows.num_rows, of, key, ctx, at - first[of], n)
         return rows.column(0), rows.column(1), counts.astype(np.int64), shas, held
 
     schema = f"rid string, doc_id bigint, n_words bigint, sha256 string, places {PLACES}"
-    read = map_texts(numbered(docs, rid), schema, work, lambda: (Powers(_WORD_BASE), Powers(_LINE_BASE)))
+    read = map_texts(numbered(docs, rid), schema, work, lambda: Powers(_LINE_BASE))
     return staged(read.withColumn("num", F.monotonically_increasing_id()), "substring-read")
 
 
@@ -186,7 +188,7 @@ def _windows(rows: DataFrame, window: int) -> DataFrame:
     """``(num, at, h1, h2)``: every window of the spans, with a 128-bit hash."""
 
     def work(rows: pa.RecordBatch, powers):
-        _, _, _, text, hashes = _words(rows.column(3), powers[0])
+        _, text, hashes = _words(rows.column(3))
         first = np.searchsorted(text, np.arange(rows.num_rows))
         counts = np.array([len(x) for x in rows.column(1)], np.int64)
         of = np.repeat(np.arange(rows.num_rows), counts)
@@ -197,9 +199,9 @@ def _windows(rows: DataFrame, window: int) -> DataFrame:
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
         start = first[of] + at
         nums = rows.column(0).to_numpy()[of]
-        return [nums, at] + [span_hashes(hashes, start, start + window, p).view(np.int64) for p in powers[1:]]
+        return [nums, at] + [span_hashes(hashes, start, start + window, p).view(np.int64) for p in powers]
 
-    bases = (_WORD_BASE, _LINE_BASE, _SECOND_BASE)
+    bases = (_LINE_BASE, _SECOND_BASE)
     spans = rows.select("num", "starts", "ends", "text")
     return map_texts(spans, "num bigint, at bigint, h1 bigint, h2 bigint", work, lambda: [Powers(b) for b in bases])
 
@@ -207,10 +209,9 @@ def _windows(rows: DataFrame, window: int) -> DataFrame:
 def _kept(rows: DataFrame) -> DataFrame:
     """``(num, n_removed, kept_sha256)`` after the words under the spans are gone."""
 
-    def work(rows: pa.RecordBatch, powers):
-        data, starts, ends, text, _ = _words(rows.column(3), powers)
+    def work(rows: pa.RecordBatch, _):
+        words, text, _ = _words(rows.column(3))
         first = np.searchsorted(text, np.arange(rows.num_rows + 1))
-        raw = data.tobytes()
         removed, shas = [], []
         for i in range(rows.num_rows):
             size = first[i + 1] - first[i]
@@ -219,11 +220,11 @@ def _kept(rows: DataFrame) -> DataFrame:
             np.add.at(change, rows.column(2)[i].values.to_numpy(), -1)
             keep = first[i] + np.flatnonzero(np.cumsum(change)[:size] == 0)
             removed.append(size - len(keep))
-            shas.append(_joined_sha([raw[s:e] for s, e in zip(starts[keep].tolist(), ends[keep].tolist())]))
+            shas.append(_joined_sha([words[i] for i in keep.tolist()]))
         return rows.column(0), removed, shas
 
     spans = rows.select("num", "starts", "ends", "text")
-    return map_texts(spans, "num bigint, n_removed bigint, kept_sha256 string", work, lambda: Powers(_WORD_BASE))
+    return map_texts(spans, "num bigint, n_removed bigint, kept_sha256 string", work)
 
 
 def repeated_spans(docs: DataFrame, read: DataFrame, rid: Column, window: int) -> DataFrame:
@@ -236,7 +237,7 @@ def repeated_spans(docs: DataFrame, read: DataFrame, rid: Column, window: int) -
     listed = spans_by_document(doubtful).join(read.select("num", "rid"), "num")
     windows = staged(_windows(with_text(listed, docs, rid), window), "substring-windows")
     again = windows.groupBy("h1", "h2").agg(F.count("*").alias("c")).filter("c > 1").select("h1", "h2")
-    found = windows.join(again, ["h1", "h2"]).select("num", F.col("at").cast("int").alias("s"))
+    found = windows.join(staged(again, "substring-again"), ["h1", "h2"]).select("num", F.col("at").cast("int").alias("s"))
     return whole.union(found.select("num", "s", F.col("s") + window))
 
 

@@ -20,12 +20,12 @@ PLACES = "array<struct<key:bigint,ctx:bigint,at:int,n:int>>"
 def shared_places(read: DataFrame, name: str, *order: str) -> DataFrame:
     """``(num, *order, key, ctx, at, n)`` of the places whose key occurs again.
 
-    Counts are reduced before the shuffle; the join back is left to Spark, which
-    splits a hot key.
+    Counts are reduced before the shuffle and written, so the join back is one of two
+    plain shuffles, of which Spark splits a hot key.
     """
     places = read.select("num", *order, F.explode("places").alias("p")).select("num", *order, "p.*")
     often = places.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    return staged(places.join(often, "key"), name)
+    return staged(places.join(staged(often, f"{name}-keys"), "key"), name)
 
 
 def classes(shared: DataFrame, name: str, *order: str) -> DataFrame:
@@ -38,7 +38,7 @@ def classes(shared: DataFrame, name: str, *order: str) -> DataFrame:
     first = F.min(F.struct(*order, "num", "at", "n")).alias("first")
     alike = staged(shared.groupBy("key", "ctx").agg(F.count("*").alias("size"), first), name)
     rivals = alike.groupBy("key").agg(F.count("*").alias("rivals"))
-    return alike.join(rivals, "key")
+    return alike.join(staged(rivals, f"{name}-counts"), "key")
 
 
 def spans_by_document(spans: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from corpusgate.llm import recompression, suffixdedup
+from corpusgate.llm import exact, recompression, suffixdedup
 from corpusgate.llm.suffixes import repeated_positions
 
 
@@ -139,3 +139,33 @@ def test_long_inputs_are_read_in_parts(monkeypatch):
     parts, whole = recompression._segmented(values, text, 20, powers), recompression.places(values, text, 20, powers)
     spread = [np.repeat(np.asarray(p[1]), np.asarray(p[4])) for p in (parts, whole)]
     assert (spread[0] == spread[1]).all()
+
+
+def test_long_words_of_a_regular_pattern_do_not_meet(spark, documents):
+    parity = "".join("ab"[i.bit_count() & 1] for i in range(1024))
+    other = parity.translate(str.maketrans("ab", "ba"))
+    around = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*around[:20], word, *around[20:]])) for i, word in enumerate((parity, other))]
+    assert [r.n_removed for r in recompression.without_repeats(documents(rows)).collect()] == [0, 0]
+
+
+def test_hot_keys_are_split(spark, documents):
+    options = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",  # a hot partition is split by its map tasks
+        "spark.sql.files.openCostInBytes": "100000000",
+    }
+    rows = [(i, "one copy of many") for i in range(20_000)] + [(90_000 + i, f"text {i}") for i in range(100)]
+    for key, value in options.items():
+        spark.conf.set(key, value)
+    try:
+        groups = exact.exact_groups(documents(rows).repartition(8))
+        assert groups.filter("group_size = 20000").count() == 20_000
+        groups.collect()
+        assert "skew=true" in groups._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key in options:
+            spark.conf.unset(key)
