@@ -113,7 +113,8 @@ def exact_groups(docs: DataFrame, size: int = BLOCK_BYTES, digest=None, rid: Col
     named = staged(document_names(docs, size, digest, rid), "exact-named")
     best = F.max(F.struct("doc_id", "rid"))
     groups = named.groupBy("n_blocks", "name").agg(F.count("*").alias("group_size"), best.alias("best"))
-    return named.join(groups, ["n_blocks", "name"]).select(
+    # Written first: of a join of two plain shuffles Spark splits a hot group.
+    return named.join(staged(groups, "exact-groups"), ["n_blocks", "name"]).select(
         "rid",
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
