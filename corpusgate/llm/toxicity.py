@@ -24,11 +24,15 @@ from corpusgate.llm.common import (
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 6000
 VOCABULARY = 20_000
 SUSPECTS = 400
-LANDMARKS = 400
+LANDMARKS = 500
 LOWEST = -4.0
-DECAY = 0.6
+DECAY = 0.8
 COST = 1.0
-ROUNDS = 3
+ROUNDS = 4
+SURE = 5
+OFTEN = 0.1
+BENT_COST, BENT_MARGIN = 5.0, 2.0
+BENT_SIGNS = "xq1*e"
 SYMBOLS = 64
 SLOTS = 1 << 20
 REACH = 5
@@ -48,6 +52,37 @@ def _symbols() -> np.ndarray:
     return kind
 
 
+_LETTER = (_symbols() > 0) & (_symbols() < 27)
+_SIGN = (_symbols() == 27) | (_symbols() == 28)
+
+
+def _without(data: np.ndarray, bounds: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts without the spans, and their new bounds."""
+    change = np.zeros(len(data) + 1, np.int64)
+    change[starts] += 1
+    change[ends] -= 1
+    keep = np.cumsum(change)[:-1] == 0
+    return data[keep], np.concatenate([[0], np.cumsum(keep)])[bounds]
+
+
+def _joined(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts without what is put between letters to hide a word: up to three signs or
+    digits between two letters, as in ``i.d.i.o.t`` or ``id1iot``, and then the blanks in
+    runs of three or more single letters, as in ``i d i o t``."""
+    letter, sign = _LETTER[data], _SIGN[data]
+    starts, ends, text = word_spans(sign, bounds)
+    inner = (ends - starts <= 3) & (starts > bounds[text]) & (ends < bounds[text + 1])
+    starts, ends = starts[inner], ends[inner]
+    inner = letter[starts - 1] & letter[np.minimum(ends, len(data) - 1)]
+    data, bounds = _without(data, bounds, starts[inner], ends[inner])
+    starts, ends, text = word_spans(_symbols()[data] != 0, bounds)
+    single = (ends - starts == 1) & _LETTER[data[starts]]
+    near = single[1:] & single[:-1] & (text[1:] == text[:-1]) & (starts[1:] - ends[:-1] <= 2)
+    run = np.cumsum(np.concatenate([[True], ~near])) if len(starts) else np.zeros(0, np.int64)
+    long = np.flatnonzero(near & (np.bincount(run)[run] >= 3)[1:]) if len(starts) else np.zeros(0, np.int64)
+    return _without(data, bounds, ends[long], starts[long + 1])
+
+
 def _marked(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All texts with a word end before each and some behind, and the texts' new bounds."""
     marked = np.insert(data, bounds[:-1], np.uint8(32))
@@ -131,8 +166,9 @@ class Kernel:
         return table_
 
 
-def support_vectors(x: np.ndarray, y: np.ndarray, c: np.ndarray, steps: int = 30) -> tuple[np.ndarray, float]:
-    """Weights and offset for the squared hinge loss, by Newton steps; ``y`` is 1 or -1."""
+def support_vectors(x: np.ndarray, y: np.ndarray, c: np.ndarray, margin: np.ndarray, steps: int = 30) -> tuple[np.ndarray, float]:
+    """Weights and offset for the squared hinge loss, by Newton steps; ``y`` is 1 or -1,
+    and ``margin`` how far each row is to lie from the boundary."""
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
     ridge = np.eye(len(w))
@@ -140,8 +176,8 @@ def support_vectors(x: np.ndarray, y: np.ndarray, c: np.ndarray, steps: int = 30
     active = np.ones(len(x), bool)
     for _ in range(steps):
         a = x[active]
-        w = np.linalg.solve(ridge + a.T @ (a * c[active, None]), a.T @ (c[active] * y[active]))
-        now = y * (x @ w) < 1
+        w = np.linalg.solve(ridge + a.T @ (a * c[active, None]), a.T @ (c * y * margin)[active])
+        now = y * (x @ w) < margin
         if (now == active).all():
             break
         active = now
@@ -156,7 +192,7 @@ class Model:
 
     def tops(self, column: pa.Array) -> tuple[np.ndarray, list[bytes]]:
         """Each text's largest word score, and that word; ``LOWEST`` without words."""
-        data, bounds = _marked(*text_bytes(column))
+        data, bounds = _marked(*_joined(*text_bytes(column)))
         starts, ends, of, score = word_scores(_symbols()[data], bounds, self.weights)
         score = np.maximum(score + self.offset, LOWEST)
         top = np.full(len(column), LOWEST)
@@ -172,15 +208,24 @@ class Model:
 
 
 def _line(top: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a lightly held logistic line."""
-    w = np.array([1.0, 0.0])
+    """Slope and shift of a lightly held logistic line, by damped Newton steps."""
     x = np.column_stack([top, np.ones(len(top))])
-    hold = np.diag([1e-2, 1e-4])
-    for _ in range(50):
+    w, hold, start = np.array([1.0, 0.0]), np.diag([1e-2, 1e-4]), np.array([4.0, 0.0])
+
+    def loss(w):
+        z = x @ w
+        return np.logaddexp(0, z).sum() - (y * z).sum() + 0.5 * (w - start) @ hold @ (w - start)
+
+    now = loss(w)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p) + 1e-6)[:, None]) + hold, x.T @ (p - y) + hold @ (w - [4.0, 0.0]))
-        w = w - np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-6:
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p) + 1e-9)[:, None]) + hold, x.T @ (p - y) + hold @ (w - start))
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > now:
+            size /= 2
+        w, before = w - size * step, now
+        now = loss(w)
+        if before - now < 1e-9 * max(1.0, before):
             break
     return float(max(w[0], 1e-3)), float(w[1])
 
@@ -207,6 +252,11 @@ def _vocabulary(sample: DataFrame) -> DataFrame:
     return each.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
 
 
+def _bent(word: str) -> list[str]:
+    """The word with a strange character put between its letters, once at each place."""
+    return [f"{word[:i]}{sign}{word[i:]}" for i in range(1, len(word)) for sign in BENT_SIGNS] if len(word) > 3 else []
+
+
 def _tops(sample: DataFrame, model: Model) -> DataFrame:
     def work(rows: pa.RecordBatch, _):
         top, witness = model.tops(rows.column(1))
@@ -220,7 +270,7 @@ def learn(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean:
 
     A sentence has its document's label, so most words of toxic sentences are
     harmless. A first machine takes words by how much more often toxic sentences hold
-    them. Then, in rounds, the highest word of each toxic document is its witness,
+    them, and for those of many documents also forms with a strange letter put in. Then, in rounds, the highest word of each toxic document is its witness,
     the highest of each clean one a counter-example, and the machine learns anew.
     """
     blank = Model(np.zeros(SLOTS, np.float32), -1.0)
@@ -237,26 +287,34 @@ def learn(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean:
     negatives = list(dict.fromkeys(r["word"] for r in [*common, *harmless]))
     bad = {r["word"]: float(r["bad"]) for r in suspects}
     sure = {r["word"]: float(r["bad"]) for r in suspects if r["odds"] > 20 and r["bad"] > 4}
-    model = blank
+    often = max(SURE, OFTEN * sample.filter("toxic = 1").count())
+    best, least = blank, np.inf
     for _ in range(ROUNDS):
         good = [w for w in negatives if w not in bad]
         strong = sorted(bad, key=lambda w: (-bad[w], w))[: LANDMARKS // 2]
         kernel = Kernel(strong + good[: LANDMARKS - len(strong)])
-        words = [*bad, *good]
-        y = np.array([1.0] * len(bad) + [-1.0] * len(good))
-        c = COST * np.array([len(good) / len(bad) * 0.2 + 1.0] * len(bad) + [1.0] * len(good))
-        beta, offset = support_vectors(kernel.map(words), y, c)
+        bent = [v for w in strong if bad.get(w, 0) + sure.get(w, 0) >= often and w.isalpha() for v in _bent(w)]
+        words = [*bad, *bent, *good]
+        y = np.array([1.0] * (len(bad) + len(bent)) + [-1.0] * len(good))
+        c = COST * np.array([len(good) / len(bad) * 0.2 + 1.0] * len(bad) + [BENT_COST] * len(bent) + [1.0] * len(good))
+        margin = np.array([1.0] * len(bad) + [BENT_MARGIN] * len(bent) + [1.0] * len(good))
+        beta, offset = support_vectors(kernel.map(words), y, c, margin)
         model = Model(kernel.weights(beta), offset)
-        tops = _tops(sample, model)
-        found = tops.filter("witness <> ''").groupBy("witness", "toxic").count().collect()
-        said = {w: {0: 0, 1: 0} for w, _, _ in found}
-        for w, t, n in found:
-            said[w][t] += n
+        rows = _tops(sample, model).select("top", "toxic", "witness").toPandas()  # toxic + clean rows at most
+        top, truth = rows["top"].to_numpy(float), rows["toxic"].to_numpy(float)
+        slope, shift = _line(top, truth)
+        loss = np.logaddexp(0, np.where(truth == 1, -1, 1) * (slope * top + shift)).mean()
+        if loss < least:
+            best, least = Model(model.weights, model.offset, slope, shift), loss
+        rows = rows[rows["witness"] != ""]
+        said = {w: {0: 0, 1: 0} for w in sorted(set(rows["witness"]))}
+        for w, t in zip(rows["witness"], rows["toxic"]):
+            said[w][int(t)] += 1
         seen = {w: float(s[1]) for w, s in said.items() if s[1] > 4 * s[0]}
         bad = {w: n for w, n in sure.items() if said.get(w, {0: 0})[0] == 0} | seen or bad
-        negatives = list(dict.fromkeys([w for w, s in said.items() if s[1] <= s[0]] + negatives))
-    rows = _tops(sample, model).select("top", "toxic").toPandas()
-    return Model(model.weights, model.offset, *_line(rows["top"].to_numpy(float), rows["toxic"].to_numpy(float)))
+        counter = sorted((w for w, s in said.items() if s[1] <= s[0]), key=lambda w: (-said[w][0], w))
+        negatives = list(dict.fromkeys(counter + negatives))
+    return best
 
 
 def scorer(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN):
