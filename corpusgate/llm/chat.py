@@ -18,7 +18,8 @@ LEARNT_ROLE = "assistant"
 PARTS = "array<struct<type:string,text:string,ref:string,units:bigint>>"
 SEGMENTS = (
     "conv_id bigint, turn bigint, formatted string, n_tokens bigint, "
-    "attachments array<struct<kind:string,ref:string,place:int,n_tokens:bigint>>"
+    "attachments array<struct<kind:string,ref:string,place:int,n_tokens:bigint>>, "
+    "loss array<struct<start:int,end:int>>"
 )
 _CONTROL = re.compile(r"<\|(im_start|im_end|image|audio|document)\|>")
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
@@ -72,13 +73,15 @@ def format_turns(turns: DataFrame) -> DataFrame:
     that share a number are ordered by role and segment. Segments stay rows, so a
     conversation of any length is never put together in memory. A null role is
     empty, null parts are no parts, a null number sorts first, repeated rows are
-    formatted each. ``n_tokens`` is what the placeholders expand to.
+    formatted each. ``n_tokens`` is what the placeholders expand to. ``loss`` are the
+    stretches of ``formatted``, in characters, that are learnt: the texts of assistant turns,
+    without placeholders and marks.
     """
     kinds = to_arrow_schema(T._parse_datatype_string(SEGMENTS))
 
     def run(batches):
         for batch in batches:
-            out: list[list] = [[], [], []]
+            out: list[list] = [[], [], [], []]
             for role, parts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 visitor = PartVisitor()
                 for part in parts or []:
@@ -86,6 +89,12 @@ def format_turns(turns: DataFrame) -> DataFrame:
                 out[0].append(f"{START}{escape(role or '', True)}\n{''.join(visitor.pieces)}{END}\n")
                 out[1].append(sum(a["n_tokens"] for a in visitor.attachments))
                 out[2].append(visitor.attachments)
+                at, loss = len(START) + len(escape(role or "", True)) + 1, []
+                for piece in visitor.pieces if role == LEARNT_ROLE else ():
+                    if piece and not _CONTROL.fullmatch(piece):  # texts are escaped
+                        loss.append({"start": at, "end": at + len(piece)})
+                    at += len(piece)
+                out[3].append(loss)
             columns = [batch.column(0), batch.column(1)]
             columns += [pa.array(c, type=f.type) for c, f in zip(out, list(kinds)[2:])]
             yield pa.RecordBatch.from_arrays(columns, schema=kinds)
@@ -135,7 +144,7 @@ def read_back(segments: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays(columns, schema=kinds)
 
         for batch in batches:
-            for conv_id, segment in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for conv_id, segment, loss in zip(*(c.to_pylist() for c in batch.columns)):
                 if current is unset or conv_id != current:
                     if state:
                         done.append(closed())
@@ -144,9 +153,10 @@ def read_back(segments: DataFrame) -> DataFrame:
                 state[0] += 1
                 state[1].update(f"{role}\n{content}\n".encode())
                 state[4] += len(segment)
-                if role == LEARNT_ROLE:
-                    state[2] += len(content)
-                    state[3].update(content.encode())
+                for span in loss or ():
+                    learnt = unescape(segment[span["start"] : span["end"]])
+                    state[2] += len(learnt)
+                    state[3].update(learnt.encode())
             if done:
                 yield flushed()
                 done.clear()
@@ -155,7 +165,7 @@ def read_back(segments: DataFrame) -> DataFrame:
             yield flushed()
 
     ordered = segments.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
-    return ordered.select("conv_id", "formatted").mapInArrow(run, schema)
+    return ordered.select("conv_id", "formatted", "loss").mapInArrow(run, schema)
 
 
 def text_turns(conversations: DataFrame) -> DataFrame:
