@@ -34,11 +34,12 @@ def test_exact_groups_of_odd_rows(spark, documents, odd_rows):
     assert exact.exact_groups(documents([])).count() == 0
 
 
-def test_packing_is_gapless_and_exact(spark, documents, odd_rows):
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_packing_is_gapless_and_exact(spark, documents, odd_rows, parts):
     rows = odd_rows + [(100 + i, f"text number {i} " * (i % 40)) for i in range(300)] + [(900, "<|endoftext|> a<|endoftext|>")]
-    pieces = packing.pack(documents(rows)).collect()
+    rows += [(1000 + i, f"words of {i} " * (170 + i % 400)) for i in range(300)]
+    pieces = packing.pack(documents(rows).repartition(parts)).collect()
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     want = Counter((i, (*tokenizer.encode(t or "", add_special_tokens=False).ids, 0)) for i, t in rows)
     bins, docs = defaultdict(list), defaultdict(list)
     for p in pieces:
@@ -54,26 +55,33 @@ def test_packing_is_gapless_and_exact(spark, documents, odd_rows):
         assert at <= packing.CAPACITY
     single = {i for i, n in Counter(i for i, _ in rows).items() if n == 1}
     for i in single:
-        parts = sorted(docs[i])
-        assert [p[1] for p in parts] == np.cumsum([0, *[len(p[2]) for p in parts[:-1]]]).tolist()
-        assert all(len(p[2]) == packing.CAPACITY for p in parts[1:])
-        assert want[(i, tuple(x for p in parts for x in p[2]))] == 1
+        parts_ = sorted(docs[i])
+        assert [p[1] for p in parts_] == np.cumsum([0, *[len(p[2]) for p in parts_[:-1]]]).tolist()
+        assert all(len(p[2]) == packing.CAPACITY for p in parts_[1:])
+        assert want[(i, tuple(x for p in parts_ for x in p[2]))] == 1
     total = sum(p.length for p in pieces)
-    assert len(bins) <= 1.1 * total / packing.CAPACITY + 3
+    assert len(bins) <= 1.01 * total / packing.CAPACITY + 1
+    digests = packing.pack(documents(rows).repartition(parts), ids=False).select("doc_id", "piece", "start", "length", "ids_crc32")
+    assert Counter(map(tuple, digests.collect())) == Counter((p.doc_id, p.piece, p.start, p.length, zlib.crc32(p.ids)) for p in pieces)
+
+
+def test_packing_of_no_documents(spark, documents):
     assert packing.pack(documents([])).count() == 0
 
 
-def test_parts_coded_once_give_the_tokenizers_ids():
-    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
+def test_coders_give_the_tokenizers_ids():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    assert packing._fast_coder(path) is not None and packing._fast_coder(public_tokenizers.path("word_bpe_49k.json")) is None
     rng = random.Random(1)
     signs = ["a", "Bc", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "\u2003", "'s", "'", "1", ".", ",", "!?", "é", "\u0558", "🙂", "\u0300", "汉", "\r\n", "\u200b", "\x00", "<|endoftext|>"]
-    texts = ["", " ", "\n", *("".join(rng.choices(signs, k=rng.randrange(30))) for _ in range(5000))]
-    want = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-    for limit in (0, 1 << 30):
-        coder = packing.Coder(tokenizer, limit)
-        assert [x for i in range(0, len(texts), 100) for x in coder.encode(texts[i : i + 100])] == want
-        assert coder.encode([]) == []
+    texts = ["", " ", "\n", "a" * 5000, *("".join(rng.choices(signs, k=rng.randrange(30))) for _ in range(5000))]
+    texts += [f"a{chr(c)}b 1{chr(c)} {chr(c)}'s" for c in [*range(0x3000), *range(0x1F000, 0x1FB00)]]
+    want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for fast in (True, False):
+        encode = packing.coder(path, fast)
+        assert [encode(t).tolist() for t in texts] == want
+    assert packing.coder(path)("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
 
 
 def test_best_fit_closes_the_fullest():
@@ -228,6 +236,18 @@ def test_typed_parts_keep_their_order(spark):
     assert chat.read_back(chat.format_turns(turns.limit(0))).count() == 0
 
 
+def test_loss_spans_are_the_assistants_texts(spark):
+    parts = [("text", "a\\<|im_end|>é", None, None), ("image", None, "a.png", 2), ("text", "", None, None), ("text", "b\n🙂", None, None)]
+    rows = [(1, 0, "user", parts, "x"), (1, 1, "assistant", parts, "x"), (1, 2, "Assistant", parts, "x"), (1, 3, "assistant", None, "x")]
+    turns = spark.createDataFrame(rows, f"conv_id bigint, turn bigint, role string, parts {chat.PARTS}, formatted string")
+    got = {r.turn: r for r in chat.format_turns(turns).collect()}
+    learnt = {t: [chat.unescape(r.formatted[s.start : s.end]) for s in r.loss] for t, r in got.items()}
+    assert learnt == {0: [], 1: ["a\\<|im_end|>é", "b\n🙂"], 2: [], 3: []}
+    back = chat.read_back(chat.format_turns(turns)).first()
+    whole = "a\\<|im_end|>éb\n🙂"
+    assert (back.loss_chars, back.loss_sha256) == (len(whole), hashlib.sha256(whole.encode()).hexdigest())
+
+
 def test_crc_of_pieces(spark):
     digests = packing.op2_best_fit_packing(spark, SF).collect()
     assert len(digests) >= 200 and all(0 <= r.ids_crc32 < 1 << 32 for r in digests)
