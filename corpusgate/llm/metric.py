@@ -1,15 +1,21 @@
 """Exact Jaccard join of documents as points of a metric space.
 
-One minus the Jaccard similarity of two shingle sets is a metric. Two kinds of pivots cut
-the space into Voronoi regions. *Singletons* are the pivots of the first cut: a document
-is nearest to the sets that hold one of its own shingles alone, ties going to the rarer
-shingle. A document within the radius of another shares one of its first few such pivots,
-so every document is copied into the regions of as many as the radius demands, and
-pairs meet there. Regions that are too full are joined recursively: *documents* of them become
-pivots, every document near a pivot falls to the nearest one, the triangle inequality
-says which others can reach across the border and are copied there, and what is left
-is cut anew. Inside the region of a document, sets are compared by their differences
-from the pivot, since the symmetric difference of two sets is that of their differences.
+One minus the Jaccard similarity of two shingle sets is a metric, and so is the number of
+shingles in which they differ, which is the sum of that number over the parts of any
+division of all shingles. Two kinds of pivots cut the space into Voronoi regions.
+
+*Projections* are the pivots of the first cut. Unrelated documents are all at distance
+one from each other and from any document, so no document can tell them apart; in
+one part of the shingles, though, the set nearest to a document is what it holds of
+that part, and its region are the documents that hold the same. Two documents within
+the radius differ in at most ``d`` shingles; of ``d + 1`` parts at least one is alike. So each
+document is copied into the region of its projection in every part, and pairs meet there.
+
+Regions that are too full are joined recursively: *documents* of them become pivots, every
+document near a pivot falls to the nearest one, the triangle inequality says which others can
+reach across the border and are copied there, and what is left is cut anew. Inside the
+region of a document, sets are compared by their differences from the pivot, since the
+symmetric difference of two sets is that of their differences.
 """
 
 from __future__ import annotations
@@ -32,10 +38,12 @@ PIVOTS = 1024
 PIVOT_SHINGLES = 1 << 20
 CAPTURE = 2.0
 TILE = 1024
-COUNTERS = 1 << 16
+CLASS_RATIO = 1.5
 FILTER_BITS = 1 << 26
 PARITY_BITS = 1024
 CHUNK_BYTES = 1 << 20
+SETS_AT_ONCE = 256
+HITS_AT_ONCE = 1 << 20
 SLACK = 1e-9
 _EVENS = np.uint64(0x9E3779B97F4A7C15)
 
@@ -66,42 +74,58 @@ def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
 
 
 def _read(docs: DataFrame, rid: Column, size: int) -> DataFrame:
-    """``(rid, doc_id, key, n, counts)``: a row per document with a 128-bit ``key`` of its
-    set, and a row per task with how often each counter's shingles occur in it."""
+    """``(rid, doc_id, key, n)``: a row per document with a 128-bit ``key`` of its set."""
 
-    def run(batches):
-        counts = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            lengths = np.diff(text_bytes(batch.column(2))[1])
-            for rows in slices(batch, lengths, CHUNK_BYTES):
-                sets = shingle_sets(rows.column(2), size)
-                held = np.concatenate([*sets, np.zeros(0, np.uint64)]) & np.uint64(COUNTERS - 1)
-                counts += np.bincount(held.astype(np.int64), minlength=COUNTERS)
-                keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), rows.column(1), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(len(sets), pa.list_(pa.int64()))],
-                    names=names,
-                )
-        last = [pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64())]
-        yield pa.RecordBatch.from_arrays([*last, pa.array([counts.tolist()], pa.list_(pa.int64()))], names=names)
-
-    names = ["rid", "doc_id", "key", "n", "counts"]
-    return numbered(docs, rid).mapInArrow(run, "rid string, doc_id bigint, key binary, n bigint, counts array<bigint>")
-
-
-def _rarity(read: DataFrame) -> np.ndarray:
-    """How often the shingles of each of ``COUNTERS`` counters occur: rare ones come first."""
-    parts = read.filter("counts IS NOT NULL").select(F.posexplode("counts").alias("c", "n"))
-    out = np.zeros(COUNTERS, np.int64)
-    for c, n in parts.groupBy("c").agg(F.sum("n").alias("n")).collect():  # one row per counter
-        out[c] = n
-    return out
+    def work(rows: pa.RecordBatch, _):
+        sets = shingle_sets(rows.column(2), size)
+        return rows.column(0), rows.column(1), [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [len(s) for s in sets]
 
+    return map_texts(numbered(docs, rid), "rid string, doc_id bigint, key binary, n bigint", work, chunk_bytes=CHUNK_BYTES)
 
-def window_size(n: int, percent: int) -> int:
-    """In how many of its own pivots' regions a set of ``n`` shingles stands: with one
-    less missing from another set, their similarity could still reach ``percent``."""
-    return n - -(-percent * n // 100) + 1
+
+class Projections:
+    """Divisions of all shingles into parts, one for each class of set sizes.
+
+    A class covers sizes up to ``CLASS_RATIO`` times its smallest. Sets meet in the class
+    of the larger one, so a set also takes part in the next class if its partner can be
+    there. Two linked sets whose larger one is in a class differ in at most ``d`` shingles,
+    so of ``d + spare + 1`` parts more than ``spare`` are alike. An empty part is no pivot, as
+    many sets share it; a set with more than ``spare`` empty ones also stands in a region of
+    such sets.
+    """
+
+    def __init__(self, percent: int):
+        self.percent, self.classes = percent, [1]
+
+    def divisions(self, n: int) -> list[tuple[int, int, int]]:
+        """``(class, parts, spare)`` of the divisions that a set of ``n`` shingles takes part in."""
+        while len(self.classes) < 3 or self.classes[-2] <= 100 * n // max(self.percent, 1) + 1:
+            self.classes.append(max(int(self.classes[-1] * CLASS_RATIO), self.classes[-1] + 1))
+        home = int(np.searchsorted(self.classes, n, side="right")) - 1
+        out = []
+        for number in range(home, len(self.classes) - 1):
+            if number > home and 100 * n < self.percent * self.classes[number]:
+                break
+            largest = self.classes[number + 1] - 1
+            apart = 2 * largest * (100 - self.percent) // (100 + self.percent)
+            if apart:  # else only equal sets are linked
+                spare = 2 + apart // 50
+                out.append((number, apart + spare + 1, spare))
+        return out
+
+    def regions(self, s: np.ndarray) -> np.ndarray:
+        """The regions of a set, as hashes of a division, a part and what the set holds of it."""
+        out = [np.zeros(0, np.uint64)]
+        for number, parts, spare in self.divisions(len(s)) if len(s) else ():
+            part = ((s >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+            held = np.zeros(parts, np.uint64)
+            np.add.at(held, part, scrambled(s ^ np.uint64(number + 1)))
+            full = np.flatnonzero(np.bincount(part, minlength=parts))
+            place = (np.uint64(number) << np.uint64(32)) + full.astype(np.uint64)
+            out.append(scrambled(held[full] + scrambled(place)))
+            if parts - len(full) > spare:
+                out.append(scrambled(np.array([number], np.uint64) + _EVENS))
+        return np.concatenate(out)
 
 
 def parities(sets: list[np.ndarray]) -> np.ndarray:
@@ -114,20 +138,16 @@ def parities(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits(out, axis=1).view(np.int64).reshape(len(sets), PARITY_BITS // 64)
 
 
-def _profiles(docs: DataFrame, rid: Column, size: int, percent: int, rarity) -> DataFrame:
-    """``(rid, pivots, parity)``: each document's rarest shingles, and its parities."""
+def _profiles(docs: DataFrame, rid: Column, size: int, percent: int) -> DataFrame:
+    """``(rid, pivots, parity)``: the regions of each document's set, and its parities."""
 
-    def work(rows: pa.RecordBatch, _):
-        order = rarity.value
+    def work(rows: pa.RecordBatch, projections):
         sets = shingle_sets(rows.column(2), size)
-        firsts = []
-        for s in sets:
-            keep = window_size(len(s), percent) if len(s) else 0
-            firsts.append(s[np.lexsort((s, order[s & np.uint64(COUNTERS - 1)]))[:keep]])
-        return rows.column(0), _arrays(firsts), lists(np.full(len(sets), PARITY_BITS // 64), parities(sets).ravel(), pa.int64())
+        regions = _arrays([projections.regions(s) for s in sets])
+        return rows.column(0), regions, lists(np.full(len(sets), PARITY_BITS // 64), parities(sets).ravel(), pa.int64())
 
     schema = "rid string, pivots array<bigint>, parity array<bigint>"
-    return map_texts(numbered(docs, rid), schema, work, chunk_bytes=CHUNK_BYTES)
+    return map_texts(numbered(docs, rid), schema, work, lambda: Projections(percent), chunk_bytes=CHUNK_BYTES)
 
 
 def _arrays(sets: list[np.ndarray]) -> pa.ListArray:
@@ -156,19 +176,19 @@ def _passing(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _region_rows(profiles: DataFrame) -> DataFrame:
-    """``(s, place, node, n)``: a row for each pivot ``s`` of a node that other nodes have too."""
+    """``(s, node, n)``: a row for each region ``s`` of a node in which others stand too."""
     own = profiles.select(F.explode("pivots").alias("s"))
     shared = staged(own.groupBy("s").agg(F.count("*").alias("c")).filter("c > 1").select("s"), "metric-shared")
     sent = _bit_filter(shared, F.col("s"))
-    rows = profiles.select("node", "n", F.posexplode("pivots").alias("place", "s"))
+    rows = profiles.select("node", "n", F.explode("pivots").alias("s"))
     rows = rows.withColumn("bit", F.pmod(F.xxhash64("s"), F.lit(FILTER_BITS)))
 
     def run(batches):
         for batch in batches:
-            live = _passing(sent.value, batch.column(4).to_numpy())
-            yield batch.take(pa.array(live)).select(["s", "place", "node", "n"])
+            live = _passing(sent.value, batch.column(3).to_numpy())
+            yield batch.take(pa.array(live)).select(["s", "node", "n"])
 
-    return staged(rows.mapInArrow(run, "s bigint, place int, node bigint, n bigint"), "metric-regions")
+    return staged(rows.mapInArrow(run, "s bigint, node bigint, n bigint"), "metric-regions")
 
 
 def _sets_of(docs: DataFrame, rid: Column, wanted: DataFrame, size: int) -> DataFrame:
@@ -203,20 +223,33 @@ class PivotIndex:
     def near(self, sets: list[np.ndarray], reach: float):
         """Set number, pivot, and number of shingles in which they differ, of all pairs
         within the distance ``reach``, which is below one."""
+        parts = [self._near(sets[at : at + SETS_AT_ONCE], at, reach) for at in range(0, max(len(sets), 1), SETS_AT_ONCE)]
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+    def _near(self, sets, first, reach):
+        k = len(self.sets)
         sizes = np.array([len(s) for s in sets], np.int64)
         of = np.repeat(np.arange(len(sets)), sizes)
         all_ = np.concatenate([*sets, np.zeros(0, np.uint64)])
         at = np.minimum(np.searchsorted(self.values, all_), len(self.values) - 1)
         held = np.flatnonzero(self.values[at] == all_) if len(all_) else np.zeros(0, np.int64)
         of, at = of[held], at[held]
-        many = self.many[at]
-        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        pivot = self.owner[np.repeat(self.first[at], many) + step]
-        pairs, common = np.unique(np.repeat(of, many) * len(self.sets) + pivot, return_counts=True)
-        of, pivot = pairs // len(self.sets), pairs % len(self.sets)
-        apart = sizes[of] + self.sizes[pivot] - 2 * common
-        close = apart <= (reach + SLACK) * (sizes[of] + self.sizes[pivot] - common)
-        return of[close], pivot[close], apart[close]
+        ends = np.cumsum(self.many[at])  # a common shingle belongs to many pivots
+        common = np.zeros(len(sets) * k, np.int64)
+        start = 0
+        while start < len(of):
+            base = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, base + HITS_AT_ONCE, side="right")))
+            many = self.many[at[start:stop]]
+            step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            pivot = self.owner[np.repeat(self.first[at[start:stop]], many) + step]
+            common += np.bincount(np.repeat(of[start:stop], many) * k + pivot, minlength=len(common))
+            start = stop
+        pairs = np.flatnonzero(common)
+        of, pivot = pairs // k, pairs % k
+        apart = sizes[of] + self.sizes[pivot] - 2 * common[pairs]
+        close = apart <= (reach + SLACK) * (sizes[of] + self.sizes[pivot] - common[pairs])
+        return of[close] + first, pivot[close], apart[close]
 
 
 def _chosen(candidates: list[tuple[int, np.ndarray]], capture: float) -> list[tuple[int, np.ndarray]]:
@@ -345,38 +378,34 @@ def _region_links(rows: DataFrame, percent: int, tile: int) -> DataFrame:
     return sides.groupBy("pair").applyInPandas(compare, "a bigint, b bigint, partners bigint")
 
 
-def _leaf_links(docs: DataFrame, rid: Column, rows: DataFrame, profiles: DataFrame, size: int, percent: int) -> DataFrame:
-    """``(a, b)``, each linked pair of nodes once, from the regions of singletons.
-
-    Two sets meet where they share a pivot. A pair is dropped there where sizes or the
-    places of the shared shingle tell that it is no link, then where the parities do;
-    the others are compared shingle by shingle.
-    """
-    other = rows.select("s", F.col("place").alias("place2"), F.col("node").alias("b"), F.col("n").alias("n2"))
+def _likely(rows: DataFrame, profiles: DataFrame, percent: int, name: str) -> DataFrame:
+    """``(a, b, total)``: pairs of nodes that share a region and may be linked: neither
+    their sizes nor their parities tell that they are not."""
+    other = rows.select("s", F.col("node").alias("b"), F.col("n").alias("n2"))
     total = F.col("n") + F.col("n2")
-    reach = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
-    possible = (
-        (F.col("node") < F.col("b"))
-        & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
-        & (reach * (100 + percent) >= percent * total)
-    )
+    possible = (F.col("node") < F.col("b")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
     pairs = rows.join(other, "s").filter(possible).select(F.col("node").alias("a"), "b", total.alias("total"))
-    pairs = staged(pairs.distinct(), "metric-pairs")
+    pairs = staged(pairs.distinct(), f"{name}-possible")
     parity = profiles.select("node", "parity")
     for end in "ab":
         pairs = pairs.join(parity.select(F.col("node").alias(end), F.col("parity").alias(f"parity_{end}")), end)
     differ = F.expr("aggregate(zip_with(parity_a, parity_b, (x, y) -> bit_count(x ^ y)), 0, (x, y) -> x + y)")
-    pairs = pairs.filter(differ * (100 + percent) <= (100 - percent) * F.col("total")).select("a", "b", "total")
-    pairs = staged(pairs, "metric-likely")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = staged(profiles.select("rid", "node").join(ends, "node"), "metric-wanted")
-    sets = staged(_sets_of(docs, rid, wanted, size), "metric-sets")
+    likely = pairs.filter(differ * (100 + percent) <= (100 - percent) * F.col("total"))
+    return staged(likely.select("a", "b", "total"), f"{name}-likely")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)`` of the ``pairs`` that are linked, compared shingle by shingle."""
     for end in "ab":
         pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("set").alias(f"set_{end}")), end)
     common = F.size(F.array_intersect("set_a", "set_b")).cast("bigint")
     return pairs.filter(common * (100 + percent) >= percent * F.col("total")).select("a", "b")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+
+
 def _pivots(crowded: DataFrame, sets: DataFrame, pivots: int, capture: float) -> list[tuple[int, np.ndarray]]:
     """Documents of the fullest regions, one of each, no two near each other; together
     about ``PIVOT_SHINGLES`` shingles."""
@@ -399,33 +428,33 @@ def _pivots(crowded: DataFrame, sets: DataFrame, pivots: int, capture: float) ->
 def links(docs: DataFrame, rid: Column, profiles: DataFrame, percent: int, size: int, full: int, pivots: int, tile: int):
     """``(a, b, partners)`` as of ``_region_links``, over all regions of all rounds.
 
-    Only nodes that stand in regions of more than ``full`` are captured by document
-    pivots. Nodes that share no region with one of these cannot be linked to it, so
-    the sets of the others and of those that do are written once and used in all rounds.
+    Pairs of small regions are listed. Nodes of regions with more than ``full`` are
+    captured by document pivots, in rounds, and compared in their regions, also with
+    the nodes that they may be linked to in small ones. Pairs with a captured node are
+    settled there; the listed ones that are left, and those that still meet in a full
+    region when pivots capture nothing more, are compared one by one.
     """
     radius = (100 - percent) / 100
     capture = min(CAPTURE * radius, 0.9 - radius)
     rows = _region_rows(profiles)
+    counts = rows.groupBy("s").agg(F.count("*").alias("c"))
+    crowded = staged(counts.filter(F.col("c") > full).select("s"), "metric-crowded")
+    pairs = _likely(rows.join(crowded, "s", "left_anti"), profiles, percent, "metric-small")
+    rows = staged(rows.join(crowded, "s", "left_semi"), "metric-full")
+    dense = staged(rows.select("node").distinct().withColumn("crowded", F.lit(True)), "metric-dense")
+    needed = _ends(pairs).union(dense.select("node")).distinct().join(dense, "node", "left")
+    needed = needed.join(profiles.select("node", "rid", "n", "docs"), "node")
+    needed = staged(needed.withColumn("crowded", F.coalesce("crowded", F.lit(False))), "metric-needed")
+    sets = staged(_sets_of(docs, rid, needed, size), "metric-sets")
     first = F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("pivot")
-    found, sets = [], None
+    found, outer = [], sets
     while 0 < radius < 0.45:
-        crowded = rows.groupBy("s").agg(F.count("*").alias("c"), first).filter(F.col("c") > full)
-        crowded = staged(crowded, "metric-crowded")
-        if sets is None:
-            if crowded.isEmpty():
-                break
-            dense = staged(rows.join(crowded, "s", "left_semi").select("node").distinct(), "metric-dense")
-            touched = rows.join(dense, "node", "left_semi").select("s").distinct()
-            needed = rows.join(touched, "s", "left_semi").select("node").distinct()
-            needed = needed.join(dense.withColumn("crowded", F.lit(True)), "node", "left")
-            needed = needed.join(profiles.select("node", "rid", "n", "docs"), "node")
-            needed = staged(needed.withColumn("crowded", F.coalesce("crowded", F.lit(False))), "metric-needed")
-            sets = staged(_sets_of(docs, rid, needed, size), "metric-dense-sets")
-        chosen = _pivots(crowded, sets, pivots, capture)
+        regions = rows.groupBy("s").agg(F.count("*").alias("c"), first).filter(F.col("c") > full)
+        chosen = _pivots(regions, outer, pivots, capture)
         if not chosen:
             break
         index = docs.sparkSession.sparkContext.broadcast(([s for _, s in chosen], 100 - percent))
-        near = staged(_distances(sets, index, capture + radius), "metric-near")
+        near = staged(_distances(outer, index, capture + radius), "metric-near")
         mine = near.filter((F.col("far") <= capture) & F.col("crowded"))
         mine = staged(mine.groupBy("node").agg(F.min(F.struct("far", "pivot")).alias("own")), "metric-own")
         member = F.col("own.pivot").eqNullSafe(F.col("pivot"))
@@ -433,14 +462,16 @@ def links(docs: DataFrame, rid: Column, profiles: DataFrame, percent: int, size:
         near = near.join(mine, "node", "left").withColumn("member", member).filter(F.col("member") | border)
         near = staged(near.select("pivot", "member", "node", "docs", "n", "apart", "ring", "diff"), "metric-members")
         found.append(staged(_region_links(near, percent, tile), "metric-region-links"))
-        rows = staged(rows.join(mine, "node", "left_anti"), "metric-regions")
-        sets = sets.join(mine, "node", "left_anti")
+        rows = staged(rows.join(mine, "node", "left_anti"), "metric-full")
+        outer = outer.join(mine, "node", "left_anti")
+        for end in "ab":
+            pairs = pairs.join(mine.select(F.col("node").alias(end)), end, "left_anti")
         if mine.count() < 2 * len(chosen):
             break
-    leaf = staged(_leaf_links(docs, rid, rows, profiles, size, percent), "metric-links")
+    pairs = pairs.union(_likely(rows, profiles, percent, "metric-full").select(pairs.columns)).distinct()
+    leaf = staged(_verified(pairs, sets, percent), "metric-links")
     weight = profiles.select(F.col("node").alias("b"), "docs")
-    ends = leaf.select("a", "b").union(leaf.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degrees = ends.join(weight, "b").groupBy("a").agg(F.sum("docs").alias("partners"))
+    degrees = leaf.union(leaf.select("b", "a")).join(weight, "b").groupBy("a").agg(F.sum("docs").alias("partners"))
     none = F.lit(None).cast("bigint")
     out = leaf.select("a", "b", none.alias("partners")).union(degrees.select("a", none.alias("b"), "partners"))
     for part in found:
@@ -474,13 +505,11 @@ def jaccard_classes(
         docs = staged(numbered(docs), "metric-docs")
         rid = F.col("rid")
     read = staged(_read(docs, rid, size), "metric-read")
-    rarity = docs.sparkSession.sparkContext.broadcast(_rarity(read))
-    read = read.filter("rid IS NOT NULL").select("rid", "doc_id", "key", "n")
     equal = read.filter("n > 0").groupBy("key").agg(
         F.min("rid").alias("rid"), F.min("doc_id").alias("least"), F.count("*").alias("docs"), F.max("n").alias("n")
     )
     nodes = staged(equal.withColumn("node", F.monotonically_increasing_id()), "metric-nodes")
-    profiles = _profiles(docs, rid, size, percent, rarity).join(nodes.select("rid", "node", "n", "docs"), "rid")
+    profiles = _profiles(docs, rid, size, percent).join(nodes.select("rid", "node", "n", "docs"), "rid")
     profiles = staged(profiles, "metric-profiles")
     found = staged(links(docs, rid, profiles, percent, size, full, pivots, tile), "metric-found")
     roots = staged(components(found.filter("b IS NOT NULL").select("a", "b"), "metric-components"), "metric-roots")
