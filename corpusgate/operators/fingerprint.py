@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusgate.functions.digest import hash_sum, row_hash, sha256_hex
+from corpusgate.functions.digest import hash_sum, row_hash, row_text, sha256_hex
 from corpusgate.functions.text import utc_stamp
 from corpusgate.session import new_path
 from corpusgate.sources.lines import file_list, number_lines, raw_lines
@@ -201,3 +201,11 @@ def run_groups(runs: DataFrame) -> DataFrame:
         F.min("timestamp").alias("first_run"),
         F.max("timestamp").alias("last_run"),
     )
+
+
+def exact_duplicates(rows: DataFrame, cols: list[str], key: str) -> DataFrame:
+    """``(digest, copies, first)`` of the contents of ``cols`` that several rows share;
+    ``first`` is the smallest ``key``, the row to keep. Copies merge before the shuffle."""
+    digest = sha256_hex(row_text([F.col(c) for c in cols])).alias("digest")
+    groups = rows.groupBy(digest).agg(F.count("*").alias("copies"), F.min(key).alias("first"))
+    return groups.filter("copies > 1")

@@ -10,6 +10,7 @@ from corpusgate.functions.digest import hash_sum, row_hash
 from corpusgate.functions.text import UNICODE_WHITESPACE
 from corpusgate.operators.budget import length_budget as budget_of
 from corpusgate.operators.budget import token_counter, tokenizer_file, words
+from corpusgate.operators.fingerprint import exact_duplicates
 from corpusgate.operators.overlap import shared_inputs, without_shared
 from corpusgate.operators.screen import POLICY, policy_counts, screen
 from corpusgate.plans.chat import sql_hash
@@ -142,7 +143,19 @@ def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budget_of(docs, "tokens", ["source"])
 
 
+def exact_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of one text and language that occur more than once."""
+    return exact_duplicates(table(spark, sf_dir, "documents"), ["text", "lang"], "doc_id")
+
+
+EXACT_RECORDS = """
+SELECT sha256('s' || length(text) || ':' || text || 's' || length(lang) || ':' || lang) AS digest,
+       count(*) AS copies, min(doc_id) AS first
+FROM documents GROUP BY text, lang HAVING count(*) > 1
+"""
+
 QUERIES = {
+    "exact_records": (exact_records, EXACT_RECORDS),
     "overlap_semi": (overlap_semi, OVERLAP_SEMI),
     "overlap_anti": (overlap_anti, OVERLAP_ANTI),
     "policy_screen": (policy_screen, POLICY_SCREEN),

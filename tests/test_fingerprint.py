@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusgate import corpus_digest, file_digests, manifest, manifest_drift, read_runs, run_groups, table_digest
 from corpusgate.functions.digest import row_text
-from corpusgate.operators.fingerprint import line_digests
+from corpusgate.operators.fingerprint import exact_duplicates, line_digests
 from corpusgate.sinks.files import write_manifest
 
 FILES = {
@@ -199,3 +199,9 @@ def test_run_records(spark, tmp_path):
     assert (group.runs, group.first_run) == (3, stamps[0])
     assert json.loads(group.settings) == {"lora_r": 16, "load_in_4bit": True}
     assert spark.read.parquet(str(tmp_path / "history")).count() == 3
+
+
+def test_exact_duplicates(spark):
+    rows = [(3, "a", "x"), (1, "a", "x"), (2, "a", None), (5, "a", None), (4, "ax", ""), (6, "", "ax")]
+    got = exact_duplicates(spark.createDataFrame(rows, "k int, t string, u string").repartition(3), ["t", "u"], "k")
+    assert sorted((r.copies, r["first"]) for r in got.collect()) == [(2, 1), (2, 2)]
