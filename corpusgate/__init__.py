@@ -5,6 +5,7 @@ import sys
 from pyspark import cloudpickle
 
 from corpusgate.errors import CorpusError
+from corpusgate.operators.budget import length_budget, over_budget, token_counter, tokenizer_file
 from corpusgate.operators.checks import (
     check_columns,
     healthy,
@@ -24,12 +25,15 @@ from corpusgate.operators.detect import (
 )
 from corpusgate.operators.fingerprint import (
     corpus_digest,
+    exact_duplicates,
     file_digests,
+    line_digests,
     manifest,
     manifest_drift,
     run_groups,
     table_digest,
 )
+from corpusgate.operators.overlap import shared_inputs, without_shared
 from corpusgate.operators.render import (
     CHATML,
     ChatTemplate,
@@ -56,7 +60,9 @@ from corpusgate.operators.score import (
     score_predicted,
     score_total,
 )
+from corpusgate.operators.screen import policy_counts, redacted, screen
 from corpusgate.operators.settings import check_settings
+from corpusgate.sinks.files import write_chat_lines
 from corpusgate.sources.lines import drop_blank, raw_lines, read_lines, read_records
 from corpusgate.sources.records import read_runs, read_suite
 from corpusgate.sources.turns import assemble_chat, chat_lines, reply_tasks
