@@ -36,7 +36,7 @@ PERCENT = 90
 FULL = 16
 PIVOTS = 1024
 PIVOT_SHINGLES = 1 << 20
-CAPTURE = 2.0
+CAPTURE = 4.0
 TILE = 1024
 CLASS_RATIO = 1.5
 FILTER_BITS = 1 << 26
@@ -466,7 +466,7 @@ def links(docs: DataFrame, rid: Column, profiles: DataFrame, percent: int, size:
         outer = outer.join(mine, "node", "left_anti")
         for end in "ab":
             pairs = pairs.join(mine.select(F.col("node").alias(end)), end, "left_anti")
-        if mine.count() < 2 * len(chosen):
+        if 2 * mine.count() < full * len(chosen):  # pivots no longer empty a region
             break
     pairs = pairs.union(_likely(rows, profiles, percent, "metric-full").select(pairs.columns)).distinct()
     leaf = staged(_verified(pairs, sets, percent), "metric-links")
