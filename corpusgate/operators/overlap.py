@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusgate.functions.text import UNICODE_WHITESPACE, strip
+from corpusgate.functions.text import UNICODE_WHITESPACE, is_blank, strip
 from corpusgate.session import staged
 
 # Cells of 64 bits; two columns of 8 bytes each, so at most 16 MiB are broadcast.
@@ -19,7 +19,8 @@ MAX_CELLS = 1 << 20
 KEYS_PER_CELL = 4
 BITS_PER_KEY = 4
 
-_SPACES = "[" + UNICODE_WHITESPACE.replace(" ", "\\ ") + "]+"
+# The ranges in front hold no white space; most characters leave the test there.
+_SPACES = r"[[^!-~\u00a1-\u167f\u3001-\x{10ffff}]&&[" + "".join(f"\\u{ord(c):04x}" for c in UNICODE_WHITESPACE) + "]]+"
 
 
 def normalised(text: Column) -> Column:
@@ -29,8 +30,7 @@ def normalised(text: Column) -> Column:
 
 def input_digest(text: Column) -> Column:
     """SHA-256 of the normalised text; null for a null or blank one, which matches nothing."""
-    clean = normalised(text)
-    return F.when(clean != "", F.sha2(clean, 256))
+    return F.when(~is_blank(text), F.sha2(normalised(text), 256))
 
 
 def _cell(key: Column, cells: int) -> Column:
@@ -73,7 +73,9 @@ def maybe_in(rows: DataFrame, key: str, bloom: DataFrame, cells: int, flag: str)
 
 
 def _keyed(rows: DataFrame, text: str, name: str) -> DataFrame:
-    return rows.withColumn(name, input_digest(F.col(text)))
+    """``rows`` with the digest, generated from a one-element array: Catalyst would
+    otherwise copy the whole expression into each filter and join on it."""
+    return rows.withColumn(name, F.explode(F.array(input_digest(F.col(text)))))
 
 
 def _free_name(*sides: DataFrame) -> str:
@@ -93,7 +95,7 @@ def shared_inputs(suite: DataFrame, training: DataFrame, suite_text: str = "inpu
     """
     key = _free_name(suite, training)
     asked = staged(_keyed(suite, suite_text, key), "overlap-suite")
-    said = training.select(input_digest(F.col(training_text)).alias(key)).filter(F.col(key).isNotNull())
+    said = _keyed(training, training_text, key).select(key).filter(F.col(key).isNotNull())
     cells = bloom_cells(asked.agg(F.approx_count_distinct(key)).first()[0])
     if cells:
         flag = f"{key}_maybe"
@@ -109,7 +111,7 @@ def without_shared(training: DataFrame, suite: DataFrame, training_text: str = "
     very many rows share is split. Null and blank texts stay.
     """
     key = _free_name(suite, training)
-    asked = staged(suite.select(input_digest(F.col(suite_text)).alias(key)).filter(F.col(key).isNotNull()).distinct(), "overlap-asked")
+    asked = staged(_keyed(suite, suite_text, key).select(key).filter(F.col(key).isNotNull()).distinct(), "overlap-asked")
     rows = _keyed(training, training_text, key)
     cells = bloom_cells(asked.count())
     if not cells:

@@ -11,6 +11,8 @@ from tokenizers import Tokenizer
 import corpusgate as cg
 from corpusgate.errors import CorpusError
 from corpusgate.operators.budget import length_budget, over_budget, token_counter, tokenizer_file, words
+from corpusgate.functions.text import UNICODE_WHITESPACE
+from corpusgate.operators import overlap
 from corpusgate.operators.overlap import MAX_CELLS, bloom_cells, bloom_filter, maybe_in, shared_inputs, without_shared
 from corpusgate.operators.screen import POLICY, Rule, policy_counts, redacted, screen, spans
 
@@ -35,6 +37,33 @@ def test_overlap_keeps_all_rows_whole(spark):
     assert without_shared(training, suite.limit(0)).count() == 3000 and shared_inputs(suite, training.limit(0)).count() == 0
 
 
+def test_overlap_reads_each_text_once(spark, monkeypatch):
+    """One normalisation of each training text, whatever filters and joins follow."""
+    plans, write = [], overlap.staged
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    def spy(df, name):
+        plans.append((name, plan(df)))
+        return write(df, name)
+
+    monkeypatch.setattr(overlap, "staged", spy)
+    training = spark.range(40).select("id", F.concat(F.lit("Line  "), "id").alias("content")).repartition(3)
+    suite = spark.createDataFrame([("line 3",), ("line 99",)], "input string")
+    assert shared_inputs(suite, training).collect() == [("line 3",)]
+    kept = without_shared(training, suite)
+    assert kept.count() == 39
+    assert [text.count("regexp_replace(") for name, text in plans if name == "overlap-said"] == [1]
+
+
+def test_white_space_is_that_of_the_list(spark):
+    code = spark.range(1, 0x10000).filter(~F.col("id").between(0xD800, 0xDFFF))
+    char = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")
+    apart = code.select("id", char.alias("c")).filter(overlap.normalised(F.concat(F.lit("x"), "c", "c", F.lit("y"))) == "x y")
+    assert {r.c for r in apart.collect()} == set(UNICODE_WHITESPACE)
+
+
 def test_suite_that_was_asked_in_training(spark, tmp_path):
     questions = [f"Question number {i}?" for i in range(10)]
     asked = [questions[i] for i in (0, 2, 5, 9)]
