@@ -18,6 +18,8 @@ from corpusgate.session import staged
 MAX_CELLS = 1 << 20
 KEYS_PER_CELL = 4
 BITS_PER_KEY = 4
+# Digests that are broadcast as they are, about 16 MiB.
+MAX_BROADCAST = 1 << 17
 
 # The ranges in front hold no white space; most characters leave the test there.
 _SPACES = r"[[^!-~\u00a1-\u167f\u3001-\x{10ffff}]&&[" + "".join(f"\\u{ord(c):04x}" for c in UNICODE_WHITESPACE) + "]]+"
@@ -106,14 +108,18 @@ def shared_inputs(suite: DataFrame, training: DataFrame, suite_text: str = "inpu
 def without_shared(training: DataFrame, suite: DataFrame, training_text: str = "content", suite_text: str = "input") -> DataFrame:
     """The rows of ``training`` whose text is no input of ``suite``; a left anti join.
 
-    Rows that the filter rules out stay without a shuffle; only the others are joined,
-    with the suite's distinct digests, which are written before, so that a text that
-    very many rows share is split. Null and blank texts stay.
+    Up to ``MAX_BROADCAST`` distinct digests of a suite are broadcast, and the rows are
+    read once and not shuffled. Beyond, rows that the filter rules out stay without a
+    shuffle; only the others are joined, with the suite's digests, which are written
+    before, so that a text that very many rows share is split. Null and blank texts stay.
     """
     key = _free_name(suite, training)
     asked = staged(_keyed(suite, suite_text, key).select(key).filter(F.col(key).isNotNull()).distinct(), "overlap-asked")
     rows = _keyed(training, training_text, key)
-    cells = bloom_cells(asked.count())
+    n_asked = asked.count()
+    if n_asked <= MAX_BROADCAST:
+        return rows.join(F.broadcast(asked), key, "left_anti").select(*training.columns)
+    cells = bloom_cells(n_asked)
     if not cells:
         return rows.join(asked, key, "left_anti").select(*training.columns)
     flag = f"{key}_maybe"

@@ -55,6 +55,15 @@ def test_overlap_reads_each_text_once(spark, monkeypatch):
     kept = without_shared(training, suite)
     assert kept.count() == 39
     assert [text.count("regexp_replace(") for name, text in plans if name == "overlap-said"] == [1]
+    assert plan(kept).count("regexp_replace(") == 1
+
+
+def test_a_suite_too_large_to_broadcast_is_filtered(spark, monkeypatch):
+    training = spark.range(3000).select("id", F.concat(F.lit("Line  "), F.col("id") % 700).alias("content")).repartition(3)
+    suite = spark.range(600, 900).select(F.concat(F.lit("line "), "id").alias("input"))
+    want = sorted(without_shared(training, suite).collect())
+    monkeypatch.setattr(overlap, "MAX_BROADCAST", 10)
+    assert sorted(without_shared(training, suite).collect()) == want and len(want) == 3000 - 400
 
 
 def test_white_space_is_that_of_the_list(spark):
