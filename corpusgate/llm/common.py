@@ -28,6 +28,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """As ``staged``; the shuffle files of the write go when it ends, not when the driver
+    next collects garbage. For large shuffles that follow one another."""
+    conf, option = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(option)
+    conf.set(option, "true")
+    try:
+        return staged(df, name)
+    finally:
+        conf.set(option, before)
+
+
 def numbered(docs: DataFrame, rid: Column | None = None) -> DataFrame:
     """``(rid, doc_id, text)``: ``rid`` tells rows apart that share a ``doc_id``.
 

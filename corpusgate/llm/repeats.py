@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusgate.llm.common import staged
+from corpusgate.llm.common import settled
 
 PLACES = "array<struct<key:bigint,ctx:bigint,at:int,n:int>>"
 
@@ -25,7 +25,7 @@ def shared_places(read: DataFrame, name: str, *order: str) -> DataFrame:
     """
     places = read.select("num", *order, F.explode("places").alias("p")).select("num", *order, "p.*")
     often = places.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    return staged(places.join(staged(often, f"{name}-keys"), "key"), name)
+    return settled(places.join(settled(often, f"{name}-keys"), "key"), name)
 
 
 def classes(shared: DataFrame, name: str, *order: str) -> DataFrame:
@@ -36,9 +36,9 @@ def classes(shared: DataFrame, name: str, *order: str) -> DataFrame:
     different places still be equal.
     """
     first = F.min(F.struct(*order, "num", "at", "n")).alias("first")
-    alike = staged(shared.groupBy("key", "ctx").agg(F.count("*").alias("size"), first), name)
+    alike = settled(shared.groupBy("key", "ctx").agg(F.count("*").alias("size"), first), name)
     rivals = alike.groupBy("key").agg(F.count("*").alias("rivals"))
-    return alike.join(staged(rivals, f"{name}-counts"), "key")
+    return alike.join(settled(rivals, f"{name}-counts"), "key")
 
 
 def spans_by_document(spans: DataFrame) -> DataFrame:

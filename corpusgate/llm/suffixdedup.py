@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgate.llm.common import Powers, map_texts, numbered, span_hashes, staged, stored_row, table, text_bytes
+from corpusgate.llm.common import Powers, map_texts, numbered, settled, span_hashes, staged, stored_row, table, text_bytes
 from corpusgate.llm.recompression import _place_lists
 from corpusgate.llm.repeats import PLACES, classes, shared_places, spans_by_document, with_text
 from corpusgate.llm.suffixes import repeated_positions
@@ -18,9 +18,10 @@ from corpusgate.llm.suffixes import repeated_positions
 WINDOW_BYTES = 100
 GRAM_BYTES = 24
 SEGMENT = 1 << 20
-# Classes of one key that may meet in a shard, and the bytes a shard is meant to hold.
+# Classes of one key that may meet in a shard, and the bytes a shard is meant to hold: its
+# suffix tuples take nine times as much, of which 64 MB stay in memory.
 RIVALS = 4096
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
 _GRAM_BASE, _TEXT_BASE, _SECOND_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 _PLACE_BITS = np.uint64((1 << 24) - 1)
 
@@ -85,23 +86,23 @@ def read_places(docs: DataFrame, rid: Column, window: int, gram: int) -> DataFra
 
 
 def _contexts(rows: DataFrame, window: int) -> DataFrame:
-    """``(key, doc_id, num, at, n, context)``: the text under each listed place."""
+    """``(key, doc_id, num, at, n, many, context)``: the text under each listed place."""
 
     def work(rows: pa.RecordBatch, _):
         data, bounds = text_bytes(rows.column(3))
         raw = data.tobytes()
-        out: list[list] = [[] for _ in range(6)]
+        out: list[list] = [[] for _ in range(7)]
         for i in range(rows.num_rows):
             num, doc_id = rows.column(0)[i].as_py(), rows.column(1)[i].as_py()
             for p in rows.column(2)[i].as_py():
                 begin = bounds[i] + p["at"]
-                row = (p["key"], doc_id, num, p["at"], p["n"], raw[begin : begin + p["n"] + window - 1])
+                row = (p["key"], doc_id, num, p["at"], p["n"], p["many"], raw[begin : begin + p["n"] + window - 1])
                 for column, value in zip(out, row):
                     column.append(value)
         return out
 
     chosen = rows.select("num", "doc_id", "listed", "text")
-    schema = "key bigint, doc_id bigint, num bigint, at int, n int, context binary"
+    schema = "key bigint, doc_id bigint, num bigint, at int, n int, many boolean, context binary"
     return map_texts(chosen, schema, work, chunk_bytes=SEGMENT)
 
 
@@ -163,10 +164,10 @@ def _later_windows(contexts: DataFrame, window: int) -> DataFrame:
 
     Windows are dealt by their own hash and counted before the shuffle; equal ones are
     found by a join with one row for each string, whose hot keys Spark splits."""
-    windows = staged(_windows(contexts, window), "suffix-windows")
+    windows = settled(_windows(contexts, window), "suffix-windows")
     first = F.min(F.struct("doc_id", "num", "at")).alias("first")
     again = windows.groupBy("h1", "h2").agg(F.count("*").alias("c"), first).filter("c > 1").select("h1", "h2", "first")
-    later = windows.join(staged(again, "suffix-again"), ["h1", "h2"]).filter("num <> first.num OR at <> first.at")
+    later = windows.join(settled(again, "suffix-again"), ["h1", "h2"]).filter("num <> first.num OR at <> first.at")
     return later.select("num", F.col("at").alias("s"), (F.col("at") + window).alias("e"))
 
 
@@ -204,7 +205,9 @@ def without_later_copies(
     place stays in and stands for it; the others are covered. Where classes share a
     key, a suffix array with common prefixes decides which of their strings are equal;
     where more than ``RIVALS`` do, 128-bit hashes of their strings decide, so that no
-    shard grows with a frequent passage.
+    shard grows with a frequent passage. The texts are shuffled twice, to cut out the
+    strings of such keys and to remove what was found, each after the shuffles before it
+    are deleted.
 
     Null and empty texts have no bytes, shorter ones no string. A null id comes before
     all others, rows that share an id are ordered by their place in the input. ``rid``
@@ -216,24 +219,22 @@ def without_later_copies(
         rid = F.col("rid")
     read = read_places(docs, rid, window, gram)
     shared = shared_places(read, "suffix-shared", "doc_id")
-    alike = staged(classes(shared, "suffix-classes", "doc_id"), "suffix-rivals")
+    alike = settled(classes(shared, "suffix-classes", "doc_id"), "suffix-rivals")
     copies = shared.join(alike.filter("size > 1").select("key", "ctx", "first"), ["key", "ctx"])
     copies = copies.filter("num <> first.num OR at <> first.at")
     covered = copies.select("num", F.col("at").alias("s"), (F.col("at") + F.col("n") + window - 1).alias("e"))
-    few, many = F.col("rivals").between(2, RIVALS), F.col("rivals") > RIVALS
-
-    def contexts(which: Column) -> DataFrame:
-        doubtful = alike.filter(which).select("first.doc_id", "first.num", F.struct("key", "first.at", "first.n").alias("p"))
-        listed = doubtful.groupBy("num").agg(F.first("doc_id").alias("doc_id"), F.collect_list("p").alias("listed"))
-        return _contexts(with_text(listed.join(read.select("num", "rid"), "num"), docs, rid), window)
-
-    n_bytes, n_many = alike.agg(F.sum(F.when(few, F.col("first.n") + window)), F.count_if(many)).first()
+    rivals = alike.filter("rivals > 1").withColumn("many", F.col("rivals") > RIVALS)
+    doubtful = rivals.select("first.doc_id", "first.num", F.struct("key", "first.at", "first.n", "many").alias("p"))
+    listed = doubtful.groupBy("num").agg(F.first("doc_id").alias("doc_id"), F.collect_list("p").alias("listed"))
+    contexts = _contexts(with_text(settled(listed.join(read.select("num", "rid"), "num"), "suffix-listed"), docs, rid), window)
+    contexts = settled(contexts, "suffix-contexts")
+    n_bytes, n_many = contexts.agg(F.sum(F.when(~F.col("many"), F.col("n") + window)), F.count_if("many")).first()
     shards = max(-(-(n_bytes or 0) // SHARD_BYTES), docs.sparkSession.sparkContext.defaultParallelism)
-    spans = covered.union(_later_spans(contexts(few), window, shards))
+    spans = covered.union(_later_spans(contexts.filter("NOT many"), window, shards))
     if n_many:
-        spans = spans.union(_later_windows(contexts(many), window))
-    spans = staged(spans_by_document(spans), "suffix-spans")
-    touched = _kept(with_text(spans.join(read.select("num", "rid"), "num"), docs, rid))
+        spans = spans.union(_later_windows(contexts.filter("many"), window))
+    spans = settled(spans_by_document(spans).join(read.select("num", "rid"), "num"), "suffix-spans")
+    touched = _kept(with_text(spans, docs, rid))
     out = read.select("num", "rid", "doc_id", "n_bytes", "sha256").join(touched, "num", "left")
     none = F.lit(0).cast("bigint")
     return out.select(

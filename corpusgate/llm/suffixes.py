@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 from collections.abc import Iterator
 
@@ -223,6 +224,7 @@ class SuffixSorter:
             for block in reversed(small.blocks[c]):
                 pos = Spill.get(block)["pos"][::-1]
                 found.append(pos[is_seed[pos]])
+        shutil.rmtree(small.spill.folder)
         pieces = np.concatenate([seeds[-1:], *found]) if is_seed[len(self.text) - 1] else np.concatenate(found)
         rank_of = np.searchsorted(seeds, pieces)
         size = np.diff(np.append(seeds, len(self.text) - 1)) + 1

@@ -1,14 +1,18 @@
+import glob
 import hashlib
 import random
 import re
 import tempfile
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from corpusgate.llm import exact, recompression, suffixdedup
-from corpusgate.llm.suffixes import repeated_positions
+from pyspark.sql import functions as F
+
+from corpusgate.llm import exact, recompression, repeats, suffixdedup
+from corpusgate.llm.suffixes import SuffixSorter, repeated_positions
 
 
 def earlier_copies(texts, window):
@@ -71,6 +75,13 @@ def test_sorted_repeats_match_a_set(cap, letters):
             assert repeated_positions(iter(pieces), cap, folder, budget).tolist() == want
 
 
+def test_sorting_keeps_the_files_of_one_pass(tmp_path):
+    text = np.append(np.random.default_rng(1).integers(2, 9, 5000), 0).astype(np.uint16)
+    order = np.concatenate([pos for pos, _ in SuffixSorter(text, 20, str(tmp_path), budget=0).blocks()])
+    assert sorted(order) == list(range(5000))
+    assert len(list(tmp_path.iterdir())) == 1
+
+
 @pytest.mark.parametrize("window", [100, 30])
 def test_bytes_match_brute_force(documents, window):
     texts = random_texts(window)
@@ -97,6 +108,40 @@ def test_no_shard_holds_a_frequent_passage(documents, monkeypatch):
     assert met[0] <= 40
 
 
+def test_texts_are_shuffled_twice_and_shuffles_deleted(spark, documents, monkeypatch):
+    """Also where some keys have few rivals and others many."""
+    monkeypatch.setattr(suffixdedup, "RIVALS", 40)
+    joins, join = [], suffixdedup.with_text
+    monkeypatch.setattr(suffixdedup, "with_text", lambda *a: joins.append(1) or join(*a))
+    phrase = "a passage of ninety bytes that very many documents hold between words of their own, the same"
+    texts = [f"{i % 3}{i * i} {i % 2}{phrase}{i % 5} {i}" * 2 for i in range(150)] + random_texts(7, 30)
+
+    def held():
+        return set(glob.glob(f"{tempfile.gettempdir()}/blockmgr-*/*/shuffle_*.data"))
+
+    docs, before = documents(list(enumerate(texts))), held()
+    got = suffixdedup.without_later_copies(docs)
+    left = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    for _ in range(50):
+        if len(held() - before) <= 8:  # of the first table, which repartition() made
+            break
+        time.sleep(0.2)
+    assert len(held() - before) <= 8 and left == "false"
+    assert [tuple(r)[2:] for r in got.orderBy("doc_id").collect()] == earlier_copies(texts, 100)
+    assert len(joins) == 2
+
+
+def test_classes_leave_no_shuffle_files(spark):
+    shared = spark.range(1000).select(F.col("id").alias("num"), (F.col("id") % 7).alias("key"), (F.col("id") % 70).alias("ctx"), F.lit(0).alias("at"), F.lit(1).alias("n"))
+    before = set(glob.glob(f"{tempfile.gettempdir()}/blockmgr-*/*/shuffle_*.data"))
+    got = repeats.classes(shared, "test-classes")
+    for _ in range(50):
+        if not (new := set(glob.glob(f"{tempfile.gettempdir()}/blockmgr-*/*/shuffle_*.data")) - before):
+            break
+        time.sleep(0.2)
+    assert not new and got.filter("rivals = 10").count() == 70
+
+
 def test_bytes_of_odd_rows(documents, odd_rows):
     rows = sorted(odd_rows, key=lambda r: -1 if r[0] is None else r[0])
     got = suffixdedup.without_later_copies(documents(rows)).collect()
